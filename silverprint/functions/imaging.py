@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Luma weights, working sizes and the scale of the sharpness score.
 LUMA = (0.2126, 0.7152, 0.0722)
@@ -12,7 +13,14 @@ SCORE_SIDE = 128
 HASH_WIDTH, HASH_HEIGHT = 9, 8
 SHARPNESS_SCALE = 1_000_000.0
 
-FEATURES = "dhash_hex string, quality_score double, brightness double, color_variance double"
+FEATURES = T.StructType(
+    [
+        T.StructField("dhash_hex", T.StringType()),
+        T.StructField("quality_score", T.DoubleType()),
+        T.StructField("brightness", T.DoubleType()),
+        T.StructField("color_variance", T.DoubleType()),
+    ]
+)
 
 
 def _shares(source: int, target: int) -> np.ndarray:
@@ -76,4 +84,4 @@ def _features_of(height, width, channels, data) -> tuple:
 def image_features(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
     """Hash and scores of each image; all of them null when there are no pixels."""
     rows = [_features_of(*row) for row in zip(height, width, channels, data)]
-    return pd.DataFrame(rows, columns=["dhash_hex", "quality_score", "brightness", "color_variance"])
+    return pd.DataFrame(rows, columns=FEATURES.names)

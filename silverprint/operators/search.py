@@ -80,7 +80,7 @@ def lexical_search(docs: DataFrame, query: str, id_col: str, text_col: str, k1:
         id_col,
         F.size("_t").alias("dl"),
         F.array(
-            *[F.size(F.filter("_t", lambda t, term=term: t == term)) for term in terms]
+            *[F.size(F.filter("_t", _equals(term))) for term in terms]
         ).alias("tf"),
     )
     stats = measured.agg(
@@ -97,6 +97,10 @@ def lexical_search(docs: DataFrame, query: str, id_col: str, text_col: str, k1:
     return joined.select(id_col, score.alias("score"))
 
 
+def _equals(term: str):
+    return lambda token: token == term
+
+
 def _query_terms(query: str) -> list[str]:
     import re
 

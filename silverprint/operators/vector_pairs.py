@@ -176,3 +176,14 @@ def vector_components(df: DataFrame, id_col: str, vec_col: str, eps: float, **tu
 def eps_of_cosine(cosine: float) -> float:
     """L2 bound on unit vectors that a cosine bound amounts to."""
     return math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
+
+
+def similar_pairs(unit_vectors: DataFrame, id_col: str, vec_col: str, cosine: float = SIMILAR_COSINE, **tuning: int) -> DataFrame:
+    """``(a, b, cosine)`` of distinct unit vectors whose cosine reaches the bound, each pair once.
+
+    The L2 join is asked for slightly more than the bound; the cosine decides.
+    """
+    distinct = distinct_vectors(unit_vectors, id_col, vec_col)
+    pairs = l2_pairs(distinct, eps_of_cosine(cosine) + _SLACK, **tuning)
+    found = pairs.withColumn("cosine", 1 - F.col("distance") * F.col("distance") / 2)
+    return found.filter(F.col("cosine") >= cosine).select("a", "b", "cosine")

@@ -92,6 +92,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir.rstrip("/")
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the catalog keeps all times in UTC
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -196,7 +197,7 @@ class Tables:
         return self.raw("events").select(
             F.concat(F.lit("p"), F.lpad(F.col("event_id").cast("string"), 10, "0")).alias("media_id"),
             F.col("user_id").alias("library_id"),
-            F.col("ts").alias("taken_at"),
+            F.col("ts").cast("timestamp").alias("taken_at"),
             "value",
             "event_type",
         )
