@@ -12,6 +12,8 @@ LUMA = (0.2126, 0.7152, 0.0722)
 SCORE_SIDE = 128
 HASH_WIDTH, HASH_HEIGHT = 9, 8
 SHARPNESS_SCALE = 1_000_000.0
+# Luma below and above which a pixel counts as too dark and too bright.
+DARK_LUMA, BRIGHT_LUMA = 0.18, 0.92
 
 FEATURES = T.StructType(
     [
@@ -19,6 +21,7 @@ FEATURES = T.StructType(
         T.StructField("quality_score", T.DoubleType()),
         T.StructField("brightness", T.DoubleType()),
         T.StructField("color_variance", T.DoubleType()),
+        T.StructField("exposure", T.DoubleType()),
     ]
 )
 
@@ -64,18 +67,25 @@ def dhash_hex(rgb: np.ndarray) -> str:
     return np.packbits(bits).tobytes().hex()
 
 
-def quality(rgb: np.ndarray) -> tuple[float, float, float]:
-    """Variance of the Laplacian, mean luma in 0..1, and mean variance of the three channels."""
+def quality(rgb: np.ndarray) -> tuple[float, float, float, float]:
+    """Variance of the Laplacian, mean luma in 0..1, mean variance of the three channels, and
+    exposure: the share of the luma histogram between too dark and too bright."""
     small = area_resize(rgb, SCORE_SIDE, SCORE_SIDE)
     grey = luma(small) / 255.0
     inner = grey[1:-1, 1:-1]
     lap = grey[:-2, 1:-1] + grey[2:, 1:-1] + grey[1:-1, :-2] + grey[1:-1, 2:] - 4 * inner
-    return float(lap.var() * SHARPNESS_SCALE), float(grey.mean()), float(small.var(axis=(0, 1)).mean())
+    exposed = (grey >= DARK_LUMA) & (grey <= BRIGHT_LUMA)
+    return (
+        float(lap.var() * SHARPNESS_SCALE),
+        float(grey.mean()),
+        float(small.var(axis=(0, 1)).mean()),
+        float(exposed.mean()),
+    )
 
 
 def _features_of(height, width, channels, data) -> tuple:
     if data is None or height is None or min(height, width) <= 0:
-        return None, None, None, None
+        return (None,) * 5
     rgb = rgb_of(int(height), int(width), int(channels), data)
     return (dhash_hex(rgb), *quality(rgb))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,39 @@ from silverprint.operators.keyed import HOT_ROWS, attach_facts
 from silverprint.workspace import materialise, release
 
 
+def star_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer edges with the same components: every node but the smallest points at the smallest."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[i], label[j])
+        lower = label.copy()
+        np.minimum.at(lower, i, low)
+        np.minimum.at(lower, j, low)
+        lower = lower[lower]
+        if np.array_equal(lower, label):
+            break
+        label = lower
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def thin_edges(pairs: DataFrame, group: str, a: str, b: str) -> DataFrame:
+    """Replace the pairs of each group by star links, at most one per node of the group.
+
+    For groups of bounded size that come out of a join on ``group``: rows stay where they are, and
+    a dense group no longer hands all its pairs to the component search.
+    """
+
+    def thin(block: pd.DataFrame) -> pd.DataFrame:
+        hi, lo = star_links(block[a].to_numpy(), block[b].to_numpy())
+        return pd.DataFrame({a: lo, b: hi})
+
+    kind = pairs.schema[a].dataType.simpleString()
+    return pairs.select(group, a, b).groupBy(group).applyInPandas(thin, f"{a} {kind}, {b} {kind}")
+
+
 def _large_star(edges: DataFrame, hot_rows: int) -> DataFrame:
     """Hang every larger neighbour of a node on the node's smallest neighbour."""
     both = edges.select(F.col("lo").alias("node"), F.col("hi").alias("other")).unionByName(

@@ -15,7 +15,7 @@ from silverprint.operators.hamming_pairs import (
     hash_groups,
     near_banded_pairs,
     near_candidates,
-    near_window_pairs,
+    near_window_links,
     rank_by_hash,
 )
 from silverprint.operators.keyed import HOT_ROWS, attach_facts
@@ -123,19 +123,25 @@ def dup_totals(groups: DataFrame) -> DataFrame:
     )
 
 
+# What near deduplication carries along; everything else stays in the catalog.
+_NEAR_COLUMNS = ["media_id", "sha256", "dhash", "dhash_hex", "path", "width", "height", "size_bytes"]
+
+
 def _near_tagged(
     items: DataFrame, library: str | None, limit: int, window: int, mode: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Near-duplicate candidates with the component they belong to; lone ones are left out."""
-    candidates = near_candidates(items, library)
+    candidates = near_candidates(items, library).select(*_NEAR_COLUMNS)
     if mode == "window":
         ranked = rank_by_hash(candidates)
-        pairs = near_window_pairs(ranked, limit, window)
-        labels = connected_components(pairs, "rank_a", "rank_b", hot_rows)
+        links = near_window_links(ranked, limit, window)
+        labels = connected_components(links, "rank_a", "rank_b", hot_rows)
         tagged = ranked.join(labels.withColumnRenamed("node", "rank"), "rank").drop("rank")
     elif mode == "banded":
         groups = materialise(hash_groups(candidates), "hash_groups")
-        labels = connected_components(near_banded_pairs(groups, limit), "dhash_a", "dhash_b", hot_rows)
+        labels = connected_components(
+            near_banded_pairs(groups, limit, links_only=True), "dhash_a", "dhash_b", hot_rows
+        )
         facts = (
             groups.join(labels.withColumnRenamed("node", "dhash"), "dhash", "left")
             .filter(F.col("component").isNotNull() | (F.col("sha_lo") != F.col("sha_hi")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silverprint.functions.hashing import hamming
+from silverprint.operators.components import thin_edges
 from silverprint.operators.ranking import global_rank
 from silverprint.schema import NO_DHASH
 from silverprint.workspace import materialise
@@ -44,10 +45,19 @@ def near_window_pairs(ranked: DataFrame, limit: int = HAMMING_LIMIT, window: int
     return (
         left.join(right, "bucket")
         .filter((gap >= 1) & (gap < window) & (F.col("sha256_a") != F.col("sha256_b")) & (distance <= limit))
-        .select("rank_a", "rank_b", "media_id_a", "media_id_b", distance.alias("distance"))
+        .select("bucket", "rank_a", "rank_b", "media_id_a", "media_id_b", distance.alias("distance"))
     )
 
 
+def near_window_links(ranked: DataFrame, limit: int = HAMMING_LIMIT, window: int = RANK_WINDOW) -> DataFrame:
+    """Edges ``(rank_a, rank_b)`` with the same components as the window pairs.
+
+    A bucket sees at most two windows of rows, so a run of very many equal hashes gives at most two
+    links per row instead of one per pair.
+    """
+    return thin_edges(near_window_pairs(ranked, limit, window), "bucket", "rank_a", "rank_b")
+
+
 def hash_groups(items: DataFrame) -> DataFrame:
     """One row per distinct hash with the range of content digests and the first item."""
     return items.groupBy("dhash").agg(
@@ -100,7 +110,7 @@ def _expand(level: DataFrame, bits: int, limit: int, digit: int) -> DataFrame:
 
 
 def near_banded_pairs(
-    groups: DataFrame, limit: int = HAMMING_LIMIT, crowded: int = 4096, levels: int = 4
+    groups: DataFrame, limit: int = HAMMING_LIMIT, crowded: int = 1024, levels: int = 4, links_only: bool = False
 ) -> DataFrame:
     """All pairs of distinct hashes at distance 1 to ``limit``, with full recall, each pair once.
 
@@ -108,6 +118,7 @@ def near_banded_pairs(
     equi-join on (band, value) finds them. Values held by more than ``crowded`` hashes are not
     joined but cut again over their remaining bits, where the same argument holds, so the key gets
     longer exactly where the data is dense. Copies of one hash are one row here (``hash_groups``).
+    With ``links_only`` the pairs of a value are thinned to links with the same components.
     """
     if not 1 <= limit <= 15:
         raise ValueError("limit must be between 1 and 15")
@@ -129,6 +140,7 @@ def near_banded_pairs(
         shortest = min(length for _, length in _cut_points(bits, limit + 1))
         bits -= shortest
         last = depth == levels - 1 or bits < 2 * (limit + 1)
+        bounded = not last
         if not last:
             keyed = materialise(keyed, "bands")
             crowds = materialise(
@@ -138,6 +150,10 @@ def near_banded_pairs(
             last = crowds.isEmpty()
         calm = keyed if last else keyed.join(crowds, "key", "left_anti")
         pairs = _join_bands(calm, limit, widths, digit)
+        if links_only and bounded:
+            pairs = thin_edges(pairs, "key", "dhash_a", "dhash_b")
+        else:
+            pairs = pairs.select("dhash_a", "dhash_b", *([] if links_only else ["distance"]))
         found = pairs if found is None else found.unionByName(pairs)
         if last:
             return found
@@ -166,5 +182,5 @@ def _join_bands(keyed: DataFrame, limit: int, widths: list[int], digit: int) ->
     return (
         left.join(right, "key")
         .filter((F.col("dhash_a") < F.col("dhash_b")) & (distance <= limit) & ~one_content & first)
-        .select("dhash_a", "dhash_b", distance.alias("distance"))
+        .select("key", "dhash_a", "dhash_b", distance.alias("distance"))
     )

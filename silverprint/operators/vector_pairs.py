@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silverprint.operators.components import connected_components
+from silverprint.operators.components import connected_components, star_links
 from silverprint.operators.keyed import attach_facts
 from silverprint.workspace import materialise
 
@@ -65,7 +65,7 @@ def _place(centres: np.ndarray, eps: float):
     return place
 
 
-def _compare(eps: float):
+def _compare(eps: float, links_only: bool):
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         left, right = block[block["side"] == 0], block[block["side"] == 1]
         same = bool(block["same"].iat[0])
@@ -83,6 +83,9 @@ def _compare(eps: float):
         close = exact < eps
         i, j, exact = i[close], j[close], exact[close]
         p, q = left["rep"].to_numpy()[i], right["rep"].to_numpy()[j]
+        if links_only and len(p):
+            q, p = star_links(p, q)
+            exact = np.zeros(len(p))
         swap = p > q
         return pd.DataFrame({"a": np.where(swap, q, p), "b": np.where(swap, p, q), "distance": exact})
 
@@ -90,9 +93,18 @@ def _compare(eps: float):
 
 
 def l2_pairs(
-    distinct: DataFrame, eps: float, cell_rows: int = 4096, block_rows: int = 2048, max_centres: int = 2048
+    distinct: DataFrame,
+    eps: float,
+    cell_rows: int = 4096,
+    block_rows: int = 2048,
+    max_centres: int = 2048,
+    links_only: bool = False,
 ) -> DataFrame:
-    """``(a, b, distance)`` of all distinct vectors closer than ``eps`` (strict), each pair once."""
+    """``(a, b, distance)`` of all distinct vectors closer than ``eps`` (strict), each pair once.
+
+    With ``links_only`` every task thins its pairs to links with the same components (and without
+    distances), so a dense cluster costs one link per vector and task instead of one row per pair.
+    """
     spark = distinct.sparkSession
     id_type = distinct.schema["rep"].dataType.simpleString()
     distinct = materialise(distinct.select("rep", "vec"), "vectors")
@@ -148,7 +160,7 @@ def l2_pairs(
         .withColumn("_t", F.explode(tasks))
         .select("cell", "_t.visits", "_t.i", "_t.j", "_t.side", "_t.same", "rep", "vec")
         .groupBy("cell", "visits", "i", "j")
-        .applyInPandas(_compare(eps), f"a {id_type}, b {id_type}, distance double")
+        .applyInPandas(_compare(eps, links_only), f"a {id_type}, b {id_type}, distance double")
     )
 
 
@@ -159,7 +171,7 @@ def vector_components(df: DataFrame, id_col: str, vec_col: str, eps: float, **tu
     costs one node in the graph.
     """
     distinct = materialise(distinct_vectors(df, id_col, vec_col), "distinct_vectors")
-    links = l2_pairs(distinct, eps, **tuning)
+    links = l2_pairs(distinct, eps, links_only=True, **tuning)
     linked = connected_components(links, "a", "b").withColumnRenamed("node", "rep")
     # equal vectors are at distance 0, so copies form a component even without other neighbours
     facts = (

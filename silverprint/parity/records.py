@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from silverprint.functions import models
 from silverprint.operators import dedup, merge
 from silverprint.parity.registry import query, with_
 from silverprint.parity.shared import E, L, M, human_bytes_sql
@@ -65,6 +66,18 @@ def _(t: Tables):
     return listing.content_hash(t.spark, t.dir, "*.parquet").select(F.substring_index("path", "/", -1).alias("file"), "sha256")
 
 
+def _pictures(t: Tables):
+    """Vectors as 8 by 8 grey pictures, in the shape Spark's image source gives."""
+    hex_ = F.transform("embedding", lambda x: F.lpad(F.hex(F.floor((x.cast("double") + 1) * 127.5)), 2, "0"))
+    return t.raw("embeddings").select(
+        "vec_id",
+        F.lit(8).alias("height"),
+        F.lit(8).alias("width"),
+        F.lit(1).alias("nChannels"),
+        F.unhex(F.array_join(hex_, "")).alias("data"),
+    )
+
+
 PIXELS_SQL = """
 px AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 1275e-1) AS INTEGER)) AS p FROM embeddings),
 flat AS (SELECT vec_id, avg(v) / 255 AS brightness, var_pop(v) AS color_variance FROM (SELECT vec_id, unnest(p) AS v FROM px) GROUP BY vec_id),
@@ -83,16 +96,7 @@ lap AS (SELECT vec_id, var_pop((p[((y - 1) // 16) * 8 + x // 16 + 1] + p[((y + 1
     FROM flat f JOIN dh d ON d.vec_id = f.vec_id JOIN lap l ON l.vec_id = f.vec_id""",
 )
 def _(t: Tables):
-    """Vectors as 8 by 8 grey pictures, in the shape Spark's image source gives."""
-    hex_ = F.transform("embedding", lambda x: F.lpad(F.hex(F.floor((x.cast("double") + 1) * 127.5)), 2, "0"))
-    pictures = t.raw("embeddings").select(
-        "vec_id",
-        F.lit(8).alias("height"),
-        F.lit(8).alias("width"),
-        F.lit(1).alias("nChannels"),
-        F.unhex(F.array_join(hex_, "")).alias("data"),
-    )
-    return images.with_features(pictures).select(
+    return images.with_features(_pictures(t)).select(
         "vec_id",
         "dhash_hex",
         F.round("quality_score", 6).alias("quality_score"),
@@ -101,6 +105,65 @@ def _(t: Tables):
     )
 
 
+@query(
+    "quality_exposure",
+    with_(PIXELS_SQL) + "SELECT vec_id, round(avg(CASE WHEN v / 255e0 BETWEEN 18e-2 AND 92e-2 THEN 1e0 ELSE 0e0 END), 6) AS exposure FROM (SELECT vec_id, unnest(p) AS v FROM px) GROUP BY vec_id",
+)
+def _(t: Tables):
+    return images.with_features(_pictures(t)).select("vec_id", F.round("exposure", 6).alias("exposure"))
+
+
+# -- the caller's models: tiny deterministic ones, to run the wrappers ----------------------------
+
+
+def _vowel_counter():
+    return lambda text: [text.count(v) for v in "aeiou"]
+
+
+def _corner_face():
+    def find(data: bytes) -> list[dict]:
+        if data[0] < 128:
+            return []
+        return [{"x": data[0], "y": data[1], "w": 8, "h": 8, "descriptor": [float(v) for v in data]}]
+
+    return find
+
+
+def _pixel_reader():
+    return lambda data: ("".join(chr(97 + v % 26) for v in data), "xx")
+
+
+@query(
+    "encode",
+    """WITH c AS (SELECT doc_id, list_transform(['a', 'e', 'i', 'o', 'u'], lambda v: CAST(len(text) - len(replace(text, v, '')) AS DOUBLE)) AS n FROM documents),
+    l AS (SELECT *, sqrt(list_sum(list_transform(n, lambda x: x * x))) AS len FROM c)
+    SELECT doc_id, round(n[1] / CASE WHEN len = 0 THEN 1 ELSE len END, 5) AS a, round(n[5] / CASE WHEN len = 0 THEN 1 ELSE len END, 5) AS u FROM l""",
+)
+def _(t: Tables):
+    vectors = t.raw("documents").select("doc_id", models.encode(_vowel_counter)("text").alias("v"))
+    return vectors.select("doc_id", *[F.round(F.col("v")[i].cast("double"), 5).alias(n) for i, n in ((0, "a"), (4, "u"))])
+
+
+@query(
+    "detect_faces",
+    with_(PIXELS_SQL) + "SELECT vec_id, CASE WHEN p[1] < 128 THEN 0 ELSE 1 END AS faces, CASE WHEN p[1] >= 128 THEN p[2] END AS y, CASE WHEN p[1] >= 128 THEN list_sum(p) END AS total FROM px",
+)
+def _(t: Tables):
+    found = _pictures(t).select("vec_id", models.detect_faces(_corner_face)("data").alias("f"))
+    total = F.aggregate(F.try_element_at("f", F.lit(1))["descriptor"], F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return found.select(
+        "vec_id", F.size("f").alias("faces"), F.try_element_at("f", F.lit(1))["y"].alias("y"), total.cast("long").alias("total")
+    )
+
+
+@query(
+    "ocr",
+    with_(PIXELS_SQL) + "SELECT vec_id, array_to_string(list_transform(p, lambda v: chr(97 + v % 26)), '') AS text, 'xx' AS language, len(p) AS char_count FROM px",
+)
+def _(t: Tables):
+    return _pictures(t).select("vec_id", models.ocr(_pixel_reader)("data").alias("o")).select("vec_id", "o.*")
+
+
 @query(
     "exif_normalize",
     with_(M) + """SELECT media_id, 'Maker ' || library_id AS make, CAST(doc_id % 100 * 100 AS INTEGER) AS iso, CAST(n_chars AS DOUBLE) / 10 AS f_number, CAST(width AS INTEGER) AS width,
