@@ -22,8 +22,7 @@ def hash_to_hex(value: Column) -> Column:
 
 def gradient_hash(values: Column, bits: int = 63) -> Column:
     """Hash of the signs of neighbouring differences, first comparison in the highest bit used."""
-    hash_ = F.lit(0).cast("long")
-    for i in range(bits):
-        bit = F.when(values[i] < values[i + 1], F.lit(1 << (bits - 1 - i)).cast("long")).otherwise(F.lit(0).cast("long"))
-        hash_ = hash_.bitwiseOR(bit)
-    return hash_
+    rises = F.zip_with(
+        F.slice(values, 1, bits), F.slice(values, 2, bits), lambda a, b: F.when(a < b, F.lit("1")).otherwise(F.lit("0"))
+    )
+    return F.conv(F.array_join(rises, ""), 2, -10).cast("long")

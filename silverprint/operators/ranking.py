@@ -81,12 +81,19 @@ class QuantileRule:
     where: str = "true"
 
 
-def quantile_items(df: DataFrame, rules: list[QuantileRule], id_col: str = "media_id", carry: tuple[str, ...] = ()) -> DataFrame:
+def quantile_items(
+    df: DataFrame,
+    rules: list[QuantileRule],
+    id_col: str = "media_id",
+    carry: tuple[str, ...] = (),
+    accuracy: int = 10_000,
+) -> DataFrame:
     """Members of each rule: the first min(n, max(3, ceil(n * q))) rows in order, ties by id.
 
     All rules share one pass for the sizes and one range sort. A rough percentile first drops the
-    rows that cannot be in the selected fraction, so the sort sees about ``q`` of them; it is used
-    only when it provably keeps enough.
+    rows that cannot be in the selected fraction, so the sort sees about ``q`` of them. Its rank
+    error is at most n / ``accuracy``; it is taken 2 / ``accuracy`` further out and only used when n
+    is 100 times ``accuracy``, so it always keeps enough rows.
     """
     entries = []
     for rule in rules:
@@ -98,7 +105,6 @@ def quantile_items(df: DataFrame, rules: list[QuantileRule], id_col: str = "medi
         "_e.rule", "_e.key", "_e.value", id_col, *carry
     )
 
-    accuracy = 10_000
     cuts = sorted({min(1.0, r.q + 2.0 / accuracy) for r in rules})
     sizes = {
         row["rule"]: row
