@@ -345,4 +345,5 @@ ALBUM_COLUMNS = (
 def smart_album(items: DataFrame, query: str) -> DataFrame:
     """Members of a saved predicate; it sees only the allowed columns, others fail to resolve."""
     visible = items.select("media_id", *[c for c in ALBUM_COLUMNS if c in items.columns])
-    return visible.filter(F.expr(query)).select("media_id")
+    # as a column: a filter would look through the projection for names it does not find
+    return visible.select("media_id", F.expr(query).alias("_member")).filter("_member").select("media_id")

@@ -109,16 +109,20 @@ def list_tree(spark: SparkSession, root: str, ignored: tuple[str, ...] = ()) ->
             return files
 
 
-def scan_files(spark: SparkSession, root: str, app_dirs: tuple[str, ...] = (), underscore_names: bool = False) -> DataFrame:
-    """Media files of a library folder by the server's rules."""
+def scan_files(spark: SparkSession, root: str, app_dirs: tuple[str, ...] = (), spark_listing: bool = False) -> DataFrame:
+    """Media files of a library folder by the server's rules.
+
+    ``spark_listing`` lets Spark's file source list the tree: one job less per level, but names
+    that start with ``_`` are missed and linked directories are followed.
+    """
     root = root.rstrip("/")
-    files = list_tree(spark, root, (*IGNORED_DIRS, *app_dirs)) if underscore_names else list_files(spark, root)
+    files = list_files(spark, root) if spark_listing else list_tree(spark, root, (*IGNORED_DIRS, *app_dirs))
     return media_listing(files, "server", True, app_dirs, root)
 
 
-def scan_files_unfiltered(spark: SparkSession, root: str, underscore_names: bool = False) -> DataFrame:
+def scan_files_unfiltered(spark: SparkSession, root: str, spark_listing: bool = False) -> DataFrame:
     """Media files by the browser's rules: extensions only, nothing is ignored."""
-    files = list_tree(spark, root.rstrip("/")) if underscore_names else list_files(spark, root)
+    files = list_files(spark, root) if spark_listing else list_tree(spark, root.rstrip("/"))
     return media_listing(files, "browser", False)
 
 
