@@ -44,38 +44,46 @@ def thin_edges(pairs: DataFrame, group: str, a: str, b: str) -> DataFrame:
     return pairs.select(group, a, b).groupBy(group).applyInPandas(thin, f"{a} {kind}, {b} {kind}")
 
 
-def _large_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _with_root(edges: DataFrame, roots: DataFrame, key: str, spread_by: str, hot_rows: int, count: int) -> DataFrame:
+    """Edges with the root of their ``key`` node; a table below ``hot_rows`` cannot hold a hot node."""
+    if count < hot_rows:
+        return edges.join(roots.select(key, "root"), key)
+    return attach_facts(edges, roots, [key], F.col("degree"), spread_by, hot_rows)
+
+
+def _large_star(edges: DataFrame, hot_rows: int, count: int) -> DataFrame:
     """Hang every larger neighbour of a node on the node's smallest neighbour."""
-    both = edges.select(F.col("lo").alias("node"), F.col("hi").alias("other")).unionByName(
-        edges.select(F.col("hi").alias("node"), F.col("lo").alias("other"))
+    ends = F.array(
+        F.struct(F.col("lo").alias("node"), F.col("hi").alias("other")),
+        F.struct(F.col("hi").alias("node"), F.col("lo").alias("other")),
     )
-    nearest = both.groupBy("node").agg(
-        F.least(F.min("other"), F.col("node")).alias("root"), F.count(F.lit(1)).alias("degree")
+    roots = (
+        edges.select(F.inline(ends))
+        .groupBy("node")
+        .agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("degree"))
+        .select(F.col("node").alias("lo"), F.least("other", "node").alias("root"), "degree")
     )
-    facts = nearest.withColumnRenamed("node", "lo")
-    return attach_facts(edges, facts, ["lo"], F.col("degree"), "hi", hot_rows).select(
-        "hi", F.col("root").alias("lo")
-    ).distinct()
+    hung = _with_root(edges, roots, "lo", "hi", hot_rows, count)
+    return hung.select("hi", F.col("root").alias("lo")).distinct()
 
 
-def _small_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _small_star(edges: DataFrame, hot_rows: int, count: int) -> DataFrame:
     """Hang a node and its smaller neighbours on the smallest of them."""
-    nearest = edges.groupBy("hi").agg(F.min("lo").alias("root"), F.count(F.lit(1)).alias("degree"))
-    moved = attach_facts(edges, nearest, ["hi"], F.col("degree"), "lo", hot_rows).filter(F.col("lo") != F.col("root"))
-    return (
-        moved.select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
-        .unionByName(nearest.select("hi", F.col("root").alias("lo")))
-        .distinct()
-    )
+    roots = edges.groupBy("hi").agg(F.min("lo").alias("root"), F.count(F.lit(1)).alias("degree"))
+    rooted = _with_root(edges, roots, "hi", "lo", hot_rows, count)
+    # the row of the root itself stands for the edge from the node to its root
+    moved = F.when(F.col("lo") == F.col("root"), F.col("hi")).otherwise(F.col("lo"))
+    return rooted.select(moved.alias("hi"), F.col("root").alias("lo")).distinct()
 
 
 def _is_settled(edges: DataFrame) -> bool:
     """True once every edge points at a node that is the root of its own star."""
-    inner = edges.groupBy("hi").agg(F.count(F.lit(1)).alias("roots"))
-    if not inner.filter("roots > 1").isEmpty():
-        return False
-    roots = edges.select(F.col("lo").alias("hi")).distinct()
-    return roots.join(inner, "hi").isEmpty()
+    roles = F.array(
+        F.struct(F.col("hi").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")),
+        F.struct(F.col("lo").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")),
+    )
+    nodes = edges.select(F.inline(roles)).groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return nodes.filter("hangs > 1 or (hangs > 0 and holds > 0)").isEmpty()
 
 
 def connected_components(
@@ -91,11 +99,10 @@ def connected_components(
     )
     current = materialise(canonical, "edges")
     while not _is_settled(current):
-        large = materialise(_large_star(current, hot_rows), "large_star")
-        small = materialise(_small_star(large, hot_rows), "small_star")
+        count = current.count()
+        following = materialise(_small_star(_large_star(current, hot_rows, count), hot_rows, count), "edges")
         release(current)
-        release(large)
-        current = small
+        current = following
     return current.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
         current.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     )

@@ -169,7 +169,7 @@ def near_dedup(
     tagged = _near_tagged(items, library, limit, window, mode, hot_rows)
     facts = _group_facts(tagged, "component", [F.col("dhash_hex").alias("t")])
     group_id = F.concat_ws("_", F.lit("ng"), F.col("component").cast("string"), F.right("best_media_id", F.lit(8)))
-    facts = materialise(facts.withColumn("group_id", group_id), "near_groups")
+    facts = facts.withColumn("group_id", group_id)
     groups = facts.select("group_id", F.lit("NEAR").alias("kind"), *_GROUP_COLUMNS[2:])
 
     best = tagged.select(F.col("media_id").alias("best_media_id"), F.col("dhash").alias("best_dhash"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from silverprint.functions.vectors import dot, norm
 from silverprint.operators.keyed import attach_facts
+from silverprint.workspace import materialise
 
 # Gap and size of a time cluster, split and merge bounds, outlier bound.
 GAP_HOURS = 12
@@ -127,6 +128,7 @@ def event_location_refine(
     median distance of its photos to its mean position exceeds ``split_km``.
     """
     event = [group, "start_at"]
+    members = materialise(members.select("media_id", *event, ts, "lat", "lon", "city"), "event_members")
     centre = members.groupBy(*event).agg(
         F.avg("lat").alias("mean_lat"), F.avg("lon").alias("mean_lon"), F.count(F.lit(1)).alias("_n")
     )

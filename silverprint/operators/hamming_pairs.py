@@ -34,7 +34,7 @@ def near_window_pairs(ranked: DataFrame, limit: int = HAMMING_LIMIT, window: int
     so the range join becomes an equi-join on buckets that all have the same size.
     """
     slim = ranked.select("rank", "media_id", "sha256", "dhash")
-    bucket = F.floor(F.col("rank") / window)
+    bucket = ((F.col("rank") - F.pmod("rank", F.lit(window))) / window).cast("long")
     left = slim.select(
         *[F.col(c).alias(f"{c}_a") for c in slim.columns],
         F.explode(F.array(bucket, bucket + 1)).alias("bucket"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from silverprint.functions.vectors import dot_with
 from silverprint.operators.keyed import single
+from silverprint.workspace import materialise
 
 # Results kept by semantic search, and the score they must exceed.
 SEMANTIC_TOP = 60
@@ -71,18 +72,17 @@ def text_tokens(text: Column) -> Column:
 
 
 def lexical_search(docs: DataFrame, query: str, id_col: str, text_col: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over whole texts. Only query terms are exploded; lengths and counts are one aggregate."""
+    """BM25 over whole texts.
+
+    The texts are read once: what is kept of each is its length and its counts of the query terms,
+    and this small table serves both the corpus statistics and the scores.
+    """
     terms = sorted({t for t in _query_terms(query)})
     if not terms:
         raise ValueError("empty query")
     tokens = docs.select(id_col, text_tokens(F.col(text_col)).alias("_t"))
-    measured = tokens.select(
-        id_col,
-        F.size("_t").alias("dl"),
-        F.array(
-            *[F.size(F.filter("_t", _equals(term))) for term in terms]
-        ).alias("tf"),
-    )
+    counts = [F.size(F.filter("_t", _equals(term))) for term in terms]
+    measured = materialise(tokens.select(id_col, F.size("_t").alias("dl"), F.array(*counts).alias("tf")), "terms")
     stats = measured.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("dl").alias("avgdl"),
