@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,14 +162,9 @@ def event_location_refine(
 
 def event_outliers(members: DataFrame, event: str = "event_id", min_cosine: float = OUTLIER_COSINE) -> DataFrame:
     """Members with their cosine to the event's mean vector and whether they stay."""
-    by_axis = (
-        members.select(event, F.posexplode("embedding").alias("pos", "x"))
-        .groupBy(event, "pos")
-        .agg(F.avg(F.col("x").cast("double")).alias("mean"), F.count(F.lit(1)).alias("_n"))
-    )
-    centroid = by_axis.groupBy(event).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda p: p["mean"]).alias("centroid"),
-        F.max("_n").alias("_n"),
+    centroid = members.groupBy(event).agg(
+        vector_to_array(Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>")))).alias("centroid"),
+        F.count(F.lit(1)).alias("_n"),
     )
     joined = attach_facts(members, centroid, [event], F.col("_n"), "media_id")
     length = norm(F.col("embedding")) * norm(F.col("centroid"))

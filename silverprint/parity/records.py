@@ -135,13 +135,14 @@ def _pixel_reader():
 
 @query(
     "encode",
-    """WITH c AS (SELECT doc_id, list_transform(['a', 'e', 'i', 'o', 'u'], lambda v: CAST(len(text) - len(replace(text, v, '')) AS DOUBLE)) AS n FROM documents),
-    l AS (SELECT *, sqrt(list_sum(list_transform(n, lambda x: x * x))) AS len FROM c)
-    SELECT doc_id, round(n[1] / CASE WHEN len = 0 THEN 1 ELSE len END, 5) AS a, round(n[5] / CASE WHEN len = 0 THEN 1 ELSE len END, 5) AS u FROM l""",
+    f"""WITH c AS (SELECT doc_id, {", ".join(f"CAST(len(text) - len(replace(text, '{v}', '')) AS DOUBLE) AS {v}" for v in "aeiou")} FROM documents),
+    l AS (SELECT *, sqrt(a * a + e * e + i * i + o * o + u * u) AS len FROM c),
+    n AS (SELECT *, CASE WHEN len = 0 THEN 1e0 ELSE len END AS d FROM l)
+    SELECT doc_id, round(CAST(CAST(a / d AS FLOAT) AS DOUBLE), 6) AS a, round(CAST(CAST(u / d AS FLOAT) AS DOUBLE), 6) AS u FROM n""",
 )
 def _(t: Tables):
     vectors = t.raw("documents").select("doc_id", models.encode(_vowel_counter)("text").alias("v"))
-    return vectors.select("doc_id", *[F.round(F.col("v")[i].cast("double"), 5).alias(n) for i, n in ((0, "a"), (4, "u"))])
+    return vectors.select("doc_id", *[F.round(F.col("v")[i].cast("double"), 6).alias(n) for i, n in ((0, "a"), (4, "u"))])
 
 
 @query(

@@ -14,7 +14,8 @@ DECODE_LIMIT = 50 * 1024 * 1024
 def image_pixels(spark: SparkSession, root: str, max_bytes: int = DECODE_LIMIT, glob: str = "*") -> DataFrame:
     """Decoded images below ``root``: path, height, width, channels and BGR bytes.
 
-    Sizes come from a listing, which is joined first, so large files are not kept.
+    The image source cannot filter by file size, so larger files are dropped by a join with the
+    listing before their pixels go any further.
     """
     options = {"recursiveFileLookup": True, "pathGlobFilter": glob}
     sizes = (
