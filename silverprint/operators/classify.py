@@ -27,6 +27,27 @@ CAMERA_DIR = r"(DCIM|Camera|100[A-Z]+)"
 DOWNLOAD_DIR = r"Downloads?"
 MESSENGER_NAME = r"(?i)^IMG-\d{8}-WA\d+"
 
+# Category, intent, confidence and reason by rule, for both rule sets.
+SERVER_VERDICTS = {
+    "screenshot": ("SCREENSHOT", "EPHEMERAL", 0.85, "filename matches screenshot pattern"),
+    "messenger": ("WHATSAPP_FORWARD", "EPHEMERAL", 0.7, "path contains messenger media directory"),
+    "camera": ("PHOTO", "KEEP_LONG_TERM", 0.6, "path looks like camera directory"),
+    "receipt": ("RECEIPT", "EPHEMERAL", 0.5, "filename suggests transactional content"),
+    "document": ("DOCUMENT", "EPHEMERAL", 0.5, "filename suggests transactional content"),
+    "meme": ("MEME", "EPHEMERAL", 0.5, "filename suggests meme"),
+    "download": ("OTHER", "EPHEMERAL", 0.3, "file is in Downloads — likely ephemeral"),
+}
+BROWSER_VERDICTS = {
+    "screenshot": ("SCREENSHOT", "EPHEMERAL", 0.85, None),
+    "messenger": ("WHATSAPP_FORWARD", "EPHEMERAL", 0.75, None),
+    "receipt": ("RECEIPT", "EPHEMERAL", 0.5, None),
+    "document": ("DOCUMENT", "EPHEMERAL", 0.5, None),
+    "meme": ("MEME", "EPHEMERAL", 0.5, None),
+    "camera": ("PHOTO", "KEEP_LONG_TERM", 0.6, None),
+    "download": ("OTHER", "EPHEMERAL", 0.3, None),
+}
+NO_VERDICT = ("OTHER", "UNKNOWN", 0.0, None)
+
 # Labels of the zero-shot set with their category and intent.
 LABEL_MAP = {
     "a photo of people": ("PHOTO", "KEEP_LONG_TERM"),
@@ -60,7 +81,8 @@ def classify_ext(ext: Column, rules: str = "server") -> Column:
     return F.when(e.isin(images), "IMAGE").when(e.isin(videos), "VIDEO").otherwise("UNKNOWN")
 
 
-def _verdict(category: str, intent: str, confidence: float, reason: str | None = None) -> Column:
+def _verdict(entry: tuple) -> Column:
+    category, intent, confidence, reason = entry
     return F.struct(
         F.lit(category).alias("category"),
         F.lit(intent).alias("intent"),
@@ -69,70 +91,45 @@ def _verdict(category: str, intent: str, confidence: float, reason: str | None =
     )
 
 
-def _first_match(rules: list[tuple[Column, Column]], otherwise: Column) -> Column:
+def _first_match(tests: dict[str, Column], verdicts: dict[str, tuple]) -> Column:
+    """The verdict of the first rule that holds, in the order of the verdict table."""
     chain = F
-    for condition, verdict in rules:
-        chain = chain.when(condition, verdict)
-    return chain.otherwise(otherwise)
+    for rule, entry in verdicts.items():
+        chain = chain.when(tests[rule], _verdict(entry))
+    return chain.otherwise(_verdict(NO_VERDICT))
+
+
+def _word_tests(name: Column) -> dict[str, Column]:
+    return {
+        "receipt": name.rlike(RECEIPT_WORDS),
+        "document": name.rlike(DOCUMENT_WORDS),
+        "meme": name.rlike(MEME_WORDS),
+    }
 
 
 def classify_path_server(path: Column, filename: Column | None = None) -> Column:
     """Scan-time rules on absolute paths: camera folders win over words in the name."""
     name = F.lower(filename if filename is not None else basename(path))
-    return _first_match(
-        [
-            (
-                name.rlike(SCREENSHOT_NAME) | F.lower(dirname(path)).contains("screenshot"),
-                _verdict("SCREENSHOT", "EPHEMERAL", 0.85, "filename matches screenshot pattern"),
-            ),
-            (
-                path.rlike(rf"[\\/]{MESSENGER_DIR}[\\/]"),
-                _verdict("WHATSAPP_FORWARD", "EPHEMERAL", 0.7, "path contains messenger media directory"),
-            ),
-            (
-                path.rlike(rf"(?i)[\\/]{CAMERA_DIR}[\\/]"),
-                _verdict("PHOTO", "KEEP_LONG_TERM", 0.6, "path looks like camera directory"),
-            ),
-            (
-                name.rlike(RECEIPT_WORDS),
-                _verdict("RECEIPT", "EPHEMERAL", 0.5, "filename suggests transactional content"),
-            ),
-            (
-                name.rlike(DOCUMENT_WORDS),
-                _verdict("DOCUMENT", "EPHEMERAL", 0.5, "filename suggests transactional content"),
-            ),
-            (name.rlike(MEME_WORDS), _verdict("MEME", "EPHEMERAL", 0.5, "filename suggests meme")),
-            (
-                path.rlike(rf"[\\/]{DOWNLOAD_DIR}[\\/]"),
-                _verdict("OTHER", "EPHEMERAL", 0.3, "file is in Downloads — likely ephemeral"),
-            ),
-        ],
-        _verdict("OTHER", "UNKNOWN", 0.0),
-    )
+    tests = _word_tests(name) | {
+        "screenshot": name.rlike(SCREENSHOT_NAME) | F.lower(dirname(path)).contains("screenshot"),
+        "messenger": path.rlike(rf"[\\/]{MESSENGER_DIR}[\\/]"),
+        "camera": path.rlike(rf"(?i)[\\/]{CAMERA_DIR}[\\/]"),
+        "download": path.rlike(rf"[\\/]{DOWNLOAD_DIR}[\\/]"),
+    }
+    return _first_match(tests, SERVER_VERDICTS)
 
 
 def classify_path_browser(path: Column) -> Column:
     """Rules on paths relative to the library: words in the name win over camera folders."""
     filename = basename(path)
     name = F.lower(filename)
-    return _first_match(
-        [
-            (
-                name.rlike(SCREENSHOT_NAME) | path.rlike(r"(?i)/screenshots?/"),
-                _verdict("SCREENSHOT", "EPHEMERAL", 0.85),
-            ),
-            (
-                path.rlike(rf"(?:^|/){MESSENGER_DIR}/") | filename.rlike(MESSENGER_NAME),
-                _verdict("WHATSAPP_FORWARD", "EPHEMERAL", 0.75),
-            ),
-            (name.rlike(RECEIPT_WORDS), _verdict("RECEIPT", "EPHEMERAL", 0.5)),
-            (name.rlike(DOCUMENT_WORDS), _verdict("DOCUMENT", "EPHEMERAL", 0.5)),
-            (name.rlike(MEME_WORDS), _verdict("MEME", "EPHEMERAL", 0.5)),
-            (path.rlike(rf"(?i)(?:^|/){CAMERA_DIR}/"), _verdict("PHOTO", "KEEP_LONG_TERM", 0.6)),
-            (path.rlike(rf"(?:^|/){DOWNLOAD_DIR}/"), _verdict("OTHER", "EPHEMERAL", 0.3)),
-        ],
-        _verdict("OTHER", "UNKNOWN", 0.0),
-    )
+    tests = _word_tests(name) | {
+        "screenshot": name.rlike(SCREENSHOT_NAME) | path.rlike(r"(?i)/screenshots?/"),
+        "messenger": path.rlike(rf"(?:^|/){MESSENGER_DIR}/") | filename.rlike(MESSENGER_NAME),
+        "camera": path.rlike(rf"(?i)(?:^|/){CAMERA_DIR}/"),
+        "download": path.rlike(rf"(?:^|/){DOWNLOAD_DIR}/"),
+    }
+    return _first_match(tests, BROWSER_VERDICTS)
 
 
 def with_path_class(items: DataFrame, rules: str = "server") -> DataFrame:

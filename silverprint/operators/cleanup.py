@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silverprint.functions.text import fmt_bytes, plural
+from silverprint.operators.dedup import BEST_COPY, BEST_NEAR
 from silverprint.operators.keyed import single
 from silverprint.operators.ranking import QuantileRule, quantile_items
 from silverprint.operators.views import is_tiny
@@ -29,19 +30,70 @@ QUALITY_RULES = {
     "blown": ("brightness", 0.02, "high"),
 }
 
-# Icon and priority of each suggestion.
+# Icon, priority, title and text of each suggestion. {n} counts items, {groups} counts
+# groups, {bytes} is their size; {s}, {y} and {gs} are the plural endings that go with the counts.
 SUGGESTIONS = {
-    "dups-exact": ("save", 1.0),
-    "dups-near": ("burst", 2.0),
-    "blurry": ("blur", 3.0),
-    "dark": ("dark", 4.0),
-    "blank": ("blank", 4.5),
-    "blown": ("dark", 5.0),
-    "screenshots": ("shot", 6.0),
-    "messenger": ("wa", 7.0),
-    "transactional": ("doc", 8.0),
-    "tiny": ("tiny", 9.0),
-    "bigvideo": ("video", 10.0),
+    "dups-exact": (
+        "save",
+        1.0,
+        "Remove {n} exact-duplicate cop{y}",
+        "{groups} duplicate group{gs} found by SHA-256 · recover {bytes}",
+    ),
+    "dups-near": (
+        "burst",
+        2.0,
+        "Keep best frame of {groups} near-duplicate cluster{gs}",
+        "{n} extra copies found by perceptual hash · recover {bytes}",
+    ),
+    "blurry": (
+        "blur",
+        3.0,
+        "Review {n} least-sharp photo{s}",
+        "Bottom 5% by Laplacian variance · {bytes} · likely blurry or out of focus",
+    ),
+    "dark": (
+        "dark",
+        4.0,
+        "Review {n} darkest photo{s}",
+        "Bottom 5% by mean luma · {bytes} · likely underexposed or accidental pocket shots",
+    ),
+    "blank": (
+        "blank",
+        4.5,
+        "Review {n} likely blank or accidental photo{s}",
+        "Lowest 5% RGB variance · {bytes} · walls, lens-covered, near-monochrome — usually safe to delete",
+    ),
+    "blown": ("dark", 5.0, "Review {n} overexposed photo{s}", "Top 2% brightness · {bytes} · mostly white frames"),
+    "screenshots": (
+        "shot",
+        6.0,
+        "{n} screenshot{s} detected",
+        "Matched filename pattern (Screenshot_*, /Screenshots/) · {bytes}",
+    ),
+    "messenger": (
+        "wa",
+        7.0,
+        "{n} WhatsApp/messenger file{s}",
+        "Matched IMG-YYYYMMDD-WA* or /WhatsApp/Media/ path · {bytes}",
+    ),
+    "transactional": (
+        "doc",
+        8.0,
+        "{n} ephemeral document{s}",
+        "Receipts, QR codes, parking spots, IDs · {bytes}",
+    ),
+    "tiny": (
+        "tiny",
+        9.0,
+        "{n} low-resolution image{s}",
+        "≤800px on the long edge · {bytes} · typically shared/compressed copies",
+    ),
+    "bigvideo": (
+        "video",
+        10.0,
+        "{n} large video{s} (>500 MB each)",
+        "Often safe to archive or compress · {bytes} total",
+    ),
 }
 SAFE_SUGGESTIONS = ("dups-exact", "dups-near")
 
@@ -181,10 +233,10 @@ def suggestion_members(items: DataFrame, exact_members: DataFrame, near_members:
     """
     sized = items.select("media_id", "size_bytes")
     spare = (
-        exact_members.filter(F.col("reason") != "best candidate")
+        exact_members.filter(F.col("reason") != BEST_COPY)
         .select(F.lit("dups-exact").alias("suggestion_id"), "media_id")
         .unionByName(
-            near_members.filter(F.col("reason") != "best of cluster").select(
+            near_members.filter(F.col("reason") != BEST_NEAR).select(
                 F.lit("dups-near").alias("suggestion_id"), "media_id"
             )
         )
@@ -211,62 +263,17 @@ def suggestion_members(items: DataFrame, exact_members: DataFrame, near_members:
     return duplicates.unionByName(weak).unionByName(by_rule)
 
 
-def _titles(n: Column, groups: Column) -> Column:
-    text = n.cast("string")
-
-    def of(prefix: str, middle: Column) -> Column:
-        return F.concat(F.lit(prefix), text, middle)
-
-    s = plural(n, "", "s")
-    by_id = {
-        "dups-exact": of("Remove ", F.concat(F.lit(" exact-duplicate cop"), plural(n, "y", "ies"))),
-        "dups-near": F.concat(
-            F.lit("Keep best frame of "), groups.cast("string"), F.lit(" near-duplicate cluster"), plural(groups, "", "s")
-        ),
-        "blurry": of("Review ", F.concat(F.lit(" least-sharp photo"), s)),
-        "dark": of("Review ", F.concat(F.lit(" darkest photo"), s)),
-        "blank": of("Review ", F.concat(F.lit(" likely blank or accidental photo"), s)),
-        "blown": of("Review ", F.concat(F.lit(" overexposed photo"), s)),
-        "screenshots": of("", F.concat(F.lit(" screenshot"), s, F.lit(" detected"))),
-        "messenger": of("", F.concat(F.lit(" WhatsApp/messenger file"), s)),
-        "transactional": of("", F.concat(F.lit(" ephemeral document"), s)),
-        "tiny": of("", F.concat(F.lit(" low-resolution image"), s)),
-        "bigvideo": of("", F.concat(F.lit(" large video"), s, F.lit(" (>500 MB each)"))),
-    }
-    return _by_suggestion(by_id)
-
-
-def _bodies(n: Column, groups: Column, size: Column) -> Column:
-    b = fmt_bytes(size)
-    by_id = {
-        "dups-exact": F.concat(
-            groups.cast("string"), F.lit(" duplicate group"), plural(groups, "", "s"), F.lit(" found by SHA-256 · recover "), b
-        ),
-        "dups-near": F.concat(n.cast("string"), F.lit(" extra copies found by perceptual hash · recover "), b),
-        "blurry": F.concat(F.lit("Bottom 5% by Laplacian variance · "), b, F.lit(" · likely blurry or out of focus")),
-        "dark": F.concat(F.lit("Bottom 5% by mean luma · "), b, F.lit(" · likely underexposed or accidental pocket shots")),
-        "blank": F.concat(
-            F.lit("Lowest 5% RGB variance · "), b, F.lit(" · walls, lens-covered, near-monochrome — usually safe to delete")
-        ),
-        "blown": F.concat(F.lit("Top 2% brightness · "), b, F.lit(" · mostly white frames")),
-        "screenshots": F.concat(F.lit("Matched filename pattern (Screenshot_*, /Screenshots/) · "), b),
-        "messenger": F.concat(F.lit("Matched IMG-YYYYMMDD-WA* or /WhatsApp/Media/ path · "), b),
-        "transactional": F.concat(F.lit("Receipts, QR codes, parking spots, IDs · "), b),
-        "tiny": F.concat(F.lit("≤800px on the long edge · "), b, F.lit(" · typically shared/compressed copies")),
-        "bigvideo": F.concat(F.lit("Often safe to archive or compress · "), b, F.lit(" total")),
-    }
-    return _by_suggestion(by_id)
-
-
-def _by_suggestion(by_id: dict[str, Column]) -> Column:
+def _by_suggestion(position: int) -> Column:
     chain = F
-    for id_, text in by_id.items():
-        chain = chain.when(F.col("suggestion_id") == id_, text)
-    return chain.otherwise(F.lit(None).cast("string"))
+    for id_, entry in SUGGESTIONS.items():
+        chain = chain.when(F.col("suggestion_id") == id_, F.lit(entry[position]))
+    return chain.otherwise(F.lit(None))
 
 
-def _lookup(position: int) -> Column:
-    return _by_suggestion({id_: F.lit(entry[position]) for id_, entry in SUGGESTIONS.items()})
+def _filled(template: Column, values: dict[str, Column]) -> Column:
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), value)
+    return template
 
 
 def suggestions(members: DataFrame, exact_groups: DataFrame, near_groups: DataFrame, with_items: bool = False) -> DataFrame:
@@ -282,20 +289,25 @@ def suggestions(members: DataFrame, exact_groups: DataFrame, near_groups: DataFr
     groups = F.when(
         F.col("suggestion_id") == "dups-exact", exact_groups.agg(F.count(F.lit(1))).scalar()
     ).otherwise(near_groups.agg(F.count(F.lit(1))).scalar())
-    return (
-        counted.filter((F.col("suggestion_id") != "tiny") | (F.col("count") >= 3))
-        .select(
-            F.col("suggestion_id").alias("id"),
-            _lookup(0).alias("icon"),
-            _titles(F.col("count"), groups).alias("title"),
-            _bodies(F.col("count"), groups, F.col("bytes")).alias("body"),
-            "count",
-            "bytes",
-            _lookup(1).cast("double").alias("priority"),
-            *(["item_ids"] if with_items else []),
-        )
-        .orderBy("priority")
-    )
+    shown = counted.filter((F.col("suggestion_id") != "tiny") | (F.col("count") >= 3)).withColumn("groups", groups)
+    values = {
+        "n": F.col("count").cast("string"),
+        "s": plural(F.col("count"), "", "s"),
+        "y": plural(F.col("count"), "y", "ies"),
+        "groups": F.col("groups").cast("string"),
+        "gs": plural(F.col("groups"), "", "s"),
+        "bytes": fmt_bytes(F.col("bytes")),
+    }
+    return shown.select(
+        F.col("suggestion_id").alias("id"),
+        _by_suggestion(0).alias("icon"),
+        _filled(_by_suggestion(2), values).alias("title"),
+        _filled(_by_suggestion(3), values).alias("body"),
+        "count",
+        "bytes",
+        _by_suggestion(1).alias("priority"),
+        *(["item_ids"] if with_items else []),
+    ).orderBy("priority")
 
 
 def suggestion_totals(visible: DataFrame) -> DataFrame:

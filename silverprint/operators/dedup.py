@@ -29,6 +29,11 @@ CAMERA_WORDS = "(?i)DCIM|Camera"
 COPY_WORDS = "(?i)WhatsApp|Sent|Copy"
 
 
+# Reasons of members and notes of the duplicate view.
+BEST_COPY, OTHER_COPY, BEST_NEAR, NEAR_DISTANCE = "best candidate", "duplicate of best", "best of cluster", "hamming="
+NOTE_BEST, NOTE_EXACT, NOTE_NEAR = "Best candidate", "Byte-identical", "Near duplicate"
+
+
 def keep_score(path: Column, width: Column, height: Column, size: Column) -> Column:
     """Pixels plus a little for bytes, more for camera folders, less for copies."""
     pixels = F.coalesce(width.cast("double") * height.cast("double"), F.lit(0.0))
@@ -111,7 +116,7 @@ def exact_dup_members(
         F.concat(F.lit("dg_"), F.substring("sha256", 1, 16)).alias("group_id"),
         "media_id",
         F.lit(1.0).alias("score"),
-        F.when(is_best, "best candidate").otherwise("duplicate of best").alias("reason"),
+        F.when(is_best, BEST_COPY).otherwise(OTHER_COPY).alias("reason"),
     )
 
 
@@ -182,8 +187,8 @@ def near_dedup(
         "group_id",
         "media_id",
         (1 - d / 64).alias("score"),
-        F.when(F.col("media_id") == F.col("best_media_id"), F.lit("best of cluster"))
-        .otherwise(F.concat(F.lit("hamming="), d.cast("string")))
+        F.when(F.col("media_id") == F.col("best_media_id"), F.lit(BEST_NEAR))
+        .otherwise(F.concat(F.lit(NEAR_DISTANCE), d.cast("string")))
         .alias("reason"),
     )
     return groups, members
@@ -228,9 +233,9 @@ def dup_member_view(groups: DataFrame, members: DataFrame, items: DataFrame) ->
         F.coalesce("width", F.lit(0)).alias("width"),
         F.coalesce("height", F.lit(0)).alias("height"),
         member_when(F.col("last_modified")).alias("when"),
-        F.when(F.col("media_id") == F.col("best_media_id"), "Best candidate")
-        .when(exact, "Byte-identical")
-        .otherwise("Near duplicate")
+        F.when(F.col("media_id") == F.col("best_media_id"), NOTE_BEST)
+        .when(exact, NOTE_EXACT)
+        .otherwise(NOTE_NEAR)
         .alias("note"),
         F.when(exact, F.lit(1.0)).otherwise(F.lit(0.9)).alias("confidence"),
         group_label(F.col("_first.filename")).alias("label"),

@@ -84,16 +84,17 @@ def media_upsert(media: DataFrame, listing: DataFrame, library_id: str | None =
         F.col("_v.confidence").alias("category_confidence"),
         F.lit(False).alias("is_hashed"),
     )
-    known = media.select(*[c for c in incoming.columns if c in media.columns])
-    merged = upsert(known, incoming, ["path"], ["size_bytes", "last_modified"])
-    if not rehash_on_change:
-        return merged
-    before = known.select("path", F.col("size_bytes").alias("_size"), F.col("last_modified").alias("_mtime"))
-    changed = (F.col("_size") != F.col("size_bytes")) | (F.col("_mtime") != F.col("last_modified"))
-    return merged.join(before, "path", "left").select(
-        *[c for c in merged.columns if c != "is_hashed"],
-        (F.col("is_hashed") & ~F.coalesce(changed, F.lit(False))).alias("is_hashed"),
+    # the old size and time ride along in the same join, to tell changed files from unchanged ones
+    known = media.select(
+        *[c for c in incoming.columns if c in media.columns],
+        F.col("size_bytes").alias("_size"),
+        F.col("last_modified").alias("_mtime"),
     )
+    merged = upsert(known, incoming, ["path"], ["size_bytes", "last_modified"])
+    if rehash_on_change:
+        changed = (F.col("_size") != F.col("size_bytes")) | (F.col("_mtime") != F.col("last_modified"))
+        merged = merged.withColumn("is_hashed", F.col("is_hashed") & ~F.coalesce(changed, F.lit(False)))
+    return merged.drop("_size", "_mtime")
 
 
 def hash_upsert(hashes: DataFrame, computed: DataFrame) -> DataFrame:

@@ -14,6 +14,16 @@ from silverprint.plans.naming import new_target, unique_targets
 from silverprint.schema import MANIFEST
 
 
+# Texts of warnings, summaries and the note of a rename.
+MISSING_IDS = " requested item(s) no longer exist in the DB"
+VANISHED = "Source no longer on disk: "
+UNKNOWN_MEDIA = "Unknown media: "
+COLLISION, CHOSEN_INSTEAD = "Collision: ", " → "
+TRASH_SUMMARY = ("Move ", " file(s) to Trash · ")
+RENAME_SUMMARY = ("Rename ", " file(s)")
+RENAME_NOTE = "rename"
+
+
 class Plan(NamedTuple):
     """Planned moves and the warnings found while planning."""
 
@@ -56,9 +66,9 @@ def plan_trash(
     )
     missing = looked_up.agg(F.count_if(~known).alias("n")).filter("n > 0")
     warnings = missing.select(
-        F.concat(F.col("n").cast("string"), F.lit(" requested item(s) no longer exist in the DB")).alias("warning")
+        F.concat(F.col("n").cast("string"), F.lit(MISSING_IDS)).alias("warning")
     ).unionByName(
-        looked_up.filter(known & ~present).select(F.concat(F.lit("Source no longer on disk: "), "path").alias("warning"))
+        looked_up.filter(known & ~present).select(F.concat(F.lit(VANISHED), "path").alias("warning"))
     )
     return Plan("TRASH", ops, warnings)
 
@@ -70,12 +80,12 @@ def plan_rename(requests: DataFrame, items: DataFrame, hashes: DataFrame, listin
     known = requests.join(facts, "media_id").withColumn("target", new_target(F.col("path"), F.col("new_name")))
     chosen = unique_targets(known.select("media_id", "target"), listing.select("path"))
     ops = known.drop("target").join(chosen, "media_id").select(
-        "media_id", F.col("path").alias("from"), F.col("final").alias("to"), "size_bytes", "sha256", F.lit("rename").alias("note")
+        "media_id", F.col("path").alias("from"), F.col("final").alias("to"), "size_bytes", "sha256", F.lit(RENAME_NOTE).alias("note")
     )
     unknown = requests.join(items.select("media_id"), "media_id", "left_anti")
-    warnings = unknown.select(F.concat(F.lit("Unknown media: "), "media_id").alias("warning")).unionByName(
+    warnings = unknown.select(F.concat(F.lit(UNKNOWN_MEDIA), "media_id").alias("warning")).unionByName(
         chosen.filter("collided").select(
-            F.concat(F.lit("Collision: "), "target", F.lit(" → "), "final").alias("warning")
+            F.concat(F.lit(COLLISION), "target", F.lit(CHOSEN_INSTEAD), "final").alias("warning")
         )
     )
     return Plan("RENAME", ops, warnings)
@@ -84,9 +94,9 @@ def plan_rename(requests: DataFrame, items: DataFrame, hashes: DataFrame, listin
 def plan_summary(plan: Plan) -> DataFrame:
     n, total = F.col("n").cast("string"), F.col("total_bytes")
     text = (
-        F.concat(F.lit("Move "), n, F.lit(" file(s) to Trash · "), human_bytes(total))
+        F.concat(F.lit(TRASH_SUMMARY[0]), n, F.lit(TRASH_SUMMARY[1]), human_bytes(total))
         if plan.kind == "TRASH"
-        else F.concat(F.lit("Rename "), n, F.lit(" file(s)"))
+        else F.concat(F.lit(RENAME_SUMMARY[0]), n, F.lit(RENAME_SUMMARY[1]))
     )
     return plan.ops.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes")
