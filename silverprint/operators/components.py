@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from silverprint.operators.keyed import HOT_ROWS, attach_facts
+from silverprint.operators.keyed import attach_facts
 from silverprint.workspace import materialise, release
 
 
@@ -29,29 +31,23 @@ def star_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def thin_edges(pairs: DataFrame, group: str, a: str, b: str) -> DataFrame:
-    """Replace the pairs of each group by star links, at most one per node of the group.
+def thin_edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Replace the pairs of each batch by star links, at most one per node of the batch.
 
-    For groups of bounded size that come out of a join on ``group``: rows stay where they are, and
-    a dense group no longer hands all its pairs to the component search.
+    Valid for any subset of the pairs, so rows stay where they are and nothing is shuffled: a dense group that
+    came out of a join no longer hands all its pairs to the component search.
     """
 
-    def thin(block: pd.DataFrame) -> pd.DataFrame:
-        hi, lo = star_links(block[a].to_numpy(), block[b].to_numpy())
-        return pd.DataFrame({a: lo, b: hi})
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hi, lo = star_links(batch[a].to_numpy(), batch[b].to_numpy())
+            yield pd.DataFrame({a: lo, b: hi})
 
     kind = pairs.schema[a].dataType.simpleString()
-    return pairs.select(group, a, b).groupBy(group).applyInPandas(thin, f"{a} {kind}, {b} {kind}")
-
-
-def _with_root(edges: DataFrame, roots: DataFrame, key: str, spread_by: str, hot_rows: int, count: int) -> DataFrame:
-    """Edges with the root of their ``key`` node; a table below ``hot_rows`` cannot hold a hot node."""
-    if count < hot_rows:
-        return edges.join(roots.select(key, "root"), key)
-    return attach_facts(edges, roots, [key], F.col("degree"), spread_by, hot_rows)
+    return pairs.select(a, b).mapInPandas(thin, f"{a} {kind}, {b} {kind}")
 
 
-def _large_star(edges: DataFrame, hot_rows: int, count: int) -> DataFrame:
+def _large_star(edges: DataFrame, hot_rows: int | None) -> DataFrame:
     """Hang every larger neighbour of a node on the node's smallest neighbour."""
     ends = F.array(
         F.struct(F.col("lo").alias("node"), F.col("hi").alias("other")),
@@ -63,46 +59,47 @@ def _large_star(edges: DataFrame, hot_rows: int, count: int) -> DataFrame:
         .agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("degree"))
         .select(F.col("node").alias("lo"), F.least("other", "node").alias("root"), "degree")
     )
-    hung = _with_root(edges, roots, "lo", "hi", hot_rows, count)
+    hung = attach_facts(edges, roots, ["lo"], F.col("degree"), "hi", hot_rows)
     return hung.select("hi", F.col("root").alias("lo")).distinct()
 
 
-def _small_star(edges: DataFrame, hot_rows: int, count: int) -> DataFrame:
+def _small_star(edges: DataFrame, hot_rows: int | None) -> DataFrame:
     """Hang a node and its smaller neighbours on the smallest of them."""
     roots = edges.groupBy("hi").agg(F.min("lo").alias("root"), F.count(F.lit(1)).alias("degree"))
-    rooted = _with_root(edges, roots, "hi", "lo", hot_rows, count)
+    rooted = attach_facts(edges, roots, ["hi"], F.col("degree"), "lo", hot_rows)
     # the row of the root itself stands for the edge from the node to its root
     moved = F.when(F.col("lo") == F.col("root"), F.col("hi")).otherwise(F.col("lo"))
     return rooted.select(moved.alias("hi"), F.col("root").alias("lo")).distinct()
 
 
-def _is_settled(edges: DataFrame) -> bool:
-    """True once every edge points at a node that is the root of its own star."""
-    roles = F.array(
-        F.struct(F.col("hi").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")),
-        F.struct(F.col("lo").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")),
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a scratch table, and a fingerprint of the set that the write itself gathers."""
+    seen = Observation()
+    table = materialise(
+        edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x"), F.bit_xor(F.xxhash64("lo", "hi")).alias("y")),
+        "edges",
     )
-    nodes = edges.select(F.inline(roles)).groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
-    return nodes.filter("hangs > 1 or (hangs > 0 and holds > 0)").isEmpty()
+    return table, (seen.get["n"], seen.get["x"], seen.get["y"])
 
 
 def connected_components(
-    edges: DataFrame, src: str = "src", dst: str = "dst", hot_rows: int = HOT_ROWS
+    edges: DataFrame, src: str = "src", dst: str = "dst", hot_rows: int | None = None
 ) -> DataFrame:
     """``(node, component)`` of every node with an edge; a component is named by its smallest node.
 
-    The number of edges never grows and the number of rounds is logarithmic even for long chains.
-    Hubs are handled by :func:`attach_facts`, each round starts from a written table.
+    The number of edges never grows and the number of rounds is logarithmic even for long chains. A round is one
+    write; the search ends when a round leaves the set of edges as it was. Hubs are handled by
+    :func:`attach_facts`, each round starts from a written table.
     """
-    canonical = (
-        edges.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo")).filter("hi <> lo").distinct()
-    )
-    current = materialise(canonical, "edges")
-    while not _is_settled(current):
-        count = current.count()
-        following = materialise(_small_star(_large_star(current, hot_rows, count), hot_rows, count), "edges")
+    canonical = edges.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo")).filter("hi <> lo")
+    current, mark = _written(thin_edges(canonical, "lo", "hi").select("hi", "lo").distinct())
+    while mark[0]:
+        following, next_mark = _written(_small_star(_large_star(current, hot_rows), hot_rows))
         release(current)
         current = following
+        if next_mark == mark:
+            break
+        mark = next_mark
     return current.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
         current.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     )

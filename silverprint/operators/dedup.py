@@ -18,7 +18,7 @@ from silverprint.operators.hamming_pairs import (
     near_window_links,
     rank_by_hash,
 )
-from silverprint.operators.keyed import HOT_ROWS, attach_facts
+from silverprint.operators.keyed import attach_facts
 from silverprint.workspace import materialise
 
 # Weights of the keep score and the path words it looks for.
@@ -103,7 +103,7 @@ def exact_dup_groups(
 
 
 def exact_dup_members(
-    items: DataFrame, library: str | None = None, members_scope: str = "library", hot_rows: int = HOT_ROWS
+    items: DataFrame, library: str | None = None, members_scope: str = "library", hot_rows: int | None = None
 ) -> DataFrame:
     """One row per copy in an exact group."""
     facts = _exact_facts(items, library, members_scope).select("sha256", "member_count", "best_media_id")
@@ -133,7 +133,7 @@ _NEAR_COLUMNS = ["media_id", "sha256", "dhash", "dhash_hex", "path", "width", "h
 
 
 def _near_tagged(
-    items: DataFrame, library: str | None, limit: int, window: int, mode: str, hot_rows: int = HOT_ROWS
+    items: DataFrame, library: str | None, limit: int, window: int, mode: str, hot_rows: int | None = None
 ) -> DataFrame:
     """Near-duplicate candidates with the component they belong to; lone ones are left out."""
     candidates = near_candidates(items, library).select(*_NEAR_COLUMNS)
@@ -164,7 +164,7 @@ def near_dedup(
     limit: int = HAMMING_LIMIT,
     window: int = RANK_WINDOW,
     mode: str = "window",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Groups and members of near duplicates.
 

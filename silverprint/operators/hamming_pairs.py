@@ -55,7 +55,7 @@ def near_window_links(ranked: DataFrame, limit: int = HAMMING_LIMIT, window: int
     A bucket sees at most two windows of rows, so a run of very many equal hashes gives at most two
     links per row instead of one per pair.
     """
-    return thin_edges(near_window_pairs(ranked, limit, window), "bucket", "rank_a", "rank_b")
+    return thin_edges(near_window_pairs(ranked, limit, window), "rank_a", "rank_b")
 
 
 def hash_groups(items: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def near_banded_pairs(
         calm = keyed if last else keyed.join(crowds, "key", "left_anti")
         pairs = _join_bands(calm, limit, widths, digit)
         if links_only and bounded:
-            pairs = thin_edges(pairs, "key", "dhash_a", "dhash_b")
+            pairs = thin_edges(pairs, "dhash_a", "dhash_b")
         else:
             pairs = pairs.select("dhash_a", "dhash_b", *([] if links_only else ["distance"]))
         found = pairs if found is None else found.unionByName(pairs)

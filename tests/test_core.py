@@ -110,7 +110,7 @@ def test_star_links_and_thin_edges_keep_components(spark):
     hi, lo = star_links(a, b)
     assert union_find(zip(a.tolist(), b.tolist())) == {**{x: x for x in set(a.tolist()) | set(b.tolist())}, **union_find(zip(hi.tolist(), lo.tolist()))}
     pairs = spark.createDataFrame([(i // 50, int(x), int(y)) for i, (x, y) in enumerate(zip(a, b))], "g long, a long, b long")
-    thin = [tuple(r) for r in thin_edges(pairs, "g", "a", "b").collect()]
+    thin = [tuple(r) for r in thin_edges(pairs, "a", "b").collect()]
     both = union_find(zip(a.tolist(), b.tolist()))
     assert {k: v for k, v in both.items() if k in union_find(thin)} == union_find(thin)
     assert len(thin) <= 100
