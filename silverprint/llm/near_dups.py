@@ -12,8 +12,8 @@ a Jaccard similarity of ``t`` share ``k * t`` retained values on average; a pair
 3. Each list is compared with its most central node only, so a group of thousands of near copies costs one pair a
    node. The bottom-k of the union of two sketches estimates their similarity and drops pairs far below ``t``.
 4. Full sets confirm what is left. Lists whose nodes are then in one component are done; in the others all pairs of
-   nodes from different components are tried in blocks of bounded size, but for those that cannot be links because
-   Jaccard distance is a metric: a node far from the centre has no link to the centre's own links.
+   nodes from different components are tried if the list is short. In a long one most nodes are ruled out first, by what
+   they share with the centre and with anyone else (see ``_long_list_pairs``).
 5. Components of the links name the documents.
 """
 
@@ -37,7 +37,8 @@ K = 64
 RETAINED_SHARE = 0.5
 #: Standard deviations by which an estimate may be off.
 SIGMAS = 5
-#: Nodes of one block of an inverted list.
+#: Nodes of an inverted list all of whose pairs may be tried, and of one block of a longer one.
+SHORT = 32
 BLOCK = 64
 
 
@@ -202,31 +203,82 @@ def _links(source: DataFrame, nodes: DataFrame, percent: int, k: int, retained_s
     mixed = labelled.groupBy("value").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
     ).filter("low <> high and n > 2")
-    # role: 0 the centre's own links, 1 neither, 2 too far from the centre for a link to any of them
-    judged = (
-        attach_facts(labelled, mixed, ["value"], F.col("n"), "node")
-        .filter("node <> centre")
-        .join(first.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(True).alias("linked")), ["centre", "node"], "left")
-        .join(likeness.select(F.col("a").alias("centre"), F.col("b").alias("node"), "likeness"), ["centre", "node"], "left")
+    open_lists = materialise(attach_facts(labelled, mixed.select("value", "n"), ["value"], F.col("n"), "node"), "open_lists")
+    rest = _short_list_pairs(open_lists.filter(F.col("n") <= SHORT), likeness, first, target, slack).unionByName(
+        _long_list_pairs(open_lists.filter(F.col("n") > SHORT), sets, percent)
     )
+    second = _confirmed(estimated(rest.distinct()).filter(possible).select("a", "b"), sets, percent)
+    return first.select("a", "b").unionByName(second.select("a", "b"))
+
+
+def _short_list_pairs(members: DataFrame, likeness: DataFrame, first: DataFrame, target: float, slack: float) -> DataFrame:
+    """All pairs of nodes from different components in lists of at most ``SHORT`` nodes, but for the centre's own."""
+    ends = [F.col("a").alias("centre"), F.col("b").alias("node")]
+    # role: 0 the centre's own links, 1 neither, 2 too far from the centre for a link to any of them
     reach = max(0.0, 2 * target - 1 - slack)
     role = F.when(F.col("linked"), 0).when(F.col("likeness") >= reach, 1).otherwise(2)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = judged.select(
-        "value", "node", "component", role.alias("role"), blocks.alias("blocks"),
-        F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"),
-    )
-    # every pair of blocks of a list meets under one key
-    met = members.select(
-        "*",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))).alias("at"),
+    judged = (
+        members.filter("node <> centre")
+        .join(first.select(*ends, F.lit(True).alias("linked")), ["centre", "node"], "left")
+        .join(likeness.select(*ends, "likeness"), ["centre", "node"], "left")
+        .select("value", "node", "component", role.alias("role"))
     )
-    left, right = met.alias("l"), met.alias("r")
-    rest = (
-        left.join(right, ["value", "at"])
+    return (
+        judged.alias("l")
+        .join(judged.alias("r"), "value")
         .filter("l.node < r.node and l.component <> r.component and abs(l.role - r.role) < 2")
         .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-        .distinct()
     )
-    second = _confirmed(estimated(rest).filter(possible).select("a", "b"), sets, percent)
-    return first.select("a", "b").unionByName(second.select("a", "b"))
+
+
+def _long_list_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one centre's long lists that can still be links, without pairing a list with itself.
+
+    Nodes that the centre links are in its component, so one of a pair is a node that it does not link. What two nodes
+    share is at most what the centre shares with the poorer of them, plus what the poorer holds outside the centre and
+    some other node holds too. A node whose share stays too small even for the smallest partner goes before any pair is
+    made; of a group of near copies this leaves those on the edge of the threshold, and of documents with one common
+    passage none. Those left meet the whole group in blocks of bounded size.
+    """
+    grouped = members.select("centre", "node", "component").distinct()
+    own = sets.join(grouped.select("node").union(grouped.select("centre")).distinct(), "node", "left_semi")
+    each = own.select("node", F.explode("set").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("shingle")
+    held = each.join(often, "shingle").groupBy("node").agg(F.collect_list("shingle").alias("held"))
+    of_centre = own.select(F.col("node").alias("centre"), F.col("set").alias("core"))
+    described = materialise(
+        grouped.filter("node <> centre")
+        .join(own.join(held, "node", "left"), "node")
+        .join(of_centre, "centre")
+        .select(
+            "centre",
+            "node",
+            "component",
+            F.size("set").alias("n"),
+            F.size("core").alias("core"),
+            F.size(F.array_intersect("set", "core")).alias("inside"),
+            F.coalesce(F.size(F.array_except("held", "core")), F.lit(0)).alias("outside"),
+        ),
+        "described",
+    )
+
+    def enough(shared: Column, a: Column, b: Column) -> Column:
+        return 100 * shared >= percent * (a + b - shared)
+
+    least = described.groupBy("centre").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("size"))
+    alive = attach_facts(described, least, ["centre"], F.col("size"), "node").filter(
+        enough(F.col("inside") + F.col("outside"), F.col("n"), F.least(F.col("least"), F.col("inside") + F.col("outside")))
+        | enough(F.col("inside") + F.col("outside"), F.col("n"), F.col("least"))
+    )
+    loose = alive.filter(~enough(F.col("inside"), F.col("n"), F.col("core")))
+    blocks = loose.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("loose"))
+    spread = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    left = attach_facts(loose, blocks, ["centre"], F.col("loose"), "node").withColumn("block", spread)
+    right = attach_facts(alive, blocks, ["centre"], F.col("loose"), "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    shared = F.least("l.inside", "r.inside") + F.least("l.outside", "r.outside")
+    return (
+        left.alias("l")
+        .join(right.alias("r"), ["centre", "block"])
+        .filter((F.col("l.component") != F.col("r.component")) & enough(F.least(shared, F.col("l.n"), F.col("r.n")), F.col("l.n"), F.col("r.n")))
+        .select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+    )

@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silverprint.llm import decontaminate, near_dups
+from silverprint.llm import decontaminate, fingerprints, near_dups, quality_rank, simple8b, surrogates, word_bpe
 from silverprint.llm.registry import ORACLES, QUERIES, query, table
+from silverprint.workspace import new_table_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
+#: Key of the registered query; a real run passes a secret of its own.
+SURROGATE_KEY = b"surrogates of the registered query"
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file, which every executor has at the same path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 @query("op1_decontamination")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +37,41 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_word_bpe")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), stored=True)
+
+
+@query("op6_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op7_surrogates")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = surrogates.replace_personal_data(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return replaced.select("doc_id", "text", "n_entities")
+
+
 @query("op8_near_duplicates")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_rank")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranking = quality_rank.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_rank.score(docs, ranking).select(
+        "doc_id",
+        (quality_rank.fold(F.col("doc_id")) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= quality_rank.CUT_SCORE).cast("int").alias("predicted"),
+    )
+
+
+@query("op10_simple8b")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "tokens")
+    simple8b.write_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), path)
+    return simple8b.read_tokens(spark, path, digest=True)
