@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silverprint.llm import decontaminate, fingerprints, near_dups, quality_rank, simple8b, surrogates, word_bpe
+from silverprint.llm import decontaminate, domain_scores, fingerprints, licenses, near_dups, quality_rank, shards, simple8b, surrogates, word_bpe
 from silverprint.llm.registry import ORACLES, QUERIES, query, table
 from silverprint.workspace import new_table_path
 
@@ -14,6 +14,9 @@ __all__ = ["ORACLES", "QUERIES"]
 #: Key of the registered query; a real run passes a secret of its own.
 SURROGATE_KEY = b"surrogates of the registered query"
 
+#: Shards of the registered query.
+SHARDS = 24
+
 
 def vocabulary(name: str) -> str:
     """Place of a public vocabulary file, which every executor has at the same path."""
@@ -42,6 +45,30 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), stored=True)
 
 
+@query("op3_license_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op4_sharding")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    return shards.shuffle_into(rows, SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query("op5_domain_scores")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
+    model = domain_scores.fit(docs.join(good, "doc_id", "left"), "good")
+    return domain_scores.score(docs, model).drop("text")
+
+
 @query("op6_fingerprints")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
