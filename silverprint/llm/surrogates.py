@@ -182,7 +182,9 @@ def dressed(value: str, kind: str, replacement: str) -> str:
     if kind in ("secret", "ip"):
         return replacement
     if kind == "email":
-        return replacement.upper() if value.isupper() else replacement.capitalize() if value[0].isupper() else replacement
+        (local, _, domain), old = replacement.rpartition("@"), value.rpartition("@")[0]
+        shown = local.upper() if old.isupper() and len(old) > 1 else local.capitalize() if old[0].isupper() else local
+        return f"{shown}@{domain.upper() if value.isupper() else domain}"
     if kind == "person":
         name = replacement.partition(":")[2]
         return name.upper() if value.isupper() and len(value) > 1 else re.sub(r"(^|[ \-'’])(\w)", lambda m: m.group(1) + m.group(2).upper(), name)
