@@ -71,8 +71,13 @@ def group_label(filename: Column) -> Column:
 
 def natural_key(name: Column) -> Column:
     """Sort text for file names: no case, no accents, digit runs compared as numbers."""
-    padded = F.regexp_replace(name, r"(\d+)", "00000000000000000000$1")
-    return F.collate(F.regexp_replace(padded, r"0*(\d{20})(?!\d)", "$1"), "UNICODE_CI_AI")
+    # a run of digits without leading zeros, its length in front: longer numbers are larger
+    def part(p: Column) -> Column:
+        digits = F.regexp_replace(p, r"^0+(?=\d)", "")
+        return F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)).otherwise(p)
+
+    parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(0))
+    return F.collate(F.array_join(F.transform(parts, part), ""), "UNICODE_CI_AI")
 
 
 def json_text(*columns: Column) -> Column:

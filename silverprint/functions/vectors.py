@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +40,22 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dot_with(v: Column, query: Sequence[float]) -> Column:
-    """Dot product with a fixed query vector carried inside the expression."""
-    return dot(v, F.array(*[F.lit(float(x)) for x in query]))
+    """Dot product with a fixed query vector, a batch of rows at a time; over the shorter length, null for null."""
+    fixed = np.array([float(x) for x in query])
+
+    def products(vectors: pd.Series) -> pd.Series:
+        lengths = vectors.map(len, na_action="ignore")
+        if len(vectors) and (lengths == len(fixed)).all():
+            return pd.Series(np.stack(vectors.to_numpy()).astype(np.float64) @ fixed)
+        return vectors.map(lambda x: float(np.asarray(x[: len(fixed)], np.float64) @ fixed[: len(x)]), na_action="ignore").astype("Float64")
+
+    return F.pandas_udf(products, "double")(v)
+
+
+def unit_vector(v: Sequence[float]) -> list[float]:
+    """A vector of the caller scaled to unit length; a zero vector stays."""
+    values = np.asarray(v, np.float64)
+    return (values / (np.sqrt((values * values).sum()) or 1.0)).tolist()
 
 
 def l2_distance(a: Column, b: Column) -> Column:

@@ -2,20 +2,79 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silverprint.functions.paths import basename, dirname
-from silverprint.functions.vectors import dot, l2_normalize
+from silverprint.functions.vectors import unit_vector
 
 # Extensions by rule set.
 SERVER_IMAGE_EXTS = (
-    ".jpg .jpeg .png .webp .heic .heif .gif .bmp .tiff .tif .avif .dng .raw .cr2 .cr3 .nef .arw .rw2 .orf .raf"
-).split()
-SERVER_VIDEO_EXTS = ".mp4 .mov .m4v .avi .mkv .webm .3gp .mts .wmv".split()
-BROWSER_IMAGE_EXTS = ".jpg .jpeg .png .webp .gif .bmp .avif .heic .heif .tiff .tif".split()
-BROWSER_VIDEO_EXTS = ".mp4 .mov .m4v .webm .mkv .avi .3gp".split()
-DECODABLE_IMAGE_EXTS = ".jpg .jpeg .png .webp .gif .bmp .avif".split()
+    ".jpg",
+    ".jpeg",
+    ".png",
+    ".webp",
+    ".heic",
+    ".heif",
+    ".gif",
+    ".bmp",
+    ".tiff",
+    ".tif",
+    ".avif",
+    ".dng",
+    ".raw",
+    ".cr2",
+    ".cr3",
+    ".nef",
+    ".arw",
+    ".rw2",
+    ".orf",
+    ".raf",
+)
+SERVER_VIDEO_EXTS = (
+    ".mp4",
+    ".mov",
+    ".m4v",
+    ".avi",
+    ".mkv",
+    ".webm",
+    ".3gp",
+    ".mts",
+    ".wmv",
+)
+BROWSER_IMAGE_EXTS = (
+    ".jpg",
+    ".jpeg",
+    ".png",
+    ".webp",
+    ".gif",
+    ".bmp",
+    ".avif",
+    ".heic",
+    ".heif",
+    ".tiff",
+    ".tif",
+)
+BROWSER_VIDEO_EXTS = (
+    ".mp4",
+    ".mov",
+    ".m4v",
+    ".webm",
+    ".mkv",
+    ".avi",
+    ".3gp",
+)
+DECODABLE_IMAGE_EXTS = (
+    ".jpg",
+    ".jpeg",
+    ".png",
+    ".webp",
+    ".gif",
+    ".bmp",
+    ".avif",
+)
 
 # Name and path patterns of the rules.
 SCREENSHOT_NAME = r"^(screenshot|screen\s?shot|scr_|capture_)"
@@ -68,9 +127,6 @@ LABEL_MAP = {
 }
 FILENAME_LABEL_SCORE = 0.42
 
-# The label set travels inside the query, so its size is checked.
-MAX_LABELS = 10_000
-
 
 def classify_ext(ext: Column, rules: str = "server") -> Column:
     images, videos = {
@@ -78,7 +134,7 @@ def classify_ext(ext: Column, rules: str = "server") -> Column:
         "browser": (BROWSER_IMAGE_EXTS, BROWSER_VIDEO_EXTS),
     }[rules]
     e = F.lower(ext)
-    return F.when(e.isin(images), "IMAGE").when(e.isin(videos), "VIDEO").otherwise("UNKNOWN")
+    return F.when(e.isin(*images), "IMAGE").when(e.isin(*videos), "VIDEO").otherwise("UNKNOWN")
 
 
 def _verdict(entry: tuple) -> Column:
@@ -174,36 +230,40 @@ def zero_shot_classify(
 ) -> DataFrame:
     """Cosine of each item with each label vector, the ``top_k`` tags, and the class of the first.
 
-    The label set is small by nature; its size is checked before it is put inside the expression.
+    The label set is part of the query and travels with it. An item without vector has no tags.
     """
-    known = label_vectors.join(label_table(items, labels), "label", "left").select(
-        "label",
-        l2_normalize(F.col("vec")).alias("vec"),
-        F.coalesce("category", F.lit("OTHER")).alias("category"),
-        F.coalesce("intent", F.lit("UNKNOWN")).alias("intent"),
-    )
-    if known.count() > MAX_LABELS:
-        raise ValueError(f"a label set holds at most {MAX_LABELS} labels")
-    entries = F.array_sort(F.collect_list(F.struct("label", "vec", "category", "intent")))
-    scored = items.withColumn("_labels", known.agg(entries).scalar()).select(
-        "media_id",
-        F.transform(
-            "_labels",
-            lambda l: F.struct(
-                (-dot(F.col("embedding"), l["vec"])).alias("cost"), l["label"].alias("label"),
-                l["category"].alias("category"), l["intent"].alias("intent"),
-            ),
-        ).alias("_scores"),
-    )
-    top = F.slice(F.array_sort("_scores"), 1, top_k)
-    return scored.select("media_id", top.alias("_top")).select(
-        "media_id",
-        F.col("_top")[0]["label"].alias("top_label"),
-        (-F.col("_top")[0]["cost"]).alias("top_score"),
-        F.transform("_top", lambda t: F.struct(t["label"].alias("label"), (-t["cost"]).alias("score"))).alias("tags"),
-        F.col("_top")[0]["category"].alias("category"),
-        F.col("_top")[0]["intent"].alias("intent"),
+    rows = label_vectors.join(label_table(items, labels), "label", "left").orderBy("label").collect()  # the label set
+    names = F.array(*[F.lit(r["label"]) for r in rows])
+    classes = F.array(*[F.struct(F.lit(r["category"] or "OTHER"), F.lit(r["intent"] or "UNKNOWN")) for r in rows])
+    best = _best_labels(F.col("embedding"), [unit_vector(r["vec"]) for r in rows], top_k)
+    scored = items.select("media_id", best.alias("_best"))
+    # pairs of label number and score, one after another
+    tags = F.transform(
+        F.sequence(F.lit(0), F.size("_best") - 2, F.lit(2)),
+        lambda i: F.struct(F.get(names, F.get("_best", i).cast("int")).alias("label"), F.get("_best", i + 1).alias("score")),
     )
+    first = F.get(classes, F.get("_best", F.lit(0)).cast("int"))
+    return scored.select(
+        "media_id", F.when(F.size("_best") > 0, tags).alias("tags"), first["col1"].alias("category"), first["col2"].alias("intent")
+    ).select("media_id", F.get("tags", F.lit(0))["label"].alias("top_label"), F.get("tags", F.lit(0))["score"].alias("top_score"), "tags", "category", "intent")
+
+
+def _best_labels(vector: Column, labels: list[list[float]], top_k: int) -> Column:
+    """Number and score of the ``top_k`` labels, ties in the order of the labels; a batch of rows is one matrix product."""
+    matrix = np.array(labels, np.float64).reshape(len(labels), -1)
+
+    def best(vectors: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(vectors), dtype=object)
+        for length, at in vectors.dropna().map(len).groupby(vectors.dropna().map(len)).groups.items():
+            width = min(length, matrix.shape[1])
+            products = np.stack([vectors[i][:width] for i in at]).astype(np.float64) @ matrix[:, :width].T
+            order = np.argsort(-products, axis=1, kind="stable")[:, :top_k]
+            pairs = np.stack([order, np.take_along_axis(products, order, axis=1)], axis=2).reshape(len(at), -1)
+            for i, row in zip(at, pairs):
+                out[i] = row
+        return out
+
+    return F.pandas_udf(best, "array<double>")(vector)
 
 
 def low_confidence_queue(classified: DataFrame, threshold: float, score: str = "top_score") -> DataFrame:
@@ -224,12 +284,12 @@ def apply_threshold(classified: DataFrame, threshold: float, score: str = "top_s
 
 
 def heuristic_extra(items: DataFrame, exif: DataFrame, screens: list[tuple[int, int]]) -> DataFrame:
-    """Signals from EXIF and shape: screen-sized stills, front camera, camera folder with a make."""
+    """Signals from EXIF and shape: stills with the aspect ratio of one of ``screens``, front camera, camera folder with a make."""
     joined = items.join(exif.select("media_id", "make", "model", "lens"), "media_id", "left")
     w, h = F.col("width"), F.col("height")
     screen = F.lit(False)
     for a, b in screens:
-        screen = screen | ((w == a) & (h == b)) | ((w == b) & (h == a))
+        screen = screen | (w * b == h * a) | (w * a == h * b)
     no_camera = F.col("make").isNull() & F.col("model").isNull()
     front = F.lower("lens").contains("front")
     camera = F.col("path").rlike(r"[\\/]DCIM[\\/]Camera[\\/]") & ~no_camera

@@ -92,7 +92,7 @@ def _exact_facts(items: DataFrame, library: str | None, members_scope: str) -> D
 
 
 def exact_dup_groups(
-    items: DataFrame, library: str | None = None, members_scope: str = "library", prefix: str = "dg_", digits: int = 16
+    items: DataFrame, library: str | None = None, members_scope: str = "library", prefix: str = "dg_", digits: int = 64
 ) -> DataFrame:
     """Groups of byte-identical items with their best copy and the bytes the others take."""
     return _exact_facts(items, library, members_scope).select(
@@ -113,7 +113,7 @@ def exact_dup_members(
     joined = attach_facts(rows, facts, ["sha256"], F.col("member_count"), "media_id", hot_rows)
     is_best = F.col("media_id") == F.col("best_media_id")
     return joined.select(
-        F.concat(F.lit("dg_"), F.substring("sha256", 1, 16)).alias("group_id"),
+        F.concat(F.lit("dg_"), F.col("sha256")).alias("group_id"),
         "media_id",
         F.lit(1.0).alias("score"),
         F.when(is_best, BEST_COPY).otherwise(OTHER_COPY).alias("reason"),

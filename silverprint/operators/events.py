@@ -127,7 +127,7 @@ def event_location_refine(
     """Split wide events by city, then merge parts of one city less than ``merge_days`` apart.
 
     ``members`` come from :func:`event_members` with lat, lon and city. An event is wide when the
-    median distance of its photos to its mean position exceeds ``split_km``.
+    median distance of its photos to its mean position exceeds ``split_km``: when more than half are farther away.
     """
     event = [group, "start_at"]
     members = materialise(members.select("media_id", *event, ts, "lat", "lon", "city"), "event_members")
@@ -137,7 +137,7 @@ def event_location_refine(
     placed = attach_facts(members, centre, event, F.col("_n"), "media_id")
     away = haversine_km(F.col("lat"), F.col("lon"), F.col("mean_lat"), F.col("mean_lon"))
     # one row per event and city: everything after this works on parts, not on photos
-    spread = placed.groupBy(*event).agg((F.percentile_approx(away, 0.5, 10_000) > split_km).alias("wide"))
+    spread = placed.groupBy(*event).agg((2 * F.count_if(away > split_km) > F.count(away)).alias("wide"))
     by_city = members.groupBy(*event, F.coalesce("city", F.lit("")).alias("city")).agg(
         F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("photos")
     )

@@ -9,8 +9,23 @@ from silverprint.functions.paths import ext_of
 from silverprint.operators.classify import classify_ext, classify_path_server
 
 
+LATEST_BY = ("computed_at", "created_at", "last_modified")
+
+
+def one_per_key(incoming: DataFrame, key: list[str]) -> DataFrame:
+    """One row of each key: the latest by the first of ``LATEST_BY`` that is there, then the greatest in all columns.
+
+    The rows are grouped on the key that the merge joins on, so this costs no further shuffle.
+    """
+    others = [c for c in incoming.columns if c not in key]
+    first = [c for c in LATEST_BY if c in others][:1]
+    packed = F.struct(*[F.col(c).alias(f"_by_{c}") for c in first], *others)
+    return incoming.groupBy(*key).agg(F.max(packed).alias("_row")).select(*key, *[F.col(f"_row.{c}").alias(c) for c in others])
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: list[str], update_cols: list[str]) -> DataFrame:
-    """Insert new keys whole; on a known key take over ``update_cols`` only, nulls included."""
+    """Insert new keys whole; on a known key take over ``update_cols`` only, nulls included. A key given twice counts once."""
+    incoming = one_per_key(incoming, key)
     old = existing.select(*key, F.struct(*[c for c in existing.columns if c not in key]).alias("_old"))
     new = incoming.select(*key, F.struct(*[c for c in incoming.columns if c not in key]).alias("_new"))
     is_new, is_known = F.col("_new").isNotNull(), F.col("_old").isNotNull()
@@ -27,17 +42,20 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: list[str], update_cols
 
 
 def insert_only(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Keep what is known, add unknown keys."""
+    """Keep what is known, add unknown keys, each once."""
+    incoming = one_per_key(incoming, key)
     return existing.unionByName(incoming.join(existing.select(*key), key, "left_anti"), allowMissingColumns=True)
 
 
 def replace_rows(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of known keys are replaced as a whole."""
+    """Rows of known keys are replaced as a whole; a key given twice counts once."""
+    incoming = one_per_key(incoming, key)
     return existing.join(incoming.select(*key), key, "left_anti").unionByName(incoming)
 
 
 def patch(existing: DataFrame, patches: DataFrame, key: list[str]) -> DataFrame:
-    """Overwrite the patched columns of known rows, with null where the patch holds null."""
+    """Overwrite the patched columns of known rows, with null where the patch holds null; one patch a key counts."""
+    patches = one_per_key(patches, key)
     columns = [c for c in patches.columns if c not in key]
     packed = patches.select(*key, F.struct(*columns).alias("_patch"))
     joined = existing.join(packed, key, "left")
@@ -53,7 +71,7 @@ def library_upsert(libraries: DataFrame, roots: DataFrame) -> DataFrame:
     """One library per root path: known roots keep their row, new ones are named after the folder."""
     cleaned = F.regexp_replace("root_path", r"(?<=.)/+$", "")
     fresh = roots.select(
-        F.concat(F.lit("lib_"), F.substring(F.sha1(cleaned), 1, 16)).alias("library_id"),
+        F.concat(F.lit("lib_"), F.sha1(cleaned)).alias("library_id"),
         F.coalesce("name", F.regexp_extract(cleaned, r"([^/]*)$", 1)).alias("name"),
         cleaned.alias("root_path"),
         "created_at",
@@ -72,7 +90,7 @@ def media_upsert(media: DataFrame, listing: DataFrame, library_id: str | None =
     library = F.lit(library_id) if library_id is not None else F.col("library_id")
     incoming = listing.withColumn("_v", verdict).select(
         "path",
-        F.concat(F.lit("m"), F.substring(F.sha1("path"), 1, 16)).alias("media_id"),
+        F.concat(F.lit("m"), F.sha1("path")).alias("media_id"),
         library.alias("library_id"),
         "filename",
         ext_of(F.col("filename")).alias("ext"),

@@ -86,14 +86,15 @@ def quantile_items(
     rules: list[QuantileRule],
     id_col: str = "media_id",
     carry: tuple[str, ...] = (),
-    accuracy: int = 10_000,
+    accuracy: int | None = 10_000,
 ) -> DataFrame:
     """Members of each rule: the first min(n, max(3, ceil(n * q))) rows in order, ties by id.
 
     All rules share one pass for the sizes and one range sort. A rough percentile first drops the
     rows that cannot be in the selected fraction, so the sort sees about ``q`` of them. Its rank
     error is at most n / ``accuracy``; it is taken 2 / ``accuracy`` further out and only used when n
-    is 100 times ``accuracy``, so it always keeps enough rows.
+    is 100 times ``accuracy``. What it kept is counted all the same, and if that is too few for any rule, everything is
+    ranked (``accuracy=None`` does so at once).
     """
     entries = []
     for rule in rules:
@@ -105,11 +106,12 @@ def quantile_items(
         "_e.rule", "_e.key", "_e.value", id_col, *carry
     )
 
-    cuts = sorted({min(1.0, r.q + 2.0 / accuracy) for r in rules})
+    margin = 2.0 / accuracy if accuracy else 1.0
+    cuts = sorted({min(1.0, r.q + margin) for r in rules})
     sizes = {
         row["rule"]: row
         for row in flat.groupBy("rule")
-        .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("key", cuts, accuracy).alias("cuts"))
+        .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("key", cuts, accuracy or 100).alias("cuts"))
         .collect()  # one row per rule
     }
     spark = df.sparkSession
@@ -121,12 +123,16 @@ def quantile_items(
         take = min(n, max(3, math.ceil(n * rule.q)))
         takes.append((rule.name, take))
         mine = F.col("rule") == rule.name
-        if n >= 100 * accuracy:
-            bound = sizes[rule.name]["cuts"][cuts.index(min(1.0, rule.q + 2.0 / accuracy))]
+        if accuracy and n >= 100 * accuracy:
+            bound = sizes[rule.name]["cuts"][cuts.index(min(1.0, rule.q + margin))]
             mine = mine & (F.col("key") <= bound)
         keep = keep | mine
     ranked = global_rank(flat.filter(keep), [F.col("rule"), F.col("key"), F.col(id_col)], "_global")
-    starts = ranked.groupBy("rule").agg(F.min("_global").alias("_first"))
+    starts = ranked.groupBy("rule").agg(F.min("_global").alias("_first"), F.count(F.lit(1)).alias("_kept"))
+    if accuracy:
+        kept = {r["rule"]: r["_kept"] for r in starts.collect()}  # one row per rule
+        if any(kept.get(name, 0) < take for name, take in takes):
+            return quantile_items(df, rules, id_col, carry, None)
     limits = spark.createDataFrame(takes, "rule string, take long")
     bounds = F.broadcast(starts.join(F.broadcast(limits), "rule"))
     return (

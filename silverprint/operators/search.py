@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import unicodedata
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,36 +107,59 @@ def _equals(term: str):
 
 
 def _query_terms(query: str) -> list[str]:
-    import re
+    """The tokens of a query, cut like those of the texts: letters and decimal digits stay together."""
+    letters = (c if unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd" else " " for c in query.lower())
+    return "".join(letters).split()
 
-    return [t for t in re.split(r"[^\w]+|_", query.lower()) if t]
 
+def hybrid_search(lexical: DataFrame, semantic: DataFrame, id_col: str = "media_id", top: int = SEMANTIC_TOP) -> DataFrame:
+    """Reciprocal rank fusion of two whole scored lists; ids are unique within a list.
 
-def hybrid_search(
-    lexical: DataFrame, semantic: DataFrame, id_col: str = "media_id", depth: int = 1000, top: int = SEMANTIC_TOP
-) -> DataFrame:
-    """Reciprocal rank fusion of two scored lists, each cut to its ``depth`` best first."""
-
-    def ranked(scored: DataFrame, name: str) -> DataFrame:
-        best = scored.orderBy(F.col("score").desc(), id_col).limit(depth)
-        # at most ``depth`` entries: their positions come from one sorted array
-        listed = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), id_col))).alias("_l"))
-        return listed.select(F.posexplode("_l").alias("_p", "_e")).select(
-            F.col(f"_e.{id_col}").alias(id_col), (F.col("_p") + 1).alias(name)
-        )
-
-    fused = ranked(lexical, "lexical_rank").join(ranked(semantic, "semantic_rank"), id_col, "full")
+    A row that is among the first ``top`` of a list scores at least ``1 / (c + top)``. A row beyond place ``c + 2 * top`` in
+    both lists scores less than ``2 / (2 * c + 2 * top)``, so only rows before that place in either list can be in the
+    result. For these few the exact place in the other list is counted: every task finds where its rows fall among them.
+    """
+    depth = FUSION_CONSTANT + 2 * top
+    lists = {"lexical_rank": lexical.select(id_col, "score"), "semantic_rank": semantic.select(id_col, "score")}
+    heads = [rows.orderBy(F.col("score").desc(), id_col).limit(depth).select(id_col) for rows in lists.values()]
+    candidates = sorted({r[0] for head in heads for r in head.collect()})  # at most 2 * depth rows
+    spark = lexical.sparkSession
+    wanted = spark.createDataFrame([(c,) for c in candidates], lexical.select(id_col).schema)
+    places: dict[str, dict] = {}
+    for name, rows in lists.items():
+        found = rows.join(F.broadcast(wanted), id_col).collect()
+        keys = sorted((-r["score"], r[id_col]) for r in found)
+        before = _counts_before(rows, id_col, keys)
+        places[name] = {key[1]: 1 + n for key, n in zip(keys, np.cumsum(before).tolist())}
+    fused = [(c, places["lexical_rank"].get(c), places["semantic_rank"].get(c)) for c in candidates]
+    kind = lexical.schema[id_col].dataType.simpleString()
+    table = spark.createDataFrame(fused, f"{id_col} {kind}, lexical_rank int, semantic_rank int")
 
     def part(name: str) -> Column:
         return F.coalesce(1.0 / (FUSION_CONSTANT + F.col(name)), F.lit(0.0))
 
     return (
-        fused.withColumn("score", part("lexical_rank") + part("semantic_rank"))
+        table.withColumn("score", part("lexical_rank") + part("semantic_rank"))
         .orderBy(F.col("score").desc(), id_col)
         .limit(top)
     )
 
 
+def _counts_before(rows: DataFrame, id_col: str, keys: list[tuple]) -> list[int]:
+    """How many rows come before the first key, and between each key and the next."""
+
+    def fall(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = Counter()
+        for batch in batches:
+            counts.update(bisect_right(keys, (-s, i)) for s, i in zip(batch["score"], batch[id_col]))
+        yield pd.DataFrame({"place": list(counts), "n": list(counts.values())}, dtype="int64")
+
+    summed = rows.mapInPandas(fall, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    found = {r.place: r.n for r in summed}
+    # a row equal to key k falls on place k + 1, so what lies before key k are places 0 to k
+    return [found.get(k, 0) for k in range(len(keys))]
+
+
 def unit(vector: Sequence[float]) -> list[float]:
     length = math.sqrt(sum(float(x) * float(x) for x in vector)) or 1.0
     return [float(x) / length for x in vector]

@@ -15,7 +15,10 @@ def _capped(rows: DataFrame, limit: int | None) -> DataFrame:
 
 
 def hash_todo(items: DataFrame, hashes: DataFrame, limit: int | None = None) -> DataFrame:
-    return _capped(items.join(hashes.select("media_id"), "media_id", "left_anti"), limit)
+    """Items without digests, and items whose file has changed since (``is_hashed`` is false)."""
+    done = hashes.select(F.col("media_id").alias("_done"))
+    fresh = F.coalesce("is_hashed", F.lit(True)) if "is_hashed" in items.columns else F.lit(True)
+    return _capped(items.join(done, (F.col("media_id") == F.col("_done")) & fresh, "left_anti"), limit)
 
 
 def exif_todo(items: DataFrame, exif: DataFrame, limit: int | None = None) -> DataFrame:

@@ -61,7 +61,7 @@ def _(t: Tables):
 @query(
     "classify_filename_label",
     with_(M) + """SELECT media_id, top_label, CASE WHEN top_label LIKE '%chat%' THEN 'SCREENSHOT' WHEN top_label LIKE '%receipt%' THEN 'RECEIPT' ELSE 'PHOTO' END AS category,
-    CASE WHEN top_label = 'a photo of people' THEN 'KEEP_LONG_TERM' ELSE 'EPHEMERAL' END AS intent, 42e-2 AS top_score FROM (
+    CASE WHEN top_label = 'a photo of people' THEN 'KEEP_LONG_TERM' ELSE 'EPHEMERAL' END AS intent, 0.42e0 AS top_score FROM (
     SELECT media_id, CASE WHEN contains(lname, 'screenshot') THEN 'a screenshot of a chat message'
       WHEN contains(lname, 'receipt') OR contains(lname, 'invoice') THEN 'a photo of a receipt or invoice'
       WHEN contains(lower(path), 'whatsapp') THEN 'a screenshot of a chat message' ELSE 'a photo of people' END AS top_label FROM media)""",
@@ -75,7 +75,7 @@ VIEW_CAT_SQL = """CASE WHEN kind = 'VIDEO' THEN 'video' WHEN category = 'SCREENS
 VIEW_SQL = f"""
 view AS (SELECT media_id AS id, substr(sha256, 1, 16) AS uid, {VIEW_CAT_SQL} AS cat, filename, size_bytes AS size,
   COALESCE(width, 0) AS width, COALESCE(height, 0) AS height, strftime(last_modified, '%Y-%m-%d') AS date,
-  7e-1 AS quality, 6e-1 AS aesthetic, false AS blurry, false AS dark, false AS burst FROM media)"""
+  0.7e0 AS quality, 0.6e0 AS aesthetic, false AS blurry, false AS dark, false AS burst FROM media)"""
 
 
 @query("photo_view", with_(M, VIEW_SQL) + "SELECT * FROM view")
@@ -90,7 +90,7 @@ def _(t: Tables):
 
 @query(
     "quality_flags",
-    with_(M) + """SELECT media_id, quality_score < 30e0 AS blurry, brightness < 18e-2 AS dark, brightness > 92e-2 AS overexposed,
+    with_(M) + """SELECT media_id, quality_score < 30e0 AS blurry, brightness < 0.18e0 AS dark, brightness > 0.92e0 AS overexposed,
     color_variance < 200e0 AS blank FROM media""",
 )
 def _(t: Tables):
@@ -245,7 +245,7 @@ def _(t: Tables):
     "quantile_items",
     with_(M) + """, v AS (SELECT media_id, quality_score AS value, row_number() OVER (ORDER BY quality_score, media_id) AS position,
       count(*) OVER () AS n FROM media WHERE quality_score IS NOT NULL AND isfinite(quality_score))
-    SELECT 'sharpness' AS rule, media_id, value, position FROM v WHERE position <= least(n, greatest(3, ceil(n * 5e-2)))""",
+    SELECT 'sharpness' AS rule, media_id, value, position FROM v WHERE position <= least(n, greatest(3, ceil(n * 0.05e0)))""",
 )
 def _(t: Tables):
     return ranking.quantile_items(t.media, [ranking.QuantileRule("sharpness", "quality_score", 0.05)])
@@ -255,8 +255,8 @@ def _(t: Tables):
     "diagnostics_bright",
     with_(M) + """, v AS (SELECT media_id, brightness, row_number() OVER (ORDER BY brightness DESC, media_id) AS position, count(*) OVER () AS n
       FROM media WHERE brightness IS NOT NULL)
-    SELECT media_id, brightness AS value, position, CASE WHEN position <= least(n, greatest(3, ceil(n * 2e-2))) THEN 'top' ELSE 'compatible' END AS level
-    FROM v WHERE position <= least(n, greatest(3, ceil(n * 98e-2)))""",
+    SELECT media_id, brightness AS value, position, CASE WHEN position <= least(n, greatest(3, ceil(n * 0.02e0))) THEN 'top' ELSE 'compatible' END AS level
+    FROM v WHERE position <= least(n, greatest(3, ceil(n * 0.98e0)))""",
 )
 def _(t: Tables):
     rules = [
@@ -309,8 +309,8 @@ THUMB_SQL = "substr(sha256, 1, 2) || '/' || substr(sha256, 3, 2) || '/' || sha25
     wanted AS (SELECT media_id, sha256, width, height, variant, side FROM media,
       (VALUES ('thumb256', 256), ('thumb1024', 1024)) AS v(variant, side) WHERE kind = 'IMAGE')
     SELECT 'tn_' || media_id || '_' || variant AS id, media_id, variant, {THUMB_SQL} AS path,
-      greatest(1, CAST(floor(width * least(1e0, CAST(side AS DOUBLE) / greatest(width, height)) + 5e-1) AS INTEGER)) AS width,
-      greatest(1, CAST(floor(height * least(1e0, CAST(side AS DOUBLE) / greatest(width, height)) + 5e-1) AS INTEGER)) AS height
+      greatest(1, CAST(floor(width * least(1e0, CAST(side AS DOUBLE) / greatest(width, height)) + 0.5e0) AS INTEGER)) AS width,
+      greatest(1, CAST(floor(height * least(1e0, CAST(side AS DOUBLE) / greatest(width, height)) + 0.5e0) AS INTEGER)) AS height
     FROM wanted WHERE NOT EXISTS (SELECT 1 FROM present p WHERE p.sha256 = wanted.sha256 AND p.variant = wanted.variant)""",
 )
 def _(t: Tables):

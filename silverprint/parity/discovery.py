@@ -45,7 +45,7 @@ def _(t: Tables):
 SEMANTIC_SQL = f"""
 qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 3),
 sem AS (SELECT media_id, {_dot_sql('embedding', 'q')} AS score FROM media, qv),
-hits AS (SELECT media_id, score FROM (SELECT * FROM sem ORDER BY score DESC, media_id LIMIT 60) WHERE score > 15e-2)"""
+hits AS (SELECT media_id, score FROM (SELECT * FROM sem ORDER BY score DESC, media_id LIMIT 60) WHERE score > 0.15e0)"""
 
 
 def _query_vector(t: Tables) -> list[float]:
@@ -80,8 +80,8 @@ tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p
 mea AS (SELECT doc_id, len(t) AS dl, len(list_filter(t, lambda x: x = 'the')) AS f1, len(list_filter(t, lambda x: x = 'license')) AS f2 FROM tok),
 sta AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (f1 > 0) AS d1, count(*) FILTER (f2 > 0) AS d2 FROM mea),
 lex AS (SELECT 'm' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS media_id,
-  ln(1 + (n - d1 + 5e-1) / (d1 + 5e-1)) * f1 * 22e-1 / (f1 + 12e-1 * (25e-2 + 75e-2 * dl / avgdl))
-  + ln(1 + (n - d2 + 5e-1) / (d2 + 5e-1)) * f2 * 22e-1 / (f2 + 12e-1 * (25e-2 + 75e-2 * dl / avgdl)) AS score
+  ln(1 + (n - d1 + 0.5e0) / (d1 + 0.5e0)) * f1 * 2.2e0 / (f1 + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))
+  + ln(1 + (n - d2 + 0.5e0) / (d2 + 0.5e0)) * f2 * 2.2e0 / (f2 + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl)) AS score
   FROM mea, sta WHERE f1 > 0 OR f2 > 0)"""
 
 
@@ -98,8 +98,8 @@ def _(t: Tables):
 
 @query(
     "hybrid_search",
-    with_(M, SEMANTIC_SQL, BM25_SQL) + """, a AS (SELECT media_id, row_number() OVER (ORDER BY round(score, 9) DESC, media_id) AS r FROM lex QUALIFY r <= 1000),
-    b AS (SELECT media_id, row_number() OVER (ORDER BY round(score, 9) DESC, media_id) AS r FROM sem QUALIFY r <= 1000),
+    with_(M, SEMANTIC_SQL, BM25_SQL) + """, a AS (SELECT media_id, row_number() OVER (ORDER BY round(score, 9) DESC, media_id) AS r FROM lex),
+    b AS (SELECT media_id, row_number() OVER (ORDER BY round(score, 9) DESC, media_id) AS r FROM sem),
     f AS (SELECT COALESCE(a.media_id, b.media_id) AS media_id, a.r AS lexical_rank, b.r AS semantic_rank,
       COALESCE(1e0 / (60 + a.r), 0e0) + COALESCE(1e0 / (60 + b.r), 0e0) AS score FROM a FULL JOIN b ON a.media_id = b.media_id)
     SELECT media_id, lexical_rank, semantic_rank, round(score, 9) AS score FROM f ORDER BY f.score DESC, media_id LIMIT 60""",
@@ -176,7 +176,7 @@ COSINE_SQL = f"({_dot_sql('a.embedding', 'b.embedding')} / sqrt({_dot_sql('a.emb
 @query(
     "similar_pairs",
     f"""SELECT a.vec_id AS a, b.vec_id AS b, round({COSINE_SQL}, 6) AS cosine
-    FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {COSINE_SQL} >= 4e-1""",
+    FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {COSINE_SQL} >= 0.4e0""",
 )
 def _(t: Tables):
     from silverprint.functions.vectors import l2_normalize
@@ -269,7 +269,7 @@ def _(t: Tables):
 
 @query(
     "low_confidence_queue",
-    with_(M, ZERO_SQL) + "SELECT media_id, top_label, 'OTHER' AS category, 'UNKNOWN' AS intent FROM zc WHERE top_score < 2e-1",
+    with_(M, ZERO_SQL) + "SELECT media_id, top_label, 'OTHER' AS category, 'UNKNOWN' AS intent FROM zc WHERE top_score < 0.2e0",
 )
 def _(t: Tables):
     return classify.low_confidence_queue(_zero_shot(t), 0.2).select("media_id", "top_label", "category", "intent")
@@ -290,7 +290,7 @@ def _(t: Tables):
     "heuristic_extra",
     with_(M, L) + r""", x AS (SELECT m.*, c.media_id IS NOT NULL AS has_make, s.media_id IS NOT NULL AND c.media_id IS NOT NULL AS front
       FROM media m LEFT JOIN chosen c ON c.media_id = m.media_id LEFT JOIN staged s ON s.media_id = m.media_id),
-    y AS (SELECT *, COALESCE((width = 1920 AND height = 1080) OR (width = 1080 AND height = 1920), false) AND NOT has_make AS scr FROM x)
+    y AS (SELECT *, COALESCE((width * 1080 = height * 1920) OR (width * 1920 = height * 1080), false) AND NOT has_make AS scr FROM x)
     SELECT media_id, scr AS screen_shaped,
       CASE WHEN front THEN 'SELFIE' WHEN regexp_matches(path, '[\\/]DCIM[\\/]Camera[\\/]') AND has_make THEN 'PHOTO' WHEN scr THEN 'SCREENSHOT'
         WHEN regexp_matches(filename, '^IMG_') AND NOT has_make THEN 'PHOTO' ELSE category END AS category,
@@ -389,7 +389,7 @@ def _(t: Tables):
     ce AS (SELECT library_id, list(m ORDER BY pos) AS c FROM (SELECT library_id, pos, avg(x) AS m FROM ax GROUP BY library_id, pos) GROUP BY library_id),
     co AS (SELECT m.library_id, m.media_id, {_dot_sql('m.embedding', 'ce.c')} / (sqrt({_dot_sql('m.embedding', 'm.embedding')}) * sqrt({_dot_sql('ce.c', 'ce.c')})) AS cosine
       FROM media m JOIN ce ON ce.library_id = m.library_id)
-    SELECT library_id, media_id, round(cosine, 6) AS cosine, cosine >= 1e-1 AS stays FROM co""",
+    SELECT library_id, media_id, round(cosine, 6) AS cosine, cosine >= 0.1e0 AS stays FROM co""",
 )
 def _(t: Tables):
     return events.event_outliers(t.media, "library_id", 0.1).withColumn("cosine", F.round("cosine", 6))

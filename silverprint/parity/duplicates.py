@@ -29,7 +29,7 @@ def _(t: Tables):
     r AS (SELECT m.*, row_number() OVER (PARTITION BY sha256 ORDER BY {SCORE_SQL} DESC, size_bytes DESC, media_id) AS rn,
       count(*) OVER (PARTITION BY sha256) AS member_count, CAST(sum(size_bytes) OVER (PARTITION BY sha256) AS BIGINT) AS total_bytes
       FROM media m WHERE sha256 IN (SELECT sha256 FROM f))
-    SELECT 'dg_' || substr(sha256, 1, 16) AS group_id, 'EXACT' AS kind, member_count, total_bytes, media_id AS best_media_id,
+    SELECT 'dg_' || sha256 AS group_id, 'EXACT' AS kind, member_count, total_bytes, media_id AS best_media_id,
       total_bytes - size_bytes AS recoverable_bytes FROM r WHERE rn = 1""",
 )
 def _(t: Tables):
@@ -141,7 +141,7 @@ def _(t: Tables):
     SELECT r.group_id, r.media_id, substr(r.sha256, 1, 16) AS uid, r.filename, r.size_bytes AS size, COALESCE(r.width, 0) AS width, COALESCE(r.height, 0) AS height,
       strftime(r.last_modified, '%m/%d/%Y %H:%M') AS "when",
       CASE WHEN r.media_id = r.best_media_id THEN 'Best candidate' WHEN r.kind = 'EXACT' THEN 'Byte-identical' ELSE 'Near duplicate' END AS note,
-      CASE WHEN r.kind = 'EXACT' THEN 1e0 ELSE 9e-1 END AS confidence,
+      CASE WHEN r.kind = 'EXACT' THEN 1e0 ELSE 0.9e0 END AS confidence,
       substr(regexp_replace(regexp_replace(i.filename, '\.[^.]+$', ''), '[_-]', ' ', 'g'), 1, 36) AS label
     FROM member_rows r JOIN f ON f.group_id = r.group_id JOIN media i ON i.media_id = f.first_id""",
 )
@@ -284,12 +284,12 @@ it AS (SELECT count(*) AS total, CAST(sum(size_bytes) AS BIGINT) AS used,
   CAST(COALESCE(sum(size_bytes) FILTER (kind = 'VIDEO' AND size_bytes > 524288000), 0) AS BIGINT) AS vi_b FROM media)"""
 BUCKETS_SQL = """
 buckets AS (
-  SELECT 'dups' AS id, 'Exact & visual duplicates' AS label, xt.n + nt.n AS count, xt.b + nt.b AS size, 'Same photo saved multiple times. We picked the best copy of each.' AS "desc", 98e-2 AS confidence, 'review' AS recommended FROM it, xt, nt
-  UNION ALL SELECT 'ws', 'WhatsApp & messenger media', ws_n, ws_b, 'Forwarded memes, low-res copies, and chat thumbnails.', 85e-2, 'review' FROM it
-  UNION ALL SELECT 'shots', 'Screenshots', sh_n, sh_b, 'Captured for a moment in time — most are older than what they referenced.', 92e-2, 'review' FROM it
-  UNION ALL SELECT 'blur', 'Documents & receipts', do_n, do_b, 'Ephemeral by intent — receipts, parking spots, IDs, QR codes.', 8e-1, 'review' FROM it
-  UNION ALL SELECT 'burst', 'Near duplicates', nt.n, nt.b, nt.g || ' near-duplicate cluster(s) — resizes, recompresses, slight crops.', 85e-2, 'review' FROM nt
-  UNION ALL SELECT 'large', 'Large videos (>500 MB)', vi_n, vi_b, 'Long clips you may want to archive or compress.', 7e-1, 'review' FROM it)"""
+  SELECT 'dups' AS id, 'Exact & visual duplicates' AS label, xt.n + nt.n AS count, xt.b + nt.b AS size, 'Same photo saved multiple times. We picked the best copy of each.' AS "desc", 0.98e0 AS confidence, 'review' AS recommended FROM it, xt, nt
+  UNION ALL SELECT 'ws', 'WhatsApp & messenger media', ws_n, ws_b, 'Forwarded memes, low-res copies, and chat thumbnails.', 0.85e0, 'review' FROM it
+  UNION ALL SELECT 'shots', 'Screenshots', sh_n, sh_b, 'Captured for a moment in time — most are older than what they referenced.', 0.92e0, 'review' FROM it
+  UNION ALL SELECT 'blur', 'Documents & receipts', do_n, do_b, 'Ephemeral by intent — receipts, parking spots, IDs, QR codes.', 0.8e0, 'review' FROM it
+  UNION ALL SELECT 'burst', 'Near duplicates', nt.n, nt.b, nt.g || ' near-duplicate cluster(s) — resizes, recompresses, slight crops.', 0.85e0, 'review' FROM nt
+  UNION ALL SELECT 'large', 'Large videos (>500 MB)', vi_n, vi_b, 'Long clips you may want to archive or compress.', 0.7e0, 'review' FROM it)"""
 
 
 def _cleanup_inputs(t: Tables):
@@ -329,9 +329,9 @@ def _(t: Tables):
     "diagnostics",
     with_(M, E, N, TOTALS_SQL) + """SELECT count(*) AS total_files, count(*) FILTER (kind = 'IMAGE') AS total_images, count(*) FILTER (kind = 'VIDEO') AS total_videos,
     count(sha256) AS hashed, count(*) FILTER (dhash_hex <> '0000000000000000') AS with_dhash, count(quality_score) AS with_quality,
-    CAST(least(count(quality_score), greatest(3, ceil(count(quality_score) * 5e-2))) AS BIGINT) AS blurry_count,
-    CAST(least(count(brightness), greatest(3, ceil(count(brightness) * 5e-2))) AS BIGINT) AS dark_count,
-    CAST(least(count(brightness), greatest(3, ceil(count(brightness) * 2e-2))) AS BIGINT) AS bright_count,
+    CAST(least(count(quality_score), greatest(3, ceil(count(quality_score) * 0.05e0))) AS BIGINT) AS blurry_count,
+    CAST(least(count(brightness), greatest(3, ceil(count(brightness) * 0.05e0))) AS BIGINT) AS dark_count,
+    CAST(least(count(brightness), greatest(3, ceil(count(brightness) * 0.02e0))) AS BIGINT) AS bright_count,
     count(*) FILTER (category = 'SCREENSHOT') AS screenshots, count(*) FILTER (category = 'WHATSAPP_FORWARD') AS whatsapp,
     count(*) FILTER (category IN ('DOCUMENT', 'RECEIPT', 'TRANSACTIONAL')) AS transactional, count(embedding) AS embedded,
     count(*) FILTER (doc_id < (SELECT (n + 1) // 2 FROM nv)) AS with_faces,
@@ -366,10 +366,10 @@ q AS (SELECT media_id, size_bytes, quality_score, brightness, color_variance,
 smembers AS (
   SELECT 'dups-exact' AS suggestion_id, e.media_id, i.size_bytes AS bytes FROM exact_members e JOIN media i ON i.media_id = e.media_id WHERE e.reason <> 'best candidate'
   UNION ALL SELECT 'dups-near', e.media_id, i.size_bytes FROM near_members e JOIN media i ON i.media_id = e.media_id WHERE e.reason <> 'best of cluster'
-  UNION ALL SELECT 'blurry', media_id, size_bytes FROM q WHERE p1 <= least(n1, greatest(3, ceil(n1 * 5e-2)))
-  UNION ALL SELECT 'dark', media_id, size_bytes FROM q WHERE p2 <= least(n2, greatest(3, ceil(n2 * 5e-2)))
-  UNION ALL SELECT 'blank', media_id, size_bytes FROM q WHERE p3 <= least(n3, greatest(3, ceil(n3 * 5e-2)))
-  UNION ALL SELECT 'blown', media_id, size_bytes FROM q WHERE p4 <= least(n2, greatest(3, ceil(n2 * 2e-2)))
+  UNION ALL SELECT 'blurry', media_id, size_bytes FROM q WHERE p1 <= least(n1, greatest(3, ceil(n1 * 0.05e0)))
+  UNION ALL SELECT 'dark', media_id, size_bytes FROM q WHERE p2 <= least(n2, greatest(3, ceil(n2 * 0.05e0)))
+  UNION ALL SELECT 'blank', media_id, size_bytes FROM q WHERE p3 <= least(n3, greatest(3, ceil(n3 * 0.05e0)))
+  UNION ALL SELECT 'blown', media_id, size_bytes FROM q WHERE p4 <= least(n2, greatest(3, ceil(n2 * 0.02e0)))
   UNION ALL SELECT 'screenshots', media_id, size_bytes FROM media WHERE category = 'SCREENSHOT'
   UNION ALL SELECT 'messenger', media_id, size_bytes FROM media WHERE category = 'WHATSAPP_FORWARD'
   UNION ALL SELECT 'transactional', media_id, size_bytes FROM media WHERE category IN ('DOCUMENT', 'RECEIPT', 'TRANSACTIONAL')

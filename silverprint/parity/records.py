@@ -60,12 +60,6 @@ def _(t: Tables):
     return t.files.select("media_id", "sha256")
 
 
-@query("content_hash_files")
-def _(t: Tables):
-    """The table files themselves, listed and hashed as binary files."""
-    return listing.content_hash(t.spark, t.dir, "*.parquet").select(F.substring_index("path", "/", -1).alias("file"), "sha256")
-
-
 def _pictures(t: Tables):
     """Vectors as 8 by 8 grey pictures, in the shape Spark's image source gives."""
     hex_ = F.transform("embedding", lambda x: F.lpad(F.hex(F.floor((x.cast("double") + 1) * 127.5)), 2, "0"))
@@ -79,10 +73,10 @@ def _pictures(t: Tables):
 
 
 PIXELS_SQL = """
-px AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 1275e-1) AS INTEGER)) AS p FROM embeddings),
+px AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 127.5e0) AS INTEGER)) AS p FROM embeddings),
 flat AS (SELECT vec_id, avg(v) / 255 AS brightness, var_pop(v) AS color_variance FROM (SELECT vec_id, unnest(p) AS v FROM px) GROUP BY vec_id),
 wide AS (SELECT vec_id, y, list_transform(range(0, 9), lambda j: CAST(floor(list_sum(list_transform(range(0, 8), lambda i:
-    greatest(0, least(9 * i + 9, 8 * j + 8) - greatest(9 * i, 8 * j)) * p[y * 8 + i + 1])) / 8e0 + 5e-1) AS INTEGER)) AS g FROM px, range(0, 8) AS r(y)),
+    greatest(0, least(9 * i + 9, 8 * j + 8) - greatest(9 * i, 8 * j)) * p[y * 8 + i + 1])) / 8e0 + 0.5e0) AS INTEGER)) AS g FROM px, range(0, 8) AS r(y)),
 dh AS (SELECT vec_id, lpad(lower(to_hex(COALESCE(bit_or(CAST(1 AS UBIGINT) << CAST(63 - (y * 8 + x) AS UBIGINT)) FILTER (g[x + 1] < g[x + 2]), 0))), 16, '0') AS dhash_hex
   FROM wide, range(0, 8) AS c(x) GROUP BY vec_id),
 lap AS (SELECT vec_id, var_pop((p[((y - 1) // 16) * 8 + x // 16 + 1] + p[((y + 1) // 16) * 8 + x // 16 + 1] + p[(y // 16) * 8 + (x - 1) // 16 + 1]
@@ -107,7 +101,7 @@ def _(t: Tables):
 
 @query(
     "quality_exposure",
-    with_(PIXELS_SQL) + "SELECT vec_id, round(avg(CASE WHEN v / 255e0 BETWEEN 18e-2 AND 92e-2 THEN 1e0 ELSE 0e0 END), 6) AS exposure FROM (SELECT vec_id, unnest(p) AS v FROM px) GROUP BY vec_id",
+    with_(PIXELS_SQL) + "SELECT vec_id, round(avg(CASE WHEN v / 255e0 BETWEEN 0.18e0 AND 0.92e0 THEN 1e0 ELSE 0e0 END), 6) AS exposure FROM (SELECT vec_id, unnest(p) AS v FROM px) GROUP BY vec_id",
 )
 def _(t: Tables):
     return images.with_features(_pictures(t)).select("vec_id", F.round("exposure", 6).alias("exposure"))
@@ -196,7 +190,7 @@ def _(t: Tables):
     r"""WITH known AS (SELECT source AS library_id, source AS name, '/lib/' || source AS root_path, TIMESTAMP '2024-01-01' AS created_at FROM documents GROUP BY source),
     roots AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages)
     SELECT * FROM known UNION ALL
-    SELECT 'lib_' || substr(sha1('/web/' || host), 1, 16), host, '/web/' || host, TIMESTAMP '2024-02-01' FROM roots""",
+    SELECT 'lib_' || sha1('/web/' || host), host, '/web/' || host, TIMESTAMP '2024-02-01' FROM roots""",
 )
 def _(t: Tables):
     first, later = (F.lit(d).cast("timestamp") for d in ("2024-01-01", "2024-02-01"))
@@ -215,7 +209,7 @@ def _(t: Tables):
     "media_upsert",
     with_(M, L) + """SELECT path, media_id, library_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, category,
       doc_id NOT IN (SELECT doc_id FROM labels) AS is_hashed FROM media
-    UNION ALL SELECT '/lib/web/Screenshots/page' || page_id || '.jpg', 'm' || substr(sha1('/lib/web/Screenshots/page' || page_id || '.jpg'), 1, 16), 'web', len(html), 'SCREENSHOT', false FROM pages""",
+    UNION ALL SELECT '/lib/web/Screenshots/page' || page_id || '.jpg', 'm' || sha1('/lib/web/Screenshots/page' || page_id || '.jpg'), 'web', len(html), 'SCREENSHOT', false FROM pages""",
 )
 def _(t: Tables):
     media = t.media.withColumn("is_hashed", F.lit(True))
@@ -311,9 +305,22 @@ def _(t: Tables):
     by_source = t.files.groupBy("library_id").agg(F.count(F.lit(1)).alias("member_count"))
     near = by_source.select(F.concat(F.lit("near_"), "library_id").alias("group_id"), F.lit("NEAR").alias("kind"), "member_count")
     stale = by_source.select(F.concat(F.lit("stale_"), "library_id").alias("group_id"), F.lit("EXACT").alias("kind"), "member_count")
-    tables.dup_rebuild_sink(near.unionByName(stale), path)
-    tables.dup_rebuild_sink(dedup.exact_dup_groups(t.files).select("group_id", "kind", "member_count"), path)
-    return t.spark.read.parquet(path).select("group_id", "kind", "member_count")
+    similar = stale.withColumn("kind", F.lit("SIMILAR"))
+    tables.dup_rebuild_sink(near.unionByName(stale).unionByName(similar), path, ("EXACT", "NEAR", "SIMILAR"))
+    # no similar group is left this time, which empties their kind
+    exact = dedup.exact_dup_groups(t.files).select("group_id", "kind", "member_count")
+    tables.dup_rebuild_sink(exact, path, ("EXACT", "SIMILAR"), dedup.exact_dup_members(t.files).withColumn("kind", F.lit("EXACT")))
+    return t.spark.read.parquet(f"{path}/groups").select("group_id", "kind", "member_count")
+
+
+@query("dup_rebuild_members", with_(M, E) + "SELECT group_id, media_id, 'EXACT' AS kind FROM exact_members")
+def _(t: Tables):
+    path = new_table_path(t.spark, "dup_group")
+    exact, members = dedup.exact_dup_groups(t.files), dedup.exact_dup_members(t.files).withColumn("kind", F.lit("EXACT"))
+    stale = members.withColumn("group_id", F.concat(F.lit("stale_"), "group_id"))
+    tables.dup_rebuild_sink(exact, path, ("EXACT",), stale)
+    tables.dup_rebuild_sink(exact, path, ("EXACT",), members)
+    return t.spark.read.parquet(f"{path}/members").select("group_id", "media_id", "kind")
 
 
 @query(
@@ -409,7 +416,7 @@ def _(t: Tables):
 def _(t: Tables):
     items = t.files.withColumn("is_hidden", F.lit(False))
     at = F.lit("2024-06-01").cast("timestamp")
-    return operations.apply_trash(items, _trash_plan(t).ops, "op_1", at)[0].select("media_id", "is_hidden")
+    return operations.apply_trash(items, _trash_plan(t).ops, "op_1", at, HOME)[0].select("media_id", "is_hidden")
 
 
 ENTRIES_SQL = """
@@ -418,7 +425,7 @@ entries AS (SELECT 'te_op_1_' || media_id AS id, media_id, "from" AS original_pa
 
 def _entries(t: Tables):
     items = t.files.withColumn("is_hidden", F.lit(False))
-    return operations.apply_trash(items, _trash_plan(t).ops, "op_1", F.lit("2024-06-01").cast("timestamp"))[1]
+    return operations.apply_trash(items, _trash_plan(t).ops, "op_1", F.lit("2024-06-01").cast("timestamp"), HOME)[1]
 
 
 @query("trash_entries", with_(M, L, REQUEST_SQL, OPS_SQL, ENTRIES_SQL) + "SELECT * FROM entries")
@@ -519,7 +526,7 @@ def _(t: Tables):
 
 @query("apply_rename", with_(M, RENAME_SQL) + """SELECT media_id, "final" AS path, regexp_extract("final", '([^/]*)$', 1) AS filename FROM finals""")
 def _(t: Tables):
-    return operations.apply_rename(t.files, _rename_plan(t).ops).select("media_id", "path", "filename")
+    return operations.apply_rename(t.files, _rename_plan(t).ops, HOME).select("media_id", "path", "filename")
 
 
 @query(
@@ -575,7 +582,7 @@ def _(t: Tables):
 
 def _undo(t: Tables) -> operations.Undo:
     trashed, entries = operations.apply_trash(
-        t.files.withColumn("is_hidden", F.lit(False)), _trash_plan(t).ops, "op_1", F.lit("2024-06-01").cast("timestamp")
+        t.files.withColumn("is_hidden", F.lit(False)), _trash_plan(t).ops, "op_1", F.lit("2024-06-01").cast("timestamp"), HOME
     )
     operation = t.spark.createDataFrame([("op_1", "COMPLETED", "rows")], "id string, status string, manifest string")
     manifest = operations.manifest_parse(_operation(t)).drop("operation_id")

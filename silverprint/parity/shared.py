@@ -19,10 +19,10 @@ exact_f AS (SELECT sha256, count(*) AS member_count, CAST(sum(size_bytes) AS BIG
 exact_r AS (SELECT m.*, f.member_count, f.total_bytes, {SCORE_SQL} AS score,
                    row_number() OVER (PARTITION BY m.sha256 ORDER BY {SCORE_SQL} DESC, size_bytes DESC, media_id) AS rn
             FROM media m JOIN exact_f f ON f.sha256 = m.sha256),
-exact_groups AS (SELECT 'dg_' || substr(sha256, 1, 16) AS group_id, 'EXACT' AS kind, member_count, total_bytes,
+exact_groups AS (SELECT 'dg_' || sha256 AS group_id, 'EXACT' AS kind, member_count, total_bytes,
                         media_id AS best_media_id, total_bytes - size_bytes AS recoverable_bytes
                  FROM exact_r WHERE rn = 1),
-exact_members AS (SELECT 'dg_' || substr(sha256, 1, 16) AS group_id, media_id, 1e0 AS score,
+exact_members AS (SELECT 'dg_' || sha256 AS group_id, media_id, 1e0 AS score,
                          CASE WHEN rn = 1 THEN 'best candidate' ELSE 'duplicate of best' END AS reason
                   FROM exact_r)
 """
@@ -64,7 +64,7 @@ member_rows AS (SELECT m.group_id, m.media_id, g.kind, g.best_media_id, i.filena
 def _shown(x: str, digits: int) -> str:
     """Decimal text with ties rounded up."""
     scale = 10**digits
-    return f"printf('%.{digits}f', floor(({x}) * {scale} + 5e-1) / {scale})"
+    return f"printf('%.{digits}f', floor(({x}) * {scale} + 0.5e0) / {scale})"
 
 
 def fmt_bytes_sql(n: str) -> str:

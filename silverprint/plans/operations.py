@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -76,6 +77,9 @@ def plan_trash(
 def plan_rename(requests: DataFrame, items: DataFrame, hashes: DataFrame, listing: DataFrame) -> Plan:
     """New names in place, made unique; each collision is reported with the name chosen instead."""
     _refuse_empty(requests, "RENAME")
+    requests = requests.select("media_id", "new_name").distinct()
+    if not requests.groupBy("media_id").count().filter("count > 1").isEmpty():
+        raise PlanError("an item is to be renamed to two names")
     facts = items.select("media_id", "path", "size_bytes").join(hashes.select("media_id", "sha256"), "media_id", "left")
     known = requests.join(facts, "media_id").withColumn("target", new_target(F.col("path"), F.col("new_name")))
     chosen = unique_targets(known.select("media_id", "target"), listing.select("path"))
@@ -113,8 +117,17 @@ def op_safety_check(ops: DataFrame, home: str, kind: str = "TRASH") -> DataFrame
     return ops.withColumn("violation", reason).filter(F.col("violation").isNotNull())
 
 
-def apply_trash(items: DataFrame, ops: DataFrame, operation_id: str, at: Column, retention_days: int = 30) -> tuple[DataFrame, DataFrame]:
-    """The catalog with the trashed items hidden, and the trash entries."""
+def _refuse_unsafe(ops: DataFrame, home: str, kind: str) -> None:
+    broken = op_safety_check(ops, home, kind).select("violation", "from").head()
+    if broken is not None:
+        raise PlanError(f"refusing an unsafe operation: {broken[0]}: {broken[1]}")
+
+
+def apply_trash(
+    items: DataFrame, ops: DataFrame, operation_id: str, at: Column, home: str, retention_days: int = 30
+) -> tuple[DataFrame, DataFrame]:
+    """The catalog with the trashed items hidden, and the trash entries. An unsafe plan is refused before anything is done."""
+    _refuse_unsafe(ops, home, "TRASH")
     entries = ops.select(
         F.concat_ws("_", F.lit("te"), F.lit(operation_id), "media_id").alias("id"),
         F.lit(operation_id).alias("operation_id"),
@@ -133,7 +146,9 @@ def apply_trash(items: DataFrame, ops: DataFrame, operation_id: str, at: Column,
     return items.join(gone, "media_id", "left").withColumn("is_hidden", hidden).select(*items.columns), entries
 
 
-def apply_rename(items: DataFrame, ops: DataFrame) -> DataFrame:
+def apply_rename(items: DataFrame, ops: DataFrame, home: str) -> DataFrame:
+    """The catalog with new paths. An unsafe plan is refused before anything is done."""
+    _refuse_unsafe(ops, home, "RENAME")
     moved = ops.select("media_id", F.col("to").alias("_to"))
     new_path = F.coalesce("_to", "path")
     return items.join(moved, "media_id", "left").withColumns({"path": new_path, "filename": basename(new_path)}).select(*items.columns)
@@ -352,8 +367,20 @@ ALBUM_COLUMNS = (
 )
 
 
+#: Words that a saved predicate may hold besides the columns.
+ALBUM_WORDS = ("and", "or", "not", "in", "between", "like", "is", "null", "true", "false", "timestamp", "date")
+
+
 def smart_album(items: DataFrame, query: str) -> DataFrame:
-    """Members of a saved predicate; it sees only the allowed columns, others fail to resolve."""
+    """Members of a saved predicate: allowed columns, literals, comparisons and ``ALBUM_WORDS``; no functions.
+
+    Any other name is refused before Spark sees the text, and so are quoted names and comments.
+    """
+    bare = re.sub(r"'[^'\\]*'", "''", query)
+    names = re.findall(r"[^\W\d]\w*", bare)
+    unknown = [n for n in names if n.lower() not in ALBUM_WORDS and n not in ALBUM_COLUMNS]
+    if unknown or re.search(r"[`\"\\;{}\[\]@$]|--|/\*", bare) or re.search(rf"\b({'|'.join(ALBUM_COLUMNS)})\s*\(", bare):
+        raise PlanError(f"not a predicate of an album: {query}")
     visible = items.select("media_id", *[c for c in ALBUM_COLUMNS if c in items.columns])
     # as a column: a filter would look through the projection for names it does not find
     return visible.select("media_id", F.expr(query).alias("_member")).filter("_member").select("media_id")

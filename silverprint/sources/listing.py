@@ -14,8 +14,22 @@ from silverprint.operators.classify import classify_ext
 # Directory names and file-name starts that a scan passes over. The application's own
 # folders come on top, as the caller's ``app_dirs``.
 IGNORED_DIRS = (
-    ".git .svn .hg node_modules .next .cache .thumbnails .trash @eaDir @Recycle .Trashes .Spotlight-V100 .fseventsd"
-).split() + ["System Volume Information", "$RECYCLE.BIN"]
+    ".git",
+    ".svn",
+    ".hg",
+    "node_modules",
+    ".next",
+    ".cache",
+    ".thumbnails",
+    ".trash",
+    "@eaDir",
+    "@Recycle",
+    ".Trashes",
+    ".Spotlight-V100",
+    ".fseventsd",
+    "System Volume Information",
+    "$RECYCLE.BIN",
+)
 IGNORED_PREFIXES = (".", "~$")
 
 # Spark cannot hold a binary value of 2 GiB or more.

@@ -13,9 +13,15 @@ def write_version(df: DataFrame, base: str, version: int, partition_by: tuple[st
     return path
 
 
-def dup_rebuild_sink(groups: DataFrame, path: str) -> None:
-    """Replace all groups of the kinds in ``groups``; other kinds stay."""
-    groups.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind").parquet(path)
+def dup_rebuild_sink(groups: DataFrame, path: str, kinds: tuple[str, ...], members: DataFrame | None = None) -> None:
+    """Replace the groups of ``kinds`` at ``path/groups``, and their members (with a ``kind``) at ``path/members``.
+
+    Each kind is a partition that is written even when nothing of it is left, so that an empty rebuild empties it. Other
+    kinds stay; rows of other kinds in ``groups`` are not taken.
+    """
+    for name, rows in (("groups", groups), ("members", members)):
+        for kind in kinds if rows is not None else ():
+            rows.filter(F.col("kind") == kind).drop("kind").write.mode("overwrite").parquet(f"{path}/{name}/kind={kind}")
 
 
 def operation_log_append(rows: DataFrame, path: str) -> None:

@@ -133,3 +133,23 @@ def test_scratch_tables_are_written_and_released(spark):
     assert table.count() == 5 and list(Path(table._scratch_path).rglob("*.parquet"))
     release(table)
     assert not Path(table._scratch_path).exists()
+
+
+def test_attach_facts_spreads_hot_null_and_served_rows(spark):
+    n = 40_000
+    key = F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 4 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 500))
+    rows = spark.range(n).withColumn("key", key.cast("string"))
+    facts = rows.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = attach_facts(rows, facts, ["key"], F.col("n"), "id", keep_unmatched=True)
+        parts = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(parts) == n and max(parts) < 2 * n / len(parts) and len(parts) == 8
+    assert "hashpartitioning(key" in plan and "_spread" in plan.split("hashpartitioning(key")[1][:40]
+    assert joined.filter("key = 'hot' and n = 20000").count() == n // 2

@@ -43,7 +43,7 @@ def test_trash_then_undo_gives_the_catalog_back(spark):
     assert operations.plan_summary(plan).head()["summary"] == "Move 2 file(s) to Trash · 203 B"
     assert operations.op_safety_check(plan.ops, "/home").count() == 0
 
-    trashed, entries = operations.apply_trash(items, plan.ops, "op_1", at(NOW))
+    trashed, entries = operations.apply_trash(items, plan.ops, "op_1", at(NOW), "/home")
     assert {r["media_id"] for r in trashed.filter("is_hidden").collect()} == {"m1", "m2"}
     assert entries.filter("expires_at = timestamp'2024-07-01'").count() == 2
     assert operations.trash_expired(entries, at("2024-06-30")).count() == 0
@@ -132,8 +132,14 @@ def test_rename_plan_stays_in_the_folder_and_reports(spark):
     plan = operations.plan_rename(asks, items, hashes, items.select("path"))
     assert {r["media_id"]: r["to"] for r in plan.ops.collect()} == {"m0": "/lib/n.jpg", "m1": "/lib/n (1).jpg"}
     assert {r["warning"] for r in plan.warnings.collect()} == {"Unknown media: x", "Collision: /lib/n.jpg → /lib/n (1).jpg"}
-    moved = operations.apply_rename(items, plan.ops)
+    moved = operations.apply_rename(items, plan.ops, "/home")
     assert {r["filename"] for r in moved.collect()} == {"n.jpg", "n (1).jpg", "2.jpg"}
+    assert operations.plan_rename(asks.union(asks), items, hashes, items.select("path")).ops.count() == 2
+    twice = asks.union(spark.createDataFrame([("m0", "other.jpg")], asks.schema))
+    with pytest.raises(operations.PlanError):
+        operations.plan_rename(twice, items, hashes, items.select("path"))
+    with pytest.raises(operations.PlanError):
+        operations.apply_rename(items, plan.ops.withColumn("from", F.lit("/lib/../etc")), "/home")
 
 
 def test_status_of_operations(spark):
@@ -162,6 +168,10 @@ def test_trash_bucket_views(spark):
 def test_smart_album_sees_allowed_columns_only(spark):
     items = catalog(spark).withColumn("secret", F.lit(1))
     assert operations.smart_album(items, "size_bytes >= 104").count() == 2
+    assert operations.smart_album(items, "filename in ('4.jpg', '5.jpg', 'secret = 1') and not size_bytes between 0 and 103").count() == 2
+    for query in ("java_method('java.lang.System', 'exit') = 1", "size_bytes >= abs(3)", "filename = `filename`", "filename(1) = 1", "true -- x"):
+        with pytest.raises(operations.PlanError):
+            operations.smart_album(items, query)
     with pytest.raises(Exception):
         operations.smart_album(items, "secret = 1").count()
 

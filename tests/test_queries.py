@@ -7,6 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from silverprint.parity import QUERIES
 from tests.parity_check import compare, duck
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
     ok, text = compare(spark, con, name, SF_DIR)
     assert ok, text

@@ -142,6 +142,18 @@ def test_changed_files_are_hashed_again_unless_asked_not_to(spark):
     row = merge.media_upsert(media, seen).head()
     assert (row["size_bytes"], row["category"], row["is_hashed"]) == (2, "PHOTO", False)
     assert merge.media_upsert(media, seen, rehash_on_change=False).head()["is_hashed"] is True
+    assert merge.media_upsert(media, seen.union(seen)).count() == 1
+    hashes = media.select("media_id")
+    assert todo.hash_todo(media, hashes).count() == 0 and todo.hash_todo(merge.media_upsert(media, seen), hashes).count() == 1
+
+
+def test_merges_take_one_row_a_key(spark):
+    schema = "media_id string, sha256 string, dhash_hex string, computed_at int"
+    old = spark.createDataFrame([("a", "x", "0", 1)], schema)
+    new = spark.createDataFrame([("a", "y", "1", 2), ("a", "z", "2", 3), ("b", "q", "3", 1), ("b", "q", "3", 1)], schema)
+    assert {tuple(r) for r in merge.hash_upsert(old, new).collect()} == {("a", "z", "2", 1), ("b", "q", "3", 1)}
+    assert merge.replace_rows(old, new, ["media_id"]).count() == 2 and merge.patch(old, new, ["media_id"]).count() == 1
+    assert merge.insert_only(old, new, ["media_id"]).count() == 2
 
 
 def test_dup_sink_replaces_one_kind_only(spark, tmp_path):
@@ -149,9 +161,11 @@ def test_dup_sink_replaces_one_kind_only(spark, tmp_path):
         return spark.createDataFrame([(i, kind) for i in ids], "group_id string, kind string")
 
     path = str(tmp_path / "dup_group")
-    tables.dup_rebuild_sink(groups("EXACT", ["e1", "e2"]).unionByName(groups("NEAR", ["n1"])), path)
-    tables.dup_rebuild_sink(groups("EXACT", ["e3"]), path)
-    assert {r["group_id"] for r in spark.read.parquet(path).collect()} == {"e3", "n1"}
+    tables.dup_rebuild_sink(groups("EXACT", ["e1", "e2"]).unionByName(groups("NEAR", ["n1"])), path, ("EXACT", "NEAR"))
+    tables.dup_rebuild_sink(groups("EXACT", ["e3"]), path, ("EXACT",))
+    assert {r["group_id"] for r in spark.read.parquet(f"{path}/groups").collect()} == {"e3", "n1"}
+    tables.dup_rebuild_sink(groups("EXACT", []), path, ("EXACT",), groups("EXACT", []))
+    assert {r["group_id"] for r in spark.read.parquet(f"{path}/groups").collect()} == {"n1"}
     first = tables.write_version(groups("NEAR", ["n1"]), str(tmp_path / "t"), 1)
     assert first.endswith("/v00000001") and spark.read.parquet(first).count() == 1
 
