@@ -73,15 +73,9 @@ def _(t: Tables):
 )
 def _(t: Tables):
     files = _listing_stream(t).withColumn("kind", classify_ext(F.regexp_extract("path", r"(\.[^./]*)$", 1)))
-    query_ = ingest.append_batches(
-        ingest.with_progress(files), new_table_path(t.spark, "progress"), new_table_path(t.spark, "checkpoint"), availableNow=True
-    )
-    query_.awaitTermination()
-    counts = [p.observedMetrics["scan"] for p in query_.recentProgress if "scan" in p.observedMetrics]
-    rows = [(c["scanned"], c["matched"], c["bytes"]) for c in counts]  # one row per batch
-    return t.spark.createDataFrame(rows, "scanned long, matched long, bytes long").agg(
-        *[F.sum(c).alias(c) for c in ("scanned", "matched", "bytes")]
-    )
+    log = new_table_path(t.spark, "progress")
+    ingest.append_batches(ingest.with_progress(files), log, new_table_path(t.spark, "checkpoint"), availableNow=True).awaitTermination()
+    return ingest.progress_of(t.spark.read.parquet(log)).agg(*[F.sum(c).alias(c) for c in ("scanned", "matched", "bytes")])
 
 
 @query(
@@ -89,9 +83,13 @@ def _(t: Tables):
     """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     n AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
     SELECT user_id AS library_id, min(ts) AS start_at, max(ts) AS end_at, count(*) AS photos FROM n GROUP BY user_id, no
-    HAVING count(*) >= 3 AND max(ts) + INTERVAL 12 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""",
+    HAVING count(*) >= 3""",
 )
 def _(t: Tables):
-    """Sessions the watermark has closed by the end of the stream."""
-    photos = _stream(t, "events").select(F.col("user_id").alias("library_id"), F.col("ts").cast("timestamp").alias("taken_at"))
-    return _finish(t, sessions.stream_sessions(photos), "append").drop("batch")
+    """Sessions the watermark has closed by the end of the stream, and those still open."""
+
+    def photos(events: DataFrame) -> DataFrame:
+        return events.select(F.col("user_id").alias("library_id"), F.col("ts").cast("timestamp").alias("taken_at"))
+
+    closed = _finish(t, sessions.stream_sessions(photos(_stream(t, "events"))), "append").drop("batch")
+    return sessions.sessions_view(closed, photos(t.raw("events")))

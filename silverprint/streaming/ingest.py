@@ -80,6 +80,16 @@ def with_progress(files: DataFrame, name: str = "scan") -> DataFrame:
     )
 
 
+def progress_of(log: DataFrame) -> DataFrame:
+    """Counters of each batch in a log of :func:`append_batches`, however many batches there were."""
+    matched = F.col("kind") != "UNKNOWN"
+    return log.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("scanned"),
+        F.count_if(matched).alias("matched"),
+        F.coalesce(F.sum(F.when(matched, F.col("size_bytes"))), F.lit(0)).alias("bytes"),
+    )
+
+
 class ProgressListener(StreamingQueryListener):
     """Keeps the observed counters and the phase of each query."""
 
