@@ -199,3 +199,28 @@ def test_flags_tiny_and_large(spark):
 def test_enum_violations(spark):
     df = spark.createDataFrame([("a", "IMAGE"), ("b", "PDF"), ("c", None)], "id string, kind string")
     assert {r["id"] for r in enum_violations(df, {"kind": ("IMAGE", "VIDEO")}).collect()} == {"b", "c"}
+
+
+def test_natural_order_has_no_digit_limit(spark):
+    names = ["a5", "a1234567890123456789012345", "a1234567890123456789012346", "a00012", "b1", "a99999999999999999999"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.n for r in df.orderBy(text.natural_key(F.col("n"))).collect()]
+    assert got == ["a5", "a00012", "a99999999999999999999", "a1234567890123456789012345", "a1234567890123456789012346", "b1"]
+
+
+def test_hybrid_search_fuses_whole_lists(spark):
+    import random
+
+    rng = random.Random(6)
+    ids = [f"m{i:05d}" for i in range(3000)]
+    lists = [[(i, rng.randrange(400) / 7) for i in ids if rng.random() < share] for share in (0.9, 0.7)]
+    lists[0] += [("only lexical", 99.0)]
+    place = [{i: p for p, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)} for rows in lists]
+    score = {i: sum(1 / (60 + p[i]) for p in place if i in p) for i in {i for p in place for i in p}}
+    want = [(i, place[0].get(i), place[1].get(i)) for i in sorted(score, key=lambda i: (-score[i], i))[:60]]
+    frames = [spark.createDataFrame(rows, "media_id string, score double") for rows in lists]
+    got = [(r.media_id, r.lexical_rank, r.semantic_rank) for r in search.hybrid_search(*frames).collect()]
+    assert got == want and max(p for _, a, b in want for p in (a or 0, b or 0)) > 1000
+    empty = frames[0].limit(0)
+    assert search.hybrid_search(empty, empty).count() == 0
+    assert search.hybrid_search(empty, frames[1]).count() == 60
