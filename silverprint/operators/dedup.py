@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from silverprint.functions.hashing import hamming
 from silverprint.functions.text import group_label
 from silverprint.functions.times import member_when
+from silverprint.functions.vectors import l2_normalize
 from silverprint.operators.components import connected_components
 from silverprint.operators.hamming_pairs import (
     HAMMING_LIMIT,
@@ -19,6 +20,7 @@ from silverprint.operators.hamming_pairs import (
     rank_by_hash,
 )
 from silverprint.operators.keyed import attach_facts
+from silverprint.operators.vector_pairs import SIMILAR_COSINE, eps_of_cosine, vector_components
 from silverprint.workspace import materialise
 
 # Weights of the keep score and the path words it looks for.
@@ -31,6 +33,7 @@ COPY_WORDS = "(?i)WhatsApp|Sent|Copy"
 
 # Reasons of members and notes of the duplicate view.
 BEST_COPY, OTHER_COPY, BEST_NEAR, NEAR_DISTANCE = "best candidate", "duplicate of best", "best of cluster", "hamming="
+BEST_SIMILAR, OTHER_SIMILAR = "best of group", "similar to best"
 NOTE_BEST, NOTE_EXACT, NOTE_NEAR = "Best candidate", "Byte-identical", "Near duplicate"
 
 
@@ -107,7 +110,7 @@ def exact_dup_members(
 ) -> DataFrame:
     """One row per copy in an exact group."""
     facts = _exact_facts(items, library, members_scope).select("sha256", "member_count", "best_media_id")
-    rows = items.select("sha256", "media_id", "library_id")
+    rows = items.select("sha256", "media_id", "library_id").filter(F.col("sha256").isNotNull() & (F.col("sha256") != ""))
     if library is not None and members_scope == "library":
         rows = rows.filter(F.col("library_id") == library)
     joined = attach_facts(rows, facts, ["sha256"], F.col("member_count"), "media_id", hot_rows)
@@ -128,6 +131,7 @@ def dup_totals(groups: DataFrame) -> DataFrame:
     )
 
 
+_SIMILAR_COLUMNS = ["media_id", "path", "width", "height", "size_bytes"]
 # What near deduplication carries along; everything else stays in the catalog.
 _NEAR_COLUMNS = ["media_id", "sha256", "dhash", "dhash_hex", "path", "width", "height", "size_bytes"]
 
@@ -194,6 +198,23 @@ def near_dedup(
     return groups, members
 
 
+def similar_groups(items: DataFrame, cosine: float = SIMILAR_COSINE) -> tuple[DataFrame, DataFrame]:
+    """Groups and members of pictures that look alike: links of ``cosine`` or more between embeddings, chains included.
+
+    The best of a burst is the one to keep. Items without embedding are in no group; a group is named by its smallest id.
+    """
+    unit = items.filter(F.size("embedding") > 0).select("media_id", l2_normalize(F.col("embedding")).alias("vec"))
+    labels = vector_components(unit, "media_id", "vec", eps_of_cosine(cosine) + 1e-9)
+    tagged = materialise(items.select(*_SIMILAR_COLUMNS).join(labels, "media_id"), "similar_tagged")
+    facts = _group_facts(tagged, "component", [(-F.col("size_bytes")).alias("t")]).withColumn(
+        "group_id", F.concat_ws("_", F.lit("sg"), F.col("component").cast("string"))
+    )
+    groups = facts.select("group_id", F.lit("SIMILAR").alias("kind"), *_GROUP_COLUMNS[2:])
+    joined = attach_facts(tagged, facts.select("component", "group_id", "best_media_id", "member_count"), ["component"], F.col("member_count"), "media_id")
+    best = F.col("media_id") == F.col("best_media_id")
+    return groups, joined.select("group_id", "media_id", F.when(best, BEST_SIMILAR).otherwise(OTHER_SIMILAR).alias("reason"))
+
+
 def dedup_recompute(items: DataFrame, library: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Exact, then near: all groups and all members."""
     near_groups, near_members = near_dedup(items, library)

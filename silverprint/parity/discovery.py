@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from silverprint.operators import classify, events, people, search, todo, vector_pairs, views
+from silverprint.operators import classify, dedup, events, people, search, todo, vector_pairs, views
 from silverprint.parity.catalog import VIEW_SQL
 from silverprint.parity.registry import query, with_
-from silverprint.parity.shared import L, M
+from silverprint.parity.shared import L, M, SCORE_SQL
 from silverprint.parity.tables import Tables
 
 
@@ -186,6 +186,33 @@ def _(t: Tables):
     return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
+SIMILAR_SQL = f"""
+svec AS (SELECT DISTINCT vec_id, embedding FROM media),
+sedge AS (SELECT a.vec_id AS s, b.vec_id AS d FROM svec a JOIN svec b ON a.vec_id <> b.vec_id WHERE {COSINE_SQL} >= 0.4e0),
+sreach(node, lab) AS (SELECT vec_id, vec_id FROM svec UNION SELECT e.d, r.lab FROM sreach r JOIN sedge e ON e.s = r.node WHERE r.lab < e.d),
+scomp AS (SELECT node, min(lab) AS root FROM sreach GROUP BY node),
+srow AS (SELECT m.*, c.root, {SCORE_SQL} AS score, count(*) OVER (PARTITION BY c.root) AS n,
+    row_number() OVER (PARTITION BY c.root ORDER BY {SCORE_SQL} DESC, size_bytes DESC, media_id) AS rn FROM media m JOIN scomp c ON c.node = m.vec_id)"""
+
+
+@query(
+    "similar_groups",
+    with_(M, SIMILAR_SQL) + """SELECT 'sg_' || min(media_id) AS group_id, 'SIMILAR' AS kind, count(*) AS member_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes,
+    min(media_id) FILTER (rn = 1) AS best_media_id, CAST(sum(size_bytes) FILTER (rn > 1) AS BIGINT) AS recoverable_bytes FROM srow WHERE n > 1 GROUP BY root""",
+)
+def _(t: Tables):
+    return dedup.similar_groups(t.media, 0.4)[0]
+
+
+@query(
+    "similar_members",
+    with_(M, SIMILAR_SQL) + """SELECT 'sg_' || min(media_id) OVER (PARTITION BY root) AS group_id, media_id,
+    CASE WHEN rn = 1 THEN 'best of group' ELSE 'similar to best' END AS reason FROM srow WHERE n > 1""",
+)
+def _(t: Tables):
+    return dedup.similar_groups(t.media, 0.4)[1]
+
+
 # -- model classes ------------------------------------------------------------------------------
 
 PATCH_SQL = """
