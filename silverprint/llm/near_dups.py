@@ -20,6 +20,7 @@ a Jaccard similarity of ``t`` share ``k * t`` retained values on average; a pair
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from silverprint.llm.texts import SpanHasher, as_bytes, map_rows, plain_words
 from silverprint.operators.components import connected_components
 from silverprint.operators.keyed import attach_facts
-from silverprint.workspace import materialise
+from silverprint.workspace import materialise, release
 
 SHINGLE = 5
 THRESHOLD = 75
@@ -128,8 +129,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .select("digest", "copies", F.col("first.id").alias("node"), F.col("first.n").alias("n"), F.col("first.sketch").alias("sketch")),
         "nodes",
     )
-    links = _links(source, nodes, percent, k, retained_share)
-    labels = connected_components(links, "a", "b")
+    written: list[DataFrame] = []
+    labels = connected_components(_links(source, nodes, percent, k, retained_share, written), "a", "b")
+    for table in written:  # the components are a table of their own
+        release(table)
     named = nodes.select("digest", "node", "copies").join(labels, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component_id"), "copies"
     )
@@ -150,8 +153,13 @@ def _digests(source: DataFrame) -> DataFrame:
     return _sketches(source, 0).select("id", "n", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest"))
 
 
-def _links(source: DataFrame, nodes: DataFrame, percent: int, k: int, retained_share: float) -> DataFrame:
-    """Links with the same components as all links between nodes."""
+def _links(source: DataFrame, nodes: DataFrame, percent: int, k: int, retained_share: float, written: list[DataFrame]) -> DataFrame:
+    """Links with the same components as all links between nodes; scratch tables are added to ``written``."""
+
+    def stored(df: DataFrame, label: str) -> DataFrame:
+        written.append(materialise(df, label))
+        return written[-1]
+
     target = percent / 100
     slack = SIGMAS * (target * (1 - target) / k) ** 0.5
     size = F.size("sketch")
@@ -166,7 +174,7 @@ def _links(source: DataFrame, nodes: DataFrame, percent: int, k: int, retained_s
         .withColumn("open", F.col("prefix") - (F.col("size") - F.size("held")))
         .filter("open > 0")
     )
-    lists = materialise(
+    lists = stored(
         ranked.select(
             "node",
             F.aggregate("held", F.lit(0).cast("long"), lambda total, h: total + h.holders).alias("central"),
@@ -180,10 +188,10 @@ def _links(source: DataFrame, nodes: DataFrame, percent: int, k: int, retained_s
         .filter("holders > 1")
         .select("value", (-F.col("top.back")).alias("centre"), "holders")
     )
-    placed = materialise(
+    placed = stored(
         attach_facts(lists, centres, ["value"], F.col("holders"), "node").select("value", "node", "centre", "holders"), "placed"
     )
-    sets = materialise(
+    sets = stored(
         _full_sets(source.join(placed.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])), "sets"
     )
     sketches = nodes.join(placed.select("node").distinct(), "node", "left_semi").select("node", "sketch")
@@ -195,17 +203,17 @@ def _links(source: DataFrame, nodes: DataFrame, percent: int, k: int, retained_s
     possible = F.col("likeness") >= target - slack
 
     to_centre = placed.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    likeness = materialise(estimated(to_centre), "likeness")
-    first = materialise(_confirmed(likeness.filter(possible).select("a", "b"), sets, percent), "first_links")
+    likeness = stored(estimated(to_centre), "likeness")
+    first = stored(_confirmed(likeness.filter(possible).select("a", "b"), sets, percent), "first_links")
 
     component = connected_components(first, "a", "b")
     labelled = placed.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("value").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
     ).filter("low <> high and n > 2")
-    open_lists = materialise(attach_facts(labelled, mixed.select("value", "n"), ["value"], F.col("n"), "node"), "open_lists")
+    open_lists = stored(attach_facts(labelled, mixed.select("value", "n"), ["value"], F.col("n"), "node"), "open_lists")
     rest = _short_list_pairs(open_lists.filter(F.col("n") <= SHORT), likeness, first, target, slack).unionByName(
-        _long_list_pairs(open_lists.filter(F.col("n") > SHORT), sets, percent)
+        _long_list_pairs(open_lists.filter(F.col("n") > SHORT), sets, percent, stored)
     )
     second = _confirmed(estimated(rest.distinct()).filter(possible).select("a", "b"), sets, percent)
     return first.select("a", "b").unionByName(second.select("a", "b"))
@@ -231,7 +239,7 @@ def _short_list_pairs(members: DataFrame, likeness: DataFrame, first: DataFrame,
     )
 
 
-def _long_list_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _long_list_pairs(members: DataFrame, sets: DataFrame, percent: int, stored: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Pairs of one centre's long lists that can still be links, without pairing a list with itself.
 
     Nodes that the centre links are in its component, so one of a pair is a node that it does not link. What two nodes
@@ -246,7 +254,7 @@ def _long_list_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataF
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("shingle")
     held = each.join(often, "shingle").groupBy("node").agg(F.collect_list("shingle").alias("held"))
     of_centre = own.select(F.col("node").alias("centre"), F.col("set").alias("core"))
-    described = materialise(
+    described = stored(
         grouped.filter("node <> centre")
         .join(own.join(held, "node", "left"), "node")
         .join(of_centre, "centre")

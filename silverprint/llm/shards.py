@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from silverprint.operators.ranking import global_rank
-from silverprint.workspace import materialise
+from silverprint.workspace import materialise, release
 
 
 def _log_choose(n: int, k: int) -> float:
@@ -98,6 +98,7 @@ def shuffle_into(rows: DataFrame, shards: int, seed: int = 0) -> DataFrame:
         .select(*columns, "shard", "_after", "_row")
     )
     placed = global_rank(dealt, [F.col("shard"), F.col("_after"), F.col("_row")], "_place")
+    release(drawn)  # the ranks are a table of their own
     before = F.array(*[F.lit(int(x)).cast("long") for x in np.cumsum([0, *sizes[:-1]])])
     return placed.select(*columns, F.col("shard").cast("int").alias("shard"), (F.col("_place") - 1 - F.get(before, F.col("shard"))).alias("slot"))
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from silverprint.llm.texts import map_rows
 from silverprint.operators.keyed import attach_facts
-from silverprint.workspace import materialise
+from silverprint.workspace import materialise, release
 
 ENTITIES = "array<struct<kind:string,norm:string,first:int,last:int>>"
 
@@ -226,7 +226,10 @@ def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
         if again.isEmpty():
             return current.drop("attempt")
         redrawn = _drawn(current.join(again, ["kind", "norm"], "left_semi").withColumn("attempt", F.col("attempt") + 1), key)
-        current = materialise(current.join(again, ["kind", "norm"], "left_anti").unionByName(redrawn), "surrogates")
+        following = materialise(current.join(again, ["kind", "norm"], "left_anti").unionByName(redrawn), "surrogates")
+        release(current)
+        release(again)
+        current = following
 
 
 def replace_personal_data(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
