@@ -121,31 +121,26 @@ def reverse_geocode(points: DataFrame, cities: DataFrame, max_km: float = 100.0,
     )
 
 
-def event_location_refine(
-    members: DataFrame, group: str = "library_id", ts: str = "taken_at", split_km: float = SPLIT_KM, merge_days: float = MERGE_DAYS
-) -> DataFrame:
-    """Split wide events by city, then merge parts of one city less than ``merge_days`` apart.
-
-    ``members`` come from :func:`event_members` with lat, lon and city. An event is wide when the
-    median distance of its photos to its mean position exceeds ``split_km``: when more than half are farther away.
-    """
+def _refined_parts(members: DataFrame, group: str, ts: str, split_km: float, merge_days: float) -> tuple[DataFrame, DataFrame]:
+    """Per event whether it is wide and its main city; per part of an event the start of the event it was merged into."""
     event = [group, "start_at"]
-    members = materialise(members.select("media_id", *event, ts, "lat", "lon", "city"), "event_members")
     centre = members.groupBy(*event).agg(
         F.avg("lat").alias("mean_lat"), F.avg("lon").alias("mean_lon"), F.count(F.lit(1)).alias("_n")
     )
     placed = attach_facts(members, centre, event, F.col("_n"), "media_id")
     away = haversine_km(F.col("lat"), F.col("lon"), F.col("mean_lat"), F.col("mean_lon"))
     # one row per event and city: everything after this works on parts, not on photos
-    spread = placed.groupBy(*event).agg((2 * F.count_if(away > split_km) > F.count(away)).alias("wide"))
+    spread = placed.groupBy(*event).agg(
+        (2 * F.count_if(away > split_km) > F.count(away)).alias("wide"), F.count(F.lit(1)).alias("_n")
+    )
     by_city = members.groupBy(*event, F.coalesce("city", F.lit("")).alias("city")).agg(
         F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("photos")
     )
-    parts = by_city.join(spread, event)
-    main_city = parts.groupBy(*event).agg(F.min(F.struct((-F.col("photos")).alias("n"), "city")).alias("_m"))
+    main_city = by_city.groupBy(*event).agg(F.min(F.struct((-F.col("photos")).alias("n"), "city")).alias("_m"))
+    verdict = spread.join(main_city, event).select(*event, "wide", F.col("_m.city").alias("main_city"), "_n")
     parts = (
-        parts.join(main_city, event)
-        .withColumn("part_city", F.when(F.col("wide"), F.col("city")).otherwise(F.col("_m.city")))
+        by_city.join(verdict, event)
+        .withColumn("part_city", F.when(F.col("wide"), F.col("city")).otherwise(F.col("main_city")))
         .groupBy(*event, "part_city")
         .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("photos").alias("photos"))
     )
@@ -154,12 +149,50 @@ def event_location_refine(
     gap = F.unix_micros("first") - F.unix_micros(reached)
     fresh = F.when(gap.isNull() | (gap >= int(merge_days * 86_400_000_000)) | (F.col("part_city") == ""), F.col("first"))
     upto = in_order.rowsBetween(Window.unboundedPreceding, 0)
-    merged = parts.withColumn("_f", fresh).withColumn("event_start", F.last("_f", ignorenulls=True).over(upto))
+    return verdict, parts.withColumn("_f", fresh).withColumn("event_start", F.last("_f", ignorenulls=True).over(upto))
+
+
+def event_location_refine(
+    members: DataFrame, group: str = "library_id", ts: str = "taken_at", split_km: float = SPLIT_KM, merge_days: float = MERGE_DAYS
+) -> DataFrame:
+    """Split wide events by city, then merge parts of one city less than ``merge_days`` apart.
+
+    ``members`` come from :func:`event_members` with lat, lon and city. An event is wide when the
+    median distance of its photos to its mean position exceeds ``split_km``: when more than half are farther away.
+    """
+    members = materialise(members.select("media_id", group, "start_at", ts, "lat", "lon", "city"), "event_members")
+    _, merged = _refined_parts(members, group, ts, split_km, merge_days)
     return merged.groupBy(group, F.col("part_city").alias("city"), "event_start").agg(
         F.max("last").alias("event_end"), F.sum("photos").alias("photos"), F.count(F.lit(1)).alias("parts")
     )
 
 
+def event_member(
+    members: DataFrame, group: str = "library_id", ts: str = "taken_at", split_km: float = SPLIT_KM, merge_days: float = MERGE_DAYS
+) -> DataFrame:
+    """Which photo belongs to which event of :func:`event_location_refine`: (group, city, event_start) name the event."""
+    members = materialise(members.select("media_id", group, "start_at", ts, "lat", "lon", "city"), "event_members")
+    verdict, merged = _refined_parts(members, group, ts, split_km, merge_days)
+    judged = attach_facts(members, verdict, [group, "start_at"], F.col("_n"), "media_id").withColumn(
+        "part_city", F.when(F.col("wide"), F.coalesce("city", F.lit(""))).otherwise(F.col("main_city"))
+    )
+    key = [group, "start_at", "part_city"]
+    found = attach_facts(judged, merged.select(*key, "event_start", "photos"), key, F.col("photos"), "media_id")
+    return found.select(group, F.col("part_city").alias("city"), "event_start", "media_id", ts, "lat", "lon")
+
+
+def event_group(members: DataFrame, group: str = "library_id", ts: str = "taken_at") -> DataFrame:
+    """One row an event of :func:`event_member`: its span, cover (the first photo) and mean position."""
+    first = F.min(F.struct(ts, "media_id"))
+    return members.groupBy(group, "city", "event_start").agg(
+        F.max(ts).alias("event_end"),
+        F.count(F.lit(1)).alias("photos"),
+        first["media_id"].alias("cover"),
+        F.avg("lat").alias("centroid_lat"),
+        F.avg("lon").alias("centroid_lon"),
+    )
+
+
 def event_outliers(members: DataFrame, event: str = "event_id", min_cosine: float = OUTLIER_COSINE) -> DataFrame:
     """Members with their cosine to the event's mean vector and whether they stay."""
     centroid = members.groupBy(event).agg(

@@ -410,6 +410,31 @@ def _(t: Tables):
     return events.event_location_refine(events.event_members(located))
 
 
+REFINED_SQL = """
+pe AS (SELECT *, min(first) OVER (PARTITION BY library_id, city, no) AS event_start FROM pn),
+rmem AS (SELECT g.library_id, p.city, p.event_start, g.media_id, g.taken_at, g.lat, g.lon FROM gm g
+  JOIN wide w ON w.library_id = g.library_id AND w.start_at = g.start_at JOIN mainc m ON m.library_id = g.library_id AND m.start_at = g.start_at
+  JOIN pe p ON p.library_id = g.library_id AND p.start_at = g.start_at AND p.city = CASE WHEN w.wide THEN COALESCE(g.city, '') ELSE m.main END)"""
+
+
+@query("event_member", with_(TIMES_SQL, CITIES_SQL, REFINE_SQL, REFINED_SQL) + "SELECT library_id, city, event_start, media_id FROM rmem")
+def _(t: Tables):
+    located = events.reverse_geocode(_points(t), _cities(t))
+    return events.event_member(events.event_members(located)).select("library_id", "city", "event_start", "media_id")
+
+
+@query(
+    "event_group",
+    with_(TIMES_SQL, CITIES_SQL, REFINE_SQL, REFINED_SQL) + """SELECT library_id, city, event_start, max(taken_at) AS event_end, count(*) AS photos,
+    arg_min(media_id, (taken_at, media_id)) AS cover, round(avg(lat) + 0.0000001e0, 4) AS centroid_lat, round(avg(lon) + 0.0000001e0, 4) AS centroid_lon FROM rmem GROUP BY library_id, city, event_start""",
+)
+def _(t: Tables):
+    located = events.reverse_geocode(_points(t), _cities(t))
+    found = events.event_group(events.event_member(events.event_members(located)))
+    # the shift keeps means that end in a half from being rounded either way
+    return found.withColumns({c: F.round(F.col(c) + 0.0000001, 4) for c in ("centroid_lat", "centroid_lon")})
+
+
 @query(
     "event_outliers",
     with_(M) + f""", ax AS (SELECT library_id, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM media),
