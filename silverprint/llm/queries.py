@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silverprint.llm import decontaminate, domain_scores, fingerprints, licenses, near_dups, quality_rank, shards, simple8b, surrogates, word_bpe
+from silverprint.llm import decontaminate, domain_scores, fingerprints, licenses, near_dups, oracles, quality_rank, shards, simple8b, surrogates, word_bpe
 from silverprint.llm.registry import ORACLES, QUERIES, query, table
 from silverprint.workspace import new_table_path
 
@@ -25,7 +25,7 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@query("op1_decontamination")
+@query("op1_decontamination", oracles.OP1)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark"))
@@ -45,7 +45,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), stored=True)
 
 
-@query("op3_license_scan")
+@query("op3_license_scan", oracles.OP3)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -80,7 +80,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replaced.select("doc_id", "text", "n_entities")
 
 
-@query("op8_near_duplicates")
+@query("op8_near_duplicates", oracles.OP8)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
