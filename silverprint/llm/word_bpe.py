@@ -3,8 +3,9 @@
 Texts are split into words at white space. The tokenizer drops white space and merges nothing across it, so the ids of a
 text are the ids of its words in order (tests compare with the library on whole texts).
 
-1. Documents are taken in blocks of about ``BLOCK_BYTES`` of text. A block numbers its distinct words by frequency and
-   keeps each document as the numbers of its words, a byte or two each.
+1. Documents are taken in blocks of about ``BLOCK_BYTES`` of text. A block cuts its distinct words further where the
+   tokenizer cuts in any case, numbers the distinct parts by frequency and keeps each document as the numbers of its
+   parts, a byte or two each. Below, a word is such a part.
 2. The blocks' words are shuffled by word and sorted, so every distinct word of the input is encoded once, in one task,
    and its ids go back to each block that asked. A word is asked for once a block, so none is hot.
 3. Each block joins ids back by position, and ids to pieces through the vocabulary, which is broadcast (it is of fixed
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -49,6 +51,11 @@ def tokenizer(path: str):
     return loaded
 
 
+_ASCII_PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+_SIGNS = r"([!-/:-@\[-`{-~]*)"
+_LETTERS = re.compile(rf"{_SIGNS}([^\W\d_]+){_SIGNS}")
+
+
 def _width(model) -> str:
     return "<u2" if model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
@@ -78,6 +85,21 @@ def unpack_numbers(packed: bytes) -> np.ndarray:
     return out
 
 
+def parts_of(word: bytes) -> list[bytes]:
+    """A word cut where the pre-tokenizer cuts in any case: letters, single digits and other signs stand apart.
+
+    A word of ASCII is cut wholly and lower-cased, as the tokenizer does. Of other words only ASCII signs around letters are
+    taken off. Words that hold an apostrophe (contractions) or may hold a special token stay whole.
+    """
+    if b"'" in word or b"<|" in word:
+        return [word]
+    if word.isascii():
+        return _ASCII_PARTS.findall(word.lower())
+    match = _LETTERS.fullmatch(word.decode())
+    # lower-casing may end a letter with a mark, which joins the signs after it
+    return [p.encode() for p in match.groups() if p] if match and match.group(2).lower().isalpha() else [word]
+
+
 class _Block:
     """Documents of about ``BLOCK_BYTES`` of text as word numbers; words are numbered as they come."""
 
@@ -96,16 +118,25 @@ class _Block:
             self.size += len(text or b"")
         self.rows.append(rows)
 
-    def ranked(self) -> tuple[list[bytes], np.ndarray]:
-        """The words by falling frequency, and the place of each number in that order."""
-        counts = np.zeros(len(self.numbers), np.int64)
-        for codes in self.texts:
-            np.add.at(counts, codes, 1)
-        order = np.argsort(-counts, kind="stable")
+    def ranked(self) -> tuple[list[bytes], Callable[[np.ndarray], np.ndarray]]:
+        """The distinct parts of the words by falling frequency, and a function from word numbers to numbers of parts."""
+        parts: defaultdict[bytes, int] = defaultdict()
+        parts.default_factory = parts.__len__
+        rows = [[parts[p] for p in parts_of(word)] for word in self.numbers]
+        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.fromiter((c for row in rows for c in row), np.int64, int(lengths.sum()))
+        uses = np.bincount(np.concatenate([np.empty(0, np.int32), *self.texts]), minlength=len(rows))
+        order = np.argsort(-np.bincount(flat, np.repeat(uses, lengths), minlength=len(parts)), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        words = list(self.numbers)
-        return [words[i] for i in order.tolist()], place
+        numbered, offsets = place[flat], np.cumsum(lengths) - lengths
+
+        def of(codes: np.ndarray) -> np.ndarray:
+            n = lengths[codes]
+            return numbered[np.repeat(offsets[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+        words = list(parts)
+        return [words[i] for i in order.tolist()], of
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text: str, kept: list[str]) -> Iterator[_Block]:
@@ -164,10 +195,10 @@ def _doc_rows(docs: DataFrame, text: str, kept: list[str]) -> DataFrame:
 
     def docs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, text, kept):
-            _, place = block.ranked()
+            _, numbers_of = block.ranked()
             at = 0
             for rows in block.rows:
-                parts = [pack_numbers(place[codes]) for codes in block.texts[at : at + rows.num_rows]]
+                parts = [pack_numbers(numbers_of(codes)) for codes in block.texts[at : at + rows.num_rows]]
                 at += rows.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), block.key)), pa.array(parts, pa.binary()), *rows.columns], schema.names)
 
