@@ -116,9 +116,12 @@ def losses(counts: np.ndarray) -> np.ndarray:
     return -np.log(np.maximum(mixed, np.float32(1e-30)))
 
 
-def fit(docs: DataFrame, target: str, text: str = "text", vocabulary: int = VOCABULARY) -> Losses:
-    """Both models from ``docs``: the target one from rows whose column ``target`` is true, the background one from all."""
-    frequent = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+def fit(docs: DataFrame, target: str, text: str = "text", vocabulary: int = VOCABULARY, corpus: DataFrame | None = None) -> Losses:
+    """Both models from ``docs``: the target one from rows whose column ``target`` is true, the background one from all.
+
+    ``corpus`` holds the same texts for the vocabulary; where ``docs`` comes out of a join, the table itself spares a second one.
+    """
+    frequent = word_counts(docs if corpus is None else corpus, text).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
     ids = {bytes(r.word): i for i, r in enumerate(frequent)}
     wanted, everything = _bigram_counts(docs, ids, text, target)
     return Losses(ids, losses(wanted), losses(everything))
