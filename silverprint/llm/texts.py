@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CONTENT = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in _LOWER)
 #: Text of this many bytes is worked on at once; a longer text is one slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def content_words(text: bytes | None) -> list[bytes]:

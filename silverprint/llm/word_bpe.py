@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -122,10 +123,13 @@ class _Block:
         """The distinct parts of the words by falling frequency, and a function from word numbers to numbers of parts."""
         parts: defaultdict[bytes, int] = defaultdict()
         parts.default_factory = parts.__len__
-        rows = [[parts[p] for p in parts_of(word)] for word in self.numbers]
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter((c for row in rows for c in row), np.int64, int(lengths.sum()))
-        uses = np.bincount(np.concatenate([np.empty(0, np.int32), *self.texts]), minlength=len(rows))
+        flat, lengths = array("i"), array("i")
+        for word in self.numbers:
+            cut = parts_of(word)
+            lengths.append(len(cut))
+            flat.extend(map(parts.__getitem__, cut))
+        flat, lengths = np.array(flat, np.int64), np.array(lengths, np.int64)
+        uses = np.bincount(np.concatenate([np.empty(0, np.int32), *self.texts]), minlength=len(lengths))
         order = np.argsort(-np.bincount(flat, np.repeat(uses, lengths), minlength=len(parts)), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
