@@ -144,16 +144,26 @@ class _Block:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text: str, kept: list[str]) -> Iterator[_Block]:
-    """Blocks numbered across all tasks, the same whenever the same rows are read."""
+    """Blocks numbered across all tasks, the same whenever the same rows are read.
+
+    A block ends with the row that fills it. Where Arrow batches end, which depends on the columns read, makes no difference.
+    """
     task = TaskContext.get().partitionId()
     block = _Block(task << 32)
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             piece = batch.slice(at, 64)
-            block.add(piece.select(kept), as_bytes(piece.column(text)))
-            if block.size >= BLOCK_BYTES:
-                yield block
-                block = _Block(block.key + 1)
+            texts = as_bytes(piece.column(text))
+            start, size = 0, block.size
+            for end, raw in enumerate(texts, 1):
+                size += len(raw or b"")
+                if size >= BLOCK_BYTES:
+                    block.add(piece.slice(start, end - start).select(kept), texts[start:end])
+                    yield block
+                    block = _Block(block.key + 1)
+                    start, size = end, 0
+            if start < len(texts):
+                block.add(piece.slice(start).select(kept), texts[start:])
     if block.texts:
         yield block
 

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from silverprint.llm import simple8b, word_bpe
 from silverprint.llm.byte_bpe import Encoder
@@ -51,6 +52,21 @@ def test_word_ids_and_texts_match_the_library(spark, word_model, monkeypatch, bl
     assert got == sorted(want)
 
 
+def test_blocks_do_not_depend_on_arrow_batches(spark, word_model, monkeypatch, tmp_path):
+    monkeypatch.setattr(word_bpe, "BLOCK_BYTES", 20_000)
+    texts = [f"{t} own{i}" for i, t in enumerate(prose(700, 9, words=20))]
+    spark.createDataFrame(rows_of(texts), SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "10000")
+    cloudpickle.register_pickle_by_value(word_bpe)  # so that tasks see the small blocks
+    try:
+        got = {r.doc_id: r.ids_sha256 for r in word_bpe.digests(spark.read.parquet(f"{tmp_path}/docs"), vocabulary("word_bpe_49k.json"), stored=True).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        cloudpickle.unregister_pickle_by_value(word_bpe)
+    ids = [word_model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got == {i: hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for i, x in enumerate(ids)}
+
+
 def test_encode_and_decode_keep_other_columns(spark, word_model):
     path = vocabulary("word_bpe_49k.json")
     docs = spark.createDataFrame(rows(), SCHEMA).selectExpr("*", "'old' as ids", "7 as decoded", "doc_id as block")
