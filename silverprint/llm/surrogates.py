@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,7 +37,11 @@ FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
 OTHER_TITLES = ("Dr", "Prof", "Dra")
 
-_PERSON = re.compile(rf"\b({'|'.join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)})\b\.?[  ]([^\W\d_]+(?:[-'’ ][^\W\d_]+){{0,2}})")
+_TITLE = "|".join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)
+_LETTER = re.compile(r"[^\W\d_]")
+#: A capitalised word that is no title.
+_NAME = rf"(?!(?:{_TITLE})\b)[{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isupper() and _LETTER.match(c))}][^\W\d_]*"
+_PERSON = re.compile(rf"\b({_TITLE})\b\.?[  ]({_NAME}(?:[-'’][^\W\d_]+| {_NAME}){{0,2}}(?:[-'’][^\W\d_]+)*)")
 _EMAIL = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ](?:[\w.+%-]*[\w+%-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]*[A-Za-z0-9])*\.[A-Za-z]{2,24}\b")
 _SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|key)\b[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9_\-+/=.]{16,})")
 _KNOWN_KEY = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|[0-9a-f]{40}|[0-9a-f]{64})\b")
@@ -83,10 +88,6 @@ def detect(text: str) -> list[tuple[str, str, int, int]]:
             start, end = match.span(group)
             value = text[start:end]
             if kind == "person":
-                parts = value.split(" ")
-                named = next((i for i, p in enumerate(parts) if not p[:1].isupper()), len(parts))
-                value = " ".join(parts[:named])
-                end = start + len(value)
                 norm = _named(match.group(1), value)
             elif kind in ("email", "iban"):
                 norm = value.casefold().replace(" ", "")
@@ -94,7 +95,7 @@ def detect(text: str) -> list[tuple[str, str, int, int]]:
                 norm = value
             else:
                 norm = re.sub(r"[^\d+]", "", value)
-            if not value or any(start < b and a < end for a, b in taken):
+            if any(start < b and a < end for a, b in taken):
                 continue
             taken.append((start, end))
             out.append((kind, norm, start, end))

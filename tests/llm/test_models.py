@@ -160,6 +160,22 @@ def test_entities_are_found_in_their_kinds():
     ]
 
 
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("Mr. Smith and Mrs. Jones", ["Smith", "Jones"]),
+        ("Mrs. Smith met Mr Petrov", ["Smith", "Petrov"]),
+        ("Mr and Mrs Smith", ["Smith"]),
+        ("Dear Mr Smith Mrs Jones Herr Weber", ["Smith", "Jones", "Weber"]),
+        ("Prof. Dr. Anna Maria Schmidt came", ["Anna Maria Schmidt"]),
+        ("Ms Anna-maria O'Neil and Dr. Éva Ágh", ["Anna-maria O'Neil", "Éva Ágh"]),
+        ("Господин Петров и Госпожа Анна Иванова", ["Петров", "Анна Иванова"]),
+    ],
+)
+def test_every_titled_person_is_found(text, names):
+    assert [text[a:b] for kind, _, a, b in surrogates.detect(text) if kind == "person"] == names
+
+
 def test_surrogates_keep_format_gender_script_and_coreference(spark):
     texts = [
         "Mrs. Anna Smith wrote to anna.smith@mail.example.com and ANNA.SMITH@mail.example.com",
