@@ -146,31 +146,39 @@ def _name_part(part: str, gender: str, first: bool, stream: _Stream) -> str:
 
 
 def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
-    """The normal form of the surrogate of an entity; later attempts have more room, so that one is always free."""
+    """The normal form of the surrogate of an entity; later attempts have more room, so that one is always free.
+
+    From the fourth attempt on every kind grows by a sign or more an attempt; IP addresses, whose form has no room to grow in,
+    become IPv6 addresses of the documentation range.
+    """
     stream = _Stream(key, kind, norm, attempt)
     room = max(0, attempt - 3)
+    more = lambda signs="0123456789": "".join(stream.pick(signs) for _ in range(room))
     if kind == "email":
         local, _, domain = norm.rpartition("@")
         host = _Stream(key, "domain", domain)  # addresses of one host stay addresses of one host
-        return f"{_reshaped(local, stream)}{''.join(stream.pick('0123456789') for _ in range(room))}@{_reshaped(domain.split('.')[0], host)}.example.{host.pick(('com', 'net', 'org'))}"
+        return f"{_reshaped(local, stream)}{more()}@{_reshaped(domain.split('.')[0], host)}.example.{host.pick(('com', 'net', 'org'))}"
     if kind == "person":
         gender, _, name = norm.partition(":")
         parts = re.split(r"([ \-'’])", name)
         made = "".join(p if i % 2 else _name_part(p, gender, i == 0, stream) for i, p in enumerate(parts))
         return f"{gender}:{made}{''.join(stream.pick('aeiou') + stream.pick('lmnr') for _ in range(room))}"
     if kind == "ip":
-        return ".".join(("10", *(str(stream.below(254) + 1) for _ in range(3)))) if attempt < 4 else ".".join(str(stream.below(223) + 1) for _ in range(4))
+        if attempt < 4:
+            return ".".join(("10", *(str(stream.below(254) + 1) for _ in range(3))))
+        signs = more("0123456789abcdef")
+        return "2001:db8::" + ":".join(signs[i : i + 4] for i in range(0, len(signs), 4)) if room <= 20 else f"2001:db8::{signs}"
     if kind == "secret":
         head = re.match(r"AKIA|gh[pousr]_|sk-", norm)
         kept = head.group(0) if head else ""
-        return kept + _reshaped(norm[len(kept) :], stream)
+        return kept + _reshaped(norm[len(kept) :], stream) + more("0123456789abcdefghijklmnopqrstuvwxyz")
     if kind == "iban":
-        return norm[:2] + _reshaped(norm[2:], stream)
-    digits = "".join(stream.pick("0123456789") for c in norm if c.isdigit())
+        return norm[:2] + _reshaped(norm[2:], stream) + more()
+    digits = "".join(stream.pick("0123456789") for c in norm if c.isdigit()) + more()
     if kind == "phone":
         kept = "+1" if norm.startswith("+1") and len(norm) == 12 else norm[:3] if norm.startswith("+") else ""
         rest = digits[len(kept) - kept.count("+") :]
-        if len(rest) == 10 and attempt < 4:  # the exchange that no subscriber has
+        if len(rest) == 10 and not room:  # the exchange that no subscriber has
             rest = rest[:3] + "555" + rest[6:]
         return kept + rest
     if kind == "card" and _luhn(norm) == 0:
@@ -190,7 +198,7 @@ def dressed(value: str, kind: str, replacement: str) -> str:
         name = replacement.partition(":")[2]
         return name.upper() if value.isupper() and len(value) > 1 else re.sub(r"(^|[ \-'’])(\w)", lambda m: m.group(1) + m.group(2).upper(), name)
     signs = iter(replacement.lstrip("+").upper() if kind == "iban" else replacement.lstrip("+"))
-    return "".join(next(signs, "") if c.isalnum() else c for c in value)
+    return "".join([*(next(signs, "") if c.isalnum() else c for c in value), *signs])  # a later attempt may be longer
 
 
 def find_entities(docs: DataFrame, text: str = "text", column: str = "entities") -> DataFrame:

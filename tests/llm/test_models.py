@@ -215,3 +215,20 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
         cloudpickle.unregister_pickle_by_value(surrogates)
     assert len(got) == 20 and len({r.surrogate for r in got}) == 20
     assert not {r.surrogate for r in got} & {r.norm for r in got}
+
+
+@pytest.mark.parametrize(
+    "kind, norm",
+    [("phone", "+1234"), ("phone", "+10000"), ("card", "4111111111111111"), ("ssn", "123456789"), ("iban", "de89370400440532013000"), ("ip", "1.2.3.4"), ("secret", "=" * 16), ("email", "a@b.com"), ("person", "f:a")],
+)
+def test_every_kind_has_more_room_with_each_attempt(kind, norm):
+    lengths = [len(surrogates.surrogate(KEY, kind, norm, attempt)) for attempt in range(4, 20)]
+    assert all(a < b for a, b in zip(lengths, lengths[1:]))
+
+
+def test_surrogates_are_found_where_a_format_is_used_up(spark):
+    texts = [*(f"see +12{i:02d} there" for i in range(100)), "key = ----------------"]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    got = [r.text for r in surrogates.replace_personal_data(docs, KEY).collect()]
+    assert len(set(got)) == 101 and not set(got) & set(texts)
+    assert sum(t.startswith("see +12") and t.endswith(" there") for t in got) == 100
