@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from silverprint.llm.texts import as_bytes, content_spans, content_words, map_rows
+from silverprint.workspace import materialise
 
 WINDOW = 10
 #: Words of one automaton, and of one piece of a long item.
@@ -234,15 +235,49 @@ def _through(docs: DataFrame, automaton: ItemAutomaton, text: str) -> DataFrame:
 def cut_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, text: str = "text", item_id: str = "item_id") -> DataFrame:
     """``docs`` without benchmark text: documents covered by more than ``max_coverage`` go, other spans are cut out.
 
-    A cut is repeated until no window of the block is left, since the words on both sides of it come together; with
-    several blocks all are passed twice. Untouched texts come back byte by byte. Null and empty texts stay.
+    Coverage is judged once, on the words as they came. A cut is repeated until no window of any item is left, since the
+    words on both sides of it come together. Untouched texts come back byte by byte. Null and empty texts stay. The result
+    does not depend on the blocks that the items are dealt to: with several, spans of all are gathered before a cut, and texts
+    that were cut pass all of them again.
     """
     made = automata(items, window, item_id)
-    covered = "_covered"
-    cut = docs.withColumn(covered, F.lit(0.0))
-    for automaton in made * (2 if len(made) > 1 else 1):
-        cut = _without(cut, automaton, text, covered)
-    return cut.filter(F.col(covered) <= max_coverage).drop(covered)
+    if len(made) == 1:
+        covered = "_covered"
+        cut = _without(docs.withColumn(covered, F.lit(0.0)), made[0], text, covered)
+        return cut.filter(F.col(covered) <= max_coverage).drop(covered)
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_doc"), F.col(text).cast("string").alias("_text"), F.lit(0).alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items")
+    )
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    left, done = F.try_divide(n_hit, F.col("n_words")) <= max_coverage, None
+    while True:
+        for automaton in made:
+            rows = _through(rows, automaton, "_text")
+        found = materialise(rows, "overlaps")
+        clean = found.filter(F.size("spans") == 0).select("_doc", "_text")
+        done = clean if done is None else done.union(clean)
+        hit = found.filter(F.size("spans") > 0).filter(left)
+        if hit.isEmpty():
+            break
+        rows, left = map_rows(hit, _cut_batch, hit.schema, "_text"), F.lit(True)
+    return done.select(*[F.col("_text").cast(f.dataType).alias(text) if f.name == text else F.col("_doc")[f.name].alias(f.name) for f in docs.schema.fields])
+
+
+def _cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """A text without its ``spans`` of words; what stood around them is joined by a line break."""
+    at = content_spans(raw)
+    ends = [0, *(x for a, b in spans for x in (at[a][0], at[b][1])), len(raw)]
+    return b"\n".join(p for p in (raw[s:e].strip() for s, e in zip(ends[::2], ends[1::2])) if p)
+
+
+def _cut_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Texts without their spans, which are empty afterwards."""
+    spans = [[(s["first"], s["last"]) for s in row] for row in batch.column("spans").to_pylist()]
+    texts = [_cut(raw, row) for raw, row in zip(as_bytes(batch.column("_text")), spans)]
+    none = [[] for _ in texts]
+    made = {"_text": pa.array(texts, pa.binary()).cast(pa.string()), "spans": none, "items": none}
+    columns = [pa.array(made[f.name], f.type) if f.name in ("spans", "items") else made[f.name].cast(f.type) if f.name in made else batch.column(f.name) for f in batch.schema]
+    return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
 
 def _without(docs: DataFrame, automaton: ItemAutomaton, text: str, covered: str) -> DataFrame:
@@ -259,9 +294,7 @@ def _without(docs: DataFrame, automaton: ItemAutomaton, text: str, covered: str)
                 changed = True
                 shares[k] += sum(b - a + 1 for a, b in spans) / len(words)
             while spans:
-                at = content_spans(raw)
-                ends = [0, *(x for a, b in spans for x in (at[a][0], at[b][1])), len(raw)]
-                raw = b"\n".join(p for p in (raw[s:e].strip() for s, e in zip(ends[::2], ends[1::2])) if p)
+                raw = _cut(raw, spans)
                 spans, _ = matcher.match(content_words(raw))
             texts[k] = raw
         if not changed:

@@ -73,3 +73,17 @@ def test_cut_is_repeated_where_both_sides_meet(spark):
     items = spark.createDataFrame([(1, " ".join(words)), (2, inner)], "item_id long, text string")
     got = decontaminate.cut_overlaps(spark.createDataFrame([(1, doc)], "doc_id long, text string"), items).collect()
     assert got[0].text.split() == [f"z{i}" for i in range(60)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cut_does_not_depend_on_the_blocks_of_items(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    line = lambda n: " ".join(rng.choice("aBcd") for _ in range(n))
+    items = spark.createDataFrame([(i, line(rng.choice([2, 4, 5, 7, 9]))) for i in range(14)], "item_id long, text string")
+    rows = [(i, line(rng.randint(0, 60)), [i]) for i in range(200)] + [(900, None, [1]), (901, "", [2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans array<int>")
+    cut = lambda: sorted((r.doc_id, r.text, r.spans) for r in decontaminate.cut_overlaps(docs, items, 4, 0.7).select(*docs.columns).collect())
+    whole = cut()
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 25)
+    assert len(decontaminate.automata(items, 4)) > 1
+    assert cut() == whole and 20 < len(whole) < len(rows)
