@@ -94,6 +94,13 @@ def test_byte_ids_match_the_library(byte_model):
             assert row.tolist() == byte_model.encode(text or "", add_special_tokens=False).ids
 
 
+def test_byte_ids_of_texts_with_many_special_tokens(byte_model):
+    texts = ["a text <|endoftext|> " * 5000, "<|endoftext|>" * 3, None, "plain", "<|endoftext|>x"]
+    ids, counts = Encoder(vocabulary("byte_bpe_50k.json")).encode(texts)
+    for text, row in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+        assert row.tolist() == byte_model.encode(text or "", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1024, 1025, 4000])
 @pytest.mark.parametrize("high", [1, 2, 300, 50_000, 2**31, 2**60, 2**63])
 def test_simple8b_round_trip(n, high):
