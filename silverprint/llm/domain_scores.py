@@ -1,57 +1,57 @@
-"""Cross-entropy difference: two bigram models over one vocabulary, and what each word costs under either.
+"""Cross-entropy difference: two bigram models over the words of the corpus, and what each word costs under either.
 
-Both models have the same order, smoothing and vocabulary: the ``VOCABULARY`` most frequent words of the whole corpus,
-one id for all other words and one for the beginning of a text. Unigrams are smoothed by adding one; a bigram is mixed
-with its unigram by Witten-Bell weights, ``(n(h, w) + t(h) * p(w)) / (n(h) + t(h))`` with ``t(h)`` the number of different
-words seen after ``h``. A document's score is the mean over its words of the loss under the background model less the loss
-under the target model: the higher, the more it is like the target.
+Both models have the same order, smoothing and vocabulary: every word of the corpus has an id of its own (itself), and one
+more stands for words that the corpus does not hold. Unigrams are smoothed by adding one; a bigram is mixed with its unigram
+by Witten-Bell weights, ``(n(h, w) + t(h) * p(w)) / (n(h) + t(h))`` with ``t(h)`` the number of different words seen after
+``h``, which for the first word is the beginning of a text. A document's score is the mean over its words of the loss under
+the background model less the loss under the target model: the higher, the more it is like the target.
 
-Counts cover all documents. Words are counted in each task before they are shuffled, bigrams as a dense table a task, whose
-size the vocabulary bounds; so are the two tables of losses, which are broadcast. Documents are scored where they lie.
+Counts cover all bigrams of all documents. They are Spark tables, which grow with the corpus: blocks of documents count their
+distinct bigrams before these are shuffled, and facts of single words are joined to bigrams with hot words set apart. For
+scores each block asks once for each of its distinct bigrams, as in ``word_bpe``; no text is shuffled for that.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from silverprint.llm.texts import as_bytes, content_words, map_rows
+from silverprint.llm.texts import as_bytes, content_words
+from silverprint.llm.word_bpe import blocks, pack_numbers, unpack_numbers
+from silverprint.operators.keyed import attach_facts
+from silverprint.workspace import materialise
 
-#: Words with an id of their own.
-VOCABULARY = 2048
 #: Different words that a task holds before it hands their counts on.
 HELD = 400_000
+#: No words: the beginning of a text, and any word outside a vocabulary that was limited.
+START, OTHER = b"", b" "
 
 
 @dataclass
 class Losses:
-    """Word ids, and the loss of a word after another under both models (``size`` by ``size``, in nats)."""
+    """Tables of both models; counts ``target`` and ``background`` are of bigrams, of words after a word, and of words.
 
-    ids: dict[bytes, int]
-    target: np.ndarray
-    background: np.ndarray
+    ``ids`` is the limited vocabulary, or None where every word of the corpus counts; ``size`` is the number of ids.
+    """
 
-    def of(self, words: list[bytes]) -> tuple[float, float]:
-        """Sums over all words; the first one follows the beginning of the text."""
-        codes = encode(self.ids, words)
-        pairs = codes[:-1] * self.target.shape[0] + codes[1:]
-        return float(self.target.ravel()[pairs].sum(dtype=np.float64)), float(self.background.ravel()[pairs].sum(dtype=np.float64))
+    ids: frozenset[bytes] | None
+    bigrams: DataFrame
+    contexts: DataFrame
+    words: DataFrame
+    size: int
+    target: int
+    background: int
 
 
-def encode(ids: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    """Ids with the mark of the beginning in front; ``len(ids)`` stands for any other word."""
-    other = len(ids)
-    codes = np.empty(len(words) + 1, np.int64)
-    codes[0] = other + 1
-    codes[1:] = np.fromiter(map(ids.get, words, [other] * len(words)), np.int64, len(words))
-    return codes
+def _splitter(ids: frozenset[bytes] | None) -> Callable[[bytes], list[bytes]]:
+    return content_words if ids is None else lambda text: [w if w in ids else OTHER for w in content_words(text)]
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -71,81 +71,126 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _bigram_counts(docs: DataFrame, ids: dict[bytes, int], text: str, target: str) -> tuple[np.ndarray, np.ndarray]:
-    """Dense counts over the target documents and over all."""
-    size = len(ids) + 2
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
+def _bigrams(block) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """First and second words of a block's distinct bigrams; numbers of all bigrams; how many each text has.
+
+    Bigrams are numbered in the order of their words, so that neighbours share bytes and the shuffle compresses them.
+    """
+    words = sorted(block.numbers)
+    place = np.empty(len(words), np.int64)
+    place[np.fromiter(map(block.numbers.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
+    words.append(START)
+    lengths = np.fromiter(map(len, block.texts), np.int64, len(block.texts))
+    codes = place[np.concatenate([np.empty(0, np.int32), *block.texts])]
+    before = np.roll(codes, 1)
+    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = len(words) - 1
+    distinct, numbers = np.unique(before * len(words) + codes, return_inverse=True)
+    known = pa.array(words, pa.binary())
+    first, second = (known.take(pa.array(x)) for x in np.divmod(distinct, len(words)))
+    return first, second, numbers, lengths
+
+
+def _in_parts(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), 50_000):
+        yield pa.RecordBatch.from_arrays([c.slice(at, 50_000) for c in columns], names)
+
+
+def _counted(docs: DataFrame, ids: frozenset[bytes] | None, text: str, target: str) -> DataFrame:
+    """``(h, w, target, background)``: how often ``w`` follows ``h`` in the target documents and in all."""
+    split = _splitter(ids)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, size * size), np.int64)
-        for batch in batches:
-            for raw, wanted in zip(as_bytes(batch.column("text")), batch.column("target").to_pylist()):
-                codes = encode(shared.value, content_words(raw))
-                pairs, n = np.unique(codes[:-1] * size + codes[1:], return_counts=True)
-                table[1, pairs] += n
-                if wanted:
-                    table[0, pairs] += n
-        seen = np.flatnonzero(table[1])
-        for at in range(0, len(seen), 100_000):
-            part = seen[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(table[0, part]), pa.array(table[1, part])], ["pair", "target", "all"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            yield pa.RecordBatch.from_arrays([pa.array([rows.astype("<i8").tobytes()], pa.binary())], ["rows"])
+        for block in blocks(batches, "text", ["target"], split):
+            first, second, numbers, lengths = _bigrams(block)
+            wanted = np.array([x for rows in block.rows for x in rows.column("target").to_pylist()], bool)
+            everything = np.bincount(numbers, minlength=len(first))
+            chosen = np.bincount(numbers[np.repeat(wanted, lengths)], minlength=len(first))
+            yield from _in_parts([first, second, pa.array(chosen), pa.array(everything)], ["h", "w", "target", "background"])
 
     source = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(target), F.lit(False)).alias("target"))
-    summed = source.mapInArrow(count, "pair long, target long, all long").groupBy("pair").agg(F.sum("target").alias("target"), F.sum("all").alias("all"))
-    counts = np.zeros((2, size * size), np.float32)
-    for row in summed.mapInArrow(pack, "rows binary").toLocalIterator():  # at most size * size pairs
-        pair, wanted, everything = np.frombuffer(row.rows, "<i8").reshape(3, -1)
-        counts[:, pair] = wanted, everything
-    return counts[0].reshape(size, size), counts[1].reshape(size, size)
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """Negative log probabilities from bigram counts."""
-    of_word = counts.sum(0, dtype=np.float64)
-    of_word[-1] = -1  # the beginning of a text follows nothing
-    word = ((of_word + 1) / (of_word + 1).sum()).astype(np.float32)
-    after = counts.sum(1, dtype=np.float64).astype(np.float32)[:, None]
-    kinds = np.maximum((counts > 0).sum(1), 1).astype(np.float32)[:, None]
-    mixed = counts + kinds * word
-    mixed /= after + kinds
-    return -np.log(np.maximum(mixed, np.float32(1e-30)))
-
-
-def fit(docs: DataFrame, target: str, text: str = "text", vocabulary: int = VOCABULARY, corpus: DataFrame | None = None) -> Losses:
-    """Both models from ``docs``: the target one from rows whose column ``target`` is true, the background one from all.
+    parts = source.mapInArrow(count, "h binary, w binary, target long, background long")
+    return parts.groupBy("h", "w").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
-    ``corpus`` holds the same texts for the vocabulary; where ``docs`` comes out of a join, the table itself spares a second one.
-    """
-    frequent = word_counts(docs if corpus is None else corpus, text).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    ids = {bytes(r.word): i for i, r in enumerate(frequent)}
-    wanted, everything = _bigram_counts(docs, ids, text, target)
-    return Losses(ids, losses(wanted), losses(everything))
 
+def fit(docs: DataFrame, target: str, text: str = "text", vocabulary: int | None = None, corpus: DataFrame | None = None) -> Losses:
+    """Both models from ``docs``: the target one from rows whose column ``target`` is true, the background one from all.
 
-def score(docs: DataFrame, model: Losses, text: str = "text") -> DataFrame:
+    ``vocabulary`` limits the words with an id of their own to the most frequent ones; all others then share one. ``corpus``
+    holds the same texts for that; where ``docs`` comes out of a join, the table itself spares a second one.
+    """
+    ids = None
+    if vocabulary is not None:
+        frequent = word_counts(docs if corpus is None else corpus, text).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+        ids = frozenset(bytes(r.word) for r in frequent)
+    bigrams = materialise(_counted(docs, ids, text, target), "bigrams")
+    sums = [F.sum("target").alias("target"), F.sum("background").alias("background"), F.count(F.lit(1)).alias("kinds")]
+    contexts = materialise(bigrams.groupBy("h").agg(*sums, F.count_if(F.col("target") > 0).alias("target_kinds")), "contexts")
+    words = materialise(bigrams.groupBy("w").agg(*sums), "words")
+    total = words.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("target", "background")]).first()
+    return Losses(ids, bigrams, contexts, words, (total.n if ids is None else len(ids)) + 1, total.target, total.background)
+
+
+def _priced(pairs: DataFrame, model: Losses) -> DataFrame:
+    """``(h, w, target_loss, background_loss)`` of distinct bigrams with their counts, null where there are none."""
+    after = model.contexts.select("h", F.col("target").alias("target_after"), F.col("background").alias("background_after"), "target_kinds", F.col("kinds").alias("background_kinds"))
+    own = model.words.select("w", F.col("target").alias("target_own"), F.col("background").alias("background_own"), F.col("kinds").alias("own_kinds"))
+    facts = attach_facts(pairs, after, ["h"], F.col("background_kinds"), "w", keep_unmatched=True)
+    facts = attach_facts(facts, own, ["w"], F.col("own_kinds"), "h", keep_unmatched=True)
+
+    def loss(of: str, total: int) -> Column:
+        n = lambda c: F.coalesce(F.col(f"{of}{c}"), F.lit(0)).cast("double")
+        kinds = F.greatest(n("_kinds"), F.lit(1.0))
+        return (-F.log((n("") + kinds * (n("_own") + 1) / F.lit(float(total + model.size))) / (n("_after") + kinds))).cast("float").alias(f"{of}_loss")
+
+    return facts.select("h", "w", loss("target", model.target), loss("background", model.background))
+
+
+def score(docs: DataFrame, model: Losses, text: str = "text", stored: bool = False, seen: bool = False, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``n_tokens``, mean ``target_loss`` and ``background_loss``, and ``score``, their difference.
 
     A text without words, null included, costs nothing and scores 0. Repeated rows score alike, columns of those names are
-    replaced.
+    replaced. ``stored=True`` says that ``docs`` is a plain read of a stored table, which need not be written first,
+    ``seen=True`` that the model was made of the same texts; ``keep_text=False`` leaves the text out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     added = ["n_tokens", "target_loss", "background_loss", "score"]
-    kept = docs.drop(*added)
-    schema = T.StructType([*kept.schema.fields, T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in added[1:]]])
-
-    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for raw in as_bytes(batch.column(text)):
-            words = content_words(raw)
-            wanted, everything = shared.value.of(words)
-            n = max(len(words), 1)
-            rows.append((len(words), wanted / n, everything / n, (everything - wanted) / n))
-        made = [pa.array(column, kind) for column, kind in zip(zip(*rows), (pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
-        return pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *added])
-
-    return map_rows(kept, judge, schema, text)
+    docs = docs.drop(*added)
+    if not stored:
+        docs = materialise(docs, "docs")
+    kept = [c for c in docs.columns if keep_text or c != text]
+    split = _splitter(model.ids)
+    source = docs.select(*kept, F.col(text).cast("string").alias("_text"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "_text", [], split):
+            first, second, _, _ = _bigrams(block)
+            n = len(first)
+            yield from _in_parts([pa.array(np.full(n, block.key)), pa.array(np.arange(n, dtype=np.int32)), first, second], ["block", "number", "h", "w"])
+
+    held = T.StructType([T.StructField("_block", T.LongType()), T.StructField("_numbers", T.BinaryType()), *docs.select(kept).schema.fields])
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "_text", kept, split):
+            _, _, numbers, lengths = _bigrams(block)
+            texts = iter(np.split(numbers, np.cumsum(lengths)))
+            for rows in block.rows:
+                packed = [pack_numbers(next(texts)) for _ in range(rows.num_rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(packed), block.key)), pa.array(packed, pa.binary()), *rows.columns], held.names)
+
+    schema = T.StructType([*docs.select(kept).schema.fields, T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in added[1:]]])
+
+    def judge(key: tuple, rows: pa.Table, prices: pa.Table) -> pa.Table:
+        losses = np.zeros((2, prices.num_rows))
+        losses[:, prices.column("number").to_numpy()] = [prices.column(c).to_numpy() for c in ("target_loss", "background_loss")]
+        made = []
+        for packed in rows.column("_numbers").to_pylist():
+            numbers = unpack_numbers(packed)
+            wanted, everything = losses[:, numbers].sum(1) / max(len(numbers), 1)
+            made.append((len(numbers), wanted, everything, everything - wanted))
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*made), (pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
+        return pa.Table.from_arrays([*(rows.column(c) for c in kept), *columns], names=schema.names)
+
+    asked = source.select("_text").mapInArrow(ask, "block long, number int, h binary, w binary")
+    pairs = model.bigrams if seen else asked.select("h", "w").distinct().join(model.bigrams, ["h", "w"], "left")
+    # a merge join at every size: the bigrams grow with the documents
+    prices = asked.join(_priced(pairs, model).hint("merge"), ["h", "w"]).select("block", "number", "target_loss", "background_loss")
+    return source.mapInArrow(hold, held).groupBy("_block").cogroup(prices.groupBy("block")).applyInArrow(judge, schema)

@@ -104,8 +104,8 @@ def parts_of(word: bytes) -> list[bytes]:
 class _Block:
     """Documents of about ``BLOCK_BYTES`` of text as word numbers; words are numbered as they come."""
 
-    def __init__(self, key: int):
-        self.key, self.size = key, 0
+    def __init__(self, key: int, split: Callable[[bytes], list[bytes]] = bytes.split):
+        self.key, self.size, self.split = key, 0, split
         self.numbers: defaultdict[bytes, int] = defaultdict()
         self.numbers.default_factory = self.numbers.__len__
         self.texts: list[np.ndarray] = []
@@ -114,7 +114,7 @@ class _Block:
     def add(self, rows: pa.RecordBatch, texts: list[bytes | None]) -> None:
         number = self.numbers.__getitem__
         for text in texts:
-            words = text.split() if text else []
+            words = self.split(text) if text else []
             self.texts.append(np.array(list(map(number, words)), np.int32))
             self.size += len(text or b"")
         self.rows.append(rows)
@@ -143,13 +143,13 @@ class _Block:
         return [words[i] for i in order.tolist()], of
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text: str, kept: list[str]) -> Iterator[_Block]:
+def blocks(batches: Iterator[pa.RecordBatch], text: str, kept: list[str], split: Callable[[bytes], list[bytes]] = bytes.split) -> Iterator[_Block]:
     """Blocks numbered across all tasks, the same whenever the same rows are read.
 
     A block ends with the row that fills it. Where Arrow batches end, which depends on the columns read, makes no difference.
     """
     task = TaskContext.get().partitionId()
-    block = _Block(task << 32)
+    block = _Block(task << 32, split)
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             piece = batch.slice(at, 64)
@@ -160,7 +160,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: str, kept: list[str]) -> It
                 if size >= BLOCK_BYTES:
                     block.add(piece.slice(start, end - start).select(kept), texts[start:end])
                     yield block
-                    block = _Block(block.key + 1)
+                    block = _Block(block.key + 1, split)
                     start, size = end, 0
             if start < len(texts):
                 block.add(piece.slice(start).select(kept), texts[start:])
@@ -170,7 +170,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: str, kept: list[str]) -> It
 
 def _word_rows(docs: DataFrame, text: str) -> DataFrame:
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, text, []):
+        for block in blocks(batches, text, []):
             words, _ = block.ranked()
             for at in range(0, len(words), 50_000):
                 part = words[at : at + 50_000]
@@ -208,7 +208,7 @@ def _doc_rows(docs: DataFrame, text: str, kept: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField("_block", T.LongType()), T.StructField("_numbers", T.BinaryType()), *docs.select(kept).schema.fields])
 
     def docs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, text, kept):
+        for block in blocks(batches, text, kept):
             _, numbers_of = block.ranked()
             at = 0
             for rows in block.rows:

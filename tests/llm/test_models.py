@@ -101,6 +101,18 @@ def test_domain_scores_prefer_the_target(spark):
     assert domain_scores.score(odd, domain_scores.fit(odd, "good")).count() == len(awkward())
 
 
+def test_rare_words_have_losses_of_their_own(spark):
+    common = " ".join(f"c{i}" for i in range(2100))
+    rows = [(i, f"{common} {common}", False) for i in range(2)] + [(2, "rare steel", True), (3, "rare steel", False), (4, "other wool", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, good boolean")
+    model = domain_scores.fit(docs, "good")
+    got = {r.doc_id: r.score for r in domain_scores.score(docs, model).collect()}
+    assert got[2] == got[3] > got[4] + 1
+    assert got == pytest.approx({r.doc_id: r.score for r in domain_scores.score(docs, model, seen=True, keep_text=False).collect()})
+    new = docs.limit(0).union(spark.createDataFrame([(5, "never seen rare", None)], docs.schema))
+    assert domain_scores.score(new, model).first().background_loss > 0
+
+
 # quality ranking
 
 
