@@ -53,11 +53,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_sharding")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32")
-    )
-    return shards.shuffle_into(rows, SHARDS).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    # whole documents are dealt; size and digest are those of the rows that arrive
+    return shards.shuffle_into(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS).select(
+        "doc_id",
+        (F.octet_length(text).cast("long") + 8).alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

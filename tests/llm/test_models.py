@@ -55,6 +55,17 @@ def test_written_shards_read_back(spark, tmp_path):
     assert back.count() == 50 and sorted(Counter(r.shard for r in back.collect()).values()) == [16, 17, 17]
 
 
+def test_the_query_shuffles_documents_with_their_texts(spark, monkeypatch):
+    from silverprint.llm import queries
+
+    placed = []
+    shuffle = shards.shuffle_into
+    monkeypatch.setattr(queries.shards, "shuffle_into", lambda rows, n: placed.append(shuffle(rows, n)) or placed[0])
+    got = {(r.doc_id, r.size, r.text_crc32) for r in queries.op4(spark, "/root/testdata/sf0.001").collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in placed[0].collect()}
+    assert got == {(i, len(t) + 8, zlib.crc32(t)) for i, t in texts.items()}
+
+
 # domain scores
 
 
