@@ -50,3 +50,49 @@ reach(node, low) AS (SELECT DISTINCT x, x FROM links UNION SELECT l.y, r.low FRO
 named AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
 SELECT d.doc_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_shingles, COALESCE(low, d.doc_id) AS component_id, COALESCE(low, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN named ON named.node = d.doc_id"""
+
+
+_EXACT = r"regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _crc32(column: str) -> str:
+    """Unsigned CRC-32 of the decimal digits of a number, bit by bit."""
+    codes = f"list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    step = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+    byte = f"list_reduce(range(8), lambda x, k: {step}, xor(acc, c))"
+    return f"xor(list_reduce({codes}, lambda acc, c: {byte}, CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+
+
+OP12 = f"""WITH o AS (SELECT doc_id, {_EXACT} AS ws, {_crc32("doc_id")} AS h FROM documents),
+g AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM o),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM g),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS ws FROM p),
+w AS (SELECT doc_id, n, unnest(ws) AS word, unnest(range(n)) AS i FROM d),
+same AS (SELECT x.doc_id, y.i - x.i AS q, y.i AS i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+part AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM same),
+span AS (SELECT doc_id, q, min(i) - q AS start, count(*) + q AS length FROM part GROUP BY doc_id, q, part HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM span GROUP BY doc_id, start, length),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS text FROM runs GROUP BY doc_id),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, COALESCE(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(COALESCE(told.text, '')) AS runs_sha256, sha256(COALESCE(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN told ON told.doc_id = d.doc_id LEFT JOIN best ON best.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+OP13 = f"""WITH t AS (SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text, len({_EXACT}) AS n,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, COALESCE(role, ''), COALESCE(text, '')) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_crc32("conv_id")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, i, role, text, n FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND i < h
+  UNION ALL SELECT c.conv_id, i, role, text, n FROM c JOIN t ON t.conv_id = c.conv_id AND i >= h),
+k AS (SELECT conv_id, n, list(sha256(length(role) || ':' || role || text)) OVER (PARTITION BY conv_id ORDER BY i) AS k FROM r),
+whole AS (SELECT c.conv_id, COALESCE(list_last(list(k.k ORDER BY len(k.k)) FILTER (k.k IS NOT NULL)), []) AS k FROM c LEFT JOIN k ON k.conv_id = c.conv_id GROUP BY c.conv_id),
+node AS (SELECT k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n FROM (SELECT conv_id, k, n FROM k UNION ALL SELECT conv_id, [], 0 FROM c) GROUP BY k),
+ends AS (SELECT k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM whole GROUP BY k),
+up AS (SELECT *, k[1 : len(k) - 1] AS above FROM node),
+child AS (SELECT above AS k, count(*) AS n FROM up WHERE len(k) > 0 GROUP BY above),
+sums AS (SELECT u.k[1 : d] AS k, sum((u.n_convs - 1) * u.n) AS saved, count(*) FILTER (child.n IS NULL) AS leaves
+  FROM (SELECT *, unnest(range(0, len(k) + 1)) AS d FROM node) u LEFT JOIN child ON child.k = u.k GROUP BY 1)
+SELECT up.conv_id, len(up.k) AS depth, p.conv_id AS parent_conv_id, up.n_convs, COALESCE(child.n, 0) AS n_children, leaves AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(COALESCE(ids, '')) AS ends_sha256
+FROM up LEFT JOIN node p ON len(up.k) > 0 AND p.k = up.above LEFT JOIN child ON child.k = up.k LEFT JOIN ends ON ends.k = up.k JOIN sums ON sums.k = up.k"""
