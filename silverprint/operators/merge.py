@@ -125,7 +125,11 @@ def thumbnail_upsert(thumbnails: DataFrame, made: DataFrame) -> DataFrame:
 
 
 def exif_replace(media: DataFrame, exif: DataFrame, read: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Replace EXIF rows and overwrite size and capture time of their items, with null when missing."""
+    """Replace EXIF rows and overwrite size and capture time of their items, with null when missing.
+
+    Of several records of one item a single one is taken for both tables, see :func:`one_per_key`.
+    """
     facts = ("width", "height", "taken_at")
+    read = one_per_key(read, ["media_id"])
     rows = read.select(*[c for c in read.columns if c not in facts])
     return patch(media, read.select("media_id", *facts), ["media_id"]), replace_rows(exif, rows, ["media_id"])

@@ -82,7 +82,7 @@ def lexical_search(docs: DataFrame, query: str, id_col: str, text_col: str, k1:
     The texts are read once: what is kept of each is its length and its counts of the query terms,
     and this small table serves both the corpus statistics and the scores.
     """
-    terms = sorted({t for t in _query_terms(query)})
+    terms = sorted({t for t in query_terms(query)})
     if not terms:
         raise ValueError("empty query")
     tokens = docs.select(id_col, text_tokens(F.col(text_col)).alias("_t"))
@@ -106,7 +106,7 @@ def _equals(term: str):
     return lambda token: token == term
 
 
-def _query_terms(query: str) -> list[str]:
+def query_terms(query: str) -> list[str]:
     """The tokens of a query, cut like those of the texts: letters and decimal digits stay together."""
     letters = (c if unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd" else " " for c in query.lower())
     return "".join(letters).split()

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from silverprint.operators import classify, dedup, events, people, search, todo, vector_pairs, views
+from silverprint.operators import classify, dedup, events, people, search, text_index, todo, vector_index, vector_pairs, views
 from silverprint.parity.catalog import VIEW_SQL
 from silverprint.parity.registry import query, with_
 from silverprint.parity.shared import L, M, SCORE_SQL
 from silverprint.parity.tables import Tables
+from silverprint.workspace import new_table_path
 
 
 def _dot_sql(a: str, b: str) -> str:
@@ -96,6 +97,49 @@ def _(t: Tables):
     return _lexical(t).withColumn("score", F.round("score", 6))
 
 
+INDEX_SQL = r"""
+named AS (SELECT media_id, regexp_split_to_array(lower(filename || ' ' || text || ' ' || source || ' ' || lang), '[^\p{L}\p{Nd}]+') AS raw FROM placed),
+tok AS (SELECT media_id, list_filter(raw, lambda x: len(x) > 0) AS t FROM named),
+mea AS (SELECT media_id, len(t) AS dl, len(list_filter(t, lambda x: x = 'passport')) AS f1, len(list_filter(t, lambda x: x = 'the')) AS f2 FROM tok),
+sta AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (f1 > 0) AS d1, count(*) FILTER (f2 > 0) AS d2 FROM mea),
+lex AS (SELECT media_id,
+  ln(1 + (n - d1 + 0.5e0) / (d1 + 0.5e0)) * f1 * 2.2e0 / (f1 + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))
+  + ln(1 + (n - d2 + 0.5e0) / (d2 + 0.5e0)) * f2 * 2.2e0 / (f2 + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl)) AS score
+  FROM mea, sta WHERE f1 > 0 OR f2 > 0)"""
+
+
+def _text_index(t: Tables) -> str:
+    """Names, texts and tags of all items, indexed in two batches."""
+    path = new_table_path(t.spark, "text_index")
+    texts = t.raw("documents").select("doc_id", "text", "source")
+    items = t.files.select("doc_id", "media_id", "filename", "lang").join(texts, "doc_id").withColumn("tags", F.array("source", "lang"))
+    for batch in (0, 1):
+        text_index.add_batch(items.filter(F.col("doc_id") % 2 == batch), path, batch, "media_id", ["filename", "text", "tags"])
+    return path
+
+
+@query("lexical_index_scores", with_(M, INDEX_SQL) + "SELECT media_id, round(score, 6) AS score FROM lex")
+def _(t: Tables):
+    scores = text_index.Search(t.spark, _text_index(t), "The passport").scores()
+    return scores.select(F.col("id").alias("media_id"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "lexical_index_top",
+    with_(M, INDEX_SQL) + "SELECT media_id, round(score, 6) AS score FROM lex ORDER BY lex.score DESC, media_id LIMIT 60",
+)
+def _(t: Tables):
+    best = text_index.Search(t.spark, _text_index(t), "The passport").best(60)
+    return best.select(F.col("id").alias("media_id"), F.round("score", 6).alias("score"))
+
+
+@query("semantic_index_search", with_(M, SEMANTIC_SQL) + "SELECT media_id, round(score, 6) AS score FROM hits")
+def _(t: Tables):
+    path = new_table_path(t.spark, "vector_index")
+    vector_index.build(t.media, path)
+    return vector_index.VectorIndex(t.spark, path).search(_query_vector(t)).withColumn("score", F.round("score", 6))
+
+
 @query(
     "hybrid_search",
     with_(M, SEMANTIC_SQL, BM25_SQL) + """, a AS (SELECT media_id, row_number() OVER (ORDER BY round(score, 9) DESC, media_id) AS r FROM lex),

@@ -45,7 +45,7 @@ def _finish(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
     "stream_ingest",
     with_(TREE_SQL) + f"""SELECT p.path, CASE WHEN lower(ext) IN ('.mp4', '.mts') THEN 'VIDEO' ELSE 'IMAGE' END AS kind, size_bytes,
       CASE WHEN regexp_matches(path, '(?i)[\\\\/](DCIM|Camera|100[A-Z]+)[\\\\/]') THEN 'PHOTO' ELSE 'OTHER' END AS category FROM parted p
-    WHERE ext <> '.txt' AND NOT list_has_any(dirs, {listing.IGNORED_DIRS}) AND NOT starts_with(filename, '.') AND NOT starts_with(filename, '~$')""",
+    WHERE ext <> '.txt' AND NOT list_has_any(dirs, {list(listing.IGNORED_DIRS)}) AND NOT starts_with(filename, '.') AND NOT starts_with(filename, '~$')""",
 )
 def _(t: Tables):
     log = new_table_path(t.spark, "ingest")

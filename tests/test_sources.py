@@ -182,3 +182,15 @@ def test_model_wrappers_load_once_per_worker_and_pass_nulls(spark):
 def test_hamming_of_signed_values(spark):
     df = spark.createDataFrame([(-1, 0), (5, 4)], "a long, b long")
     assert [r[0] for r in df.select(hamming(F.col("a"), F.col("b"))).collect()] == [64, 1]
+
+
+def test_one_record_of_an_item_wins_in_the_catalog_and_in_the_exif_table(spark):
+    media = spark.createDataFrame([("m1", 1, 1, None), ("m2", 5, 5, None)], "media_id string, width int, height int, taken_at string")
+    old = spark.createDataFrame([("m1", "old", None)], "media_id string, make string, computed_at long")
+    read = spark.createDataFrame(
+        [("m1", 4000, 3000, "first", "A", 1), ("m1", 100, 100, "second", "B", 2)],
+        "media_id string, width int, height int, taken_at string, make string, computed_at long",
+    )
+    items, rows = merge.exif_replace(media, old, read)
+    assert sorted(map(tuple, items.collect())) == [("m1", 100, 100, "second"), ("m2", 5, 5, None)]
+    assert [tuple(r) for r in rows.collect()] == [("m1", "B", 2)]
