@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from silverprint.functions import models
@@ -12,6 +14,8 @@ from silverprint.parity.tables import Tables
 from silverprint.plans import naming, operations
 from silverprint.sources import exif as exif_source
 from silverprint.sources import images, listing, tables
+from silverprint.sources.tree import file_system
+from silverprint.sources.versions import VersionedTables
 from silverprint.workspace import new_table_path
 
 # -- listings -----------------------------------------------------------------------------------
@@ -21,20 +25,40 @@ PREFIXES = ["", ".", "~$", "_"]
 ENDINGS = [".JPG", ".txt", ".mp4", ".cr2", ".Heic", ".mts"]
 TREE_SQL = f"""
 tree AS (SELECT '/lib/' || source || '/' || ({DIRS})[doc_id % 8 + 1] || ({PREFIXES})[n_chars % 4 + 1] || 'file' || doc_id || ({ENDINGS})[doc_id % 6 + 1] AS path,
-  n_chars AS size_bytes FROM documents),
+  octet_length(encode(text)) AS size_bytes FROM documents),
 parted AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS filename, regexp_extract(path, '(\\.[^./]*)$', 1) AS ext, string_split(regexp_replace(path, '/[^/]*$', ''), '/') AS dirs FROM tree)"""
 
 
-def _tree(t: Tables):
+def _write_files(batches):
+    """Write each row's content to its path, below any file system that Arrow knows."""
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            system, inner = file_system(path)
+            system.create_dir(inner.rsplit("/", 1)[0])
+            with system.open_output_stream(inner) as stream:
+                stream.write(bytes(content))
+        yield batch[["path"]]
+
+
+def _tree(t: Tables) -> str:
+    """Documents written as files into a tree with awkward names; the folder of the tree."""
     from silverprint.parity.tables import _pick
 
+    root = re.sub("^file:(//)?(?=/)", "", new_table_path(t.spark, "lib"))
     d = F.col("doc_id")
-    return t.raw("documents").select(
+    named = t.raw("documents").select(
         F.concat(
-            F.lit("/lib/"), "source", F.lit("/"), _pick(DIRS, d % 8), _pick(PREFIXES, F.col("n_chars") % 4), F.lit("file"), d.cast("string"), _pick(ENDINGS, d % 6)
+            F.lit(root + "/"), "source", F.lit("/"), _pick(DIRS, d % 8), _pick(PREFIXES, F.col("n_chars") % 4), F.lit("file"), d.cast("string"), _pick(ENDINGS, d % 6)
         ).alias("path"),
-        F.col("n_chars").alias("size_bytes"),
+        F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"),
     )
+    named.repartition(F.xxhash64("path")).mapInPandas(_write_files, "path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+def _below(root: str):
+    """Paths as if the tree lay at /lib."""
+    return F.concat(F.lit("/lib"), F.expr(f"substring(path, {len(root) + 1})")).alias("path")
 
 
 @query(
@@ -43,8 +67,8 @@ def _tree(t: Tables):
     WHERE ext <> '.txt' AND NOT list_has_any(dirs, {[*listing.IGNORED_DIRS, '.apphome']}) AND NOT starts_with(filename, '.') AND NOT starts_with(filename, '~$')""",
 )
 def _(t: Tables):
-    found = listing.media_listing(_tree(t), "server", True, (".apphome",), "/lib")
-    return found.select("path", "filename", "ext", "kind", "size_bytes")
+    root = _tree(t)
+    return listing.scan_files(t.spark, root, (".apphome",)).select(_below(root), "filename", "ext", "kind", "size_bytes")
 
 
 @query(
@@ -52,12 +76,14 @@ def _(t: Tables):
     with_(TREE_SQL) + """SELECT path, CASE WHEN lower(ext) = '.mp4' THEN 'VIDEO' ELSE 'IMAGE' END AS kind, size_bytes FROM parted WHERE lower(ext) IN ('.jpg', '.mp4', '.heic')""",
 )
 def _(t: Tables):
-    return listing.media_listing(_tree(t), "browser", False).select("path", "kind", "size_bytes")
+    root = _tree(t)
+    return listing.scan_files_unfiltered(t.spark, root).select(_below(root), "kind", "size_bytes")
 
 
-@query("content_hash", with_(M) + "SELECT media_id, sha256 FROM media")
+@query("content_hash", "SELECT 'm' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS media_id, sha256(COALESCE(text, '')) AS sha256 FROM documents")
 def _(t: Tables):
-    return t.files.select("media_id", "sha256")
+    number = F.regexp_extract("path", r"file(\d+)\.[^./]*$", 1)
+    return listing.content_hash(t.spark, _tree(t)).select(F.concat(F.lit("m"), F.lpad(number, 8, "0")).alias("media_id"), "sha256")
 
 
 def _pictures(t: Tables):
@@ -205,13 +231,8 @@ def _(t: Tables):
     return merge.library_upsert(known, roots.unionByName(again))
 
 
-@query(
-    "media_upsert",
-    with_(M, L) + """SELECT path, media_id, library_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, category,
-      doc_id NOT IN (SELECT doc_id FROM labels) AS is_hashed FROM media
-    UNION ALL SELECT '/lib/web/Screenshots/page' || page_id || '.jpg', 'm' || sha1('/lib/web/Screenshots/page' || page_id || '.jpg'), 'web', len(html), 'SCREENSHOT', false FROM pages""",
-)
-def _(t: Tables):
+def _upsert_input(t: Tables):
+    """A catalog, and a listing with changed and with new files."""
     media = t.media.withColumn("is_hashed", F.lit(True))
     seen = t.files.join(t.raw("labels").select("doc_id").distinct(), "doc_id", "left_semi").select(
         "path", "library_id", "filename", (F.col("size_bytes") + 1).alias("size_bytes"), "last_modified"
@@ -224,8 +245,43 @@ def _(t: Tables):
         F.length("html").cast("long").alias("size_bytes"),
         F.lit("2024-05-01").cast("timestamp").alias("last_modified"),
     )
-    merged = merge.media_upsert(media, seen.unionByName(fresh))
-    return merged.select("path", "media_id", "library_id", "size_bytes", "category", "is_hashed")
+    return media, seen.unionByName(fresh)
+
+
+MEDIA_UPSERT_SQL = with_(M, L) + """SELECT path, media_id, library_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, category,
+      doc_id NOT IN (SELECT doc_id FROM labels) AS is_hashed FROM media
+    UNION ALL SELECT '/lib/web/Screenshots/page' || page_id || '.jpg', 'm' || sha1('/lib/web/Screenshots/page' || page_id || '.jpg'), 'web', len(html), 'SCREENSHOT', false FROM pages"""
+UPSERTED = ["path", "media_id", "library_id", "size_bytes", "category", "is_hashed"]
+
+
+@query("media_upsert", MEDIA_UPSERT_SQL)
+def _(t: Tables):
+    return merge.media_upsert(*_upsert_input(t)).select(*UPSERTED)
+
+
+@query("media_upsert_stored", MEDIA_UPSERT_SQL)
+def _(t: Tables):
+    """The same merge into a stored catalog, cut by folder: only the folders of the listing are written again."""
+    media, seen = _upsert_input(t)
+    catalog = VersionedTables(t.spark, new_table_path(t.spark, "catalog"))
+    columns = [c for c in media.columns if c not in ("dhash", "embedding")]
+    catalog.create("media", media.select(*columns), "pmod(xxhash64(regexp_replace(path, '/[^/]*$', '')), 64)")
+    catalog.merge("media", seen, merge.media_upsert)
+    return catalog.read("media").select(*UPSERTED)
+
+
+@query("dup_rebuild_stored", with_(M, E) + "SELECT g.group_id, g.kind, g.member_count, m.media_id FROM exact_groups g JOIN exact_members m ON m.group_id = g.group_id")
+def _(t: Tables):
+    """Groups and members replaced in one commit."""
+    catalog = VersionedTables(t.spark, new_table_path(t.spark, "catalog"))
+    exact, members = dedup.exact_dup_groups(t.files), dedup.exact_dup_members(t.files).withColumn("kind", F.lit("EXACT"))
+    stale = F.concat(F.lit("stale_"), "group_id")
+    catalog.create("dup_group", exact.withColumn("group_id", stale), "kind")
+    catalog.create("dup_member", members.withColumn("group_id", stale), "kind")
+    catalog.replace({"dup_group": exact, "dup_member": members}, ["EXACT"])
+    now = catalog.manifest()
+    groups = catalog.read("dup_group", now).select("group_id", "kind", "member_count")
+    return groups.join(catalog.read("dup_member", now).select("group_id", "media_id"), "group_id")
 
 
 @query(

@@ -29,7 +29,7 @@ def _listing_stream(t: Tables) -> DataFrame:
         F.concat(
             F.lit("/lib/"), "source", F.lit("/"), _pick(DIRS, d % 8), _pick(PREFIXES, F.col("n_chars") % 4), F.lit("file"), d.cast("string"), _pick(ENDINGS, d % 6)
         ).alias("path"),
-        F.col("n_chars").alias("size_bytes"),
+        F.octet_length("text").cast("long").alias("size_bytes"),
         F.timestamp_millis(F.lit(1704067200000) + d * 5400000).alias("last_modified"),
         F.sha2("text", 256).alias("sha256"),
     )

@@ -1,15 +1,18 @@
-"""File listings and content digests through Spark's binary file source."""
+"""File listings and content digests."""
 
 from __future__ import annotations
 
+import fnmatch
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from silverprint.functions.paths import basename, extname
 from silverprint.operators.classify import classify_ext
+from silverprint.sources.tree import file_system, read_tree
 
 # Directory names and file-name starts that a scan passes over. The application's own
 # folders come on top, as the caller's ``app_dirs``.
@@ -32,8 +35,8 @@ IGNORED_DIRS = (
 )
 IGNORED_PREFIXES = (".", "~$")
 
-# Spark cannot hold a binary value of 2 GiB or more.
-WHOLE_FILE_LIMIT = 1 << 30
+#: Bytes of a file that are in memory at once while it is digested.
+CHUNK_BYTES = 1 << 24
 
 
 def media_listing(files: DataFrame, rules: str = "server", ignore: bool = True, app_dirs: tuple[str, ...] = (), root: str = "") -> DataFrame:
@@ -72,62 +75,21 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
-    for batch in batches:
-        found = []
-        for directory in batch["path"]:
-            system, inner = fs.FileSystem.from_uri(directory if "://" in directory else f"file://{directory}")
-            prefix = directory[: len(directory) - len(inner)] if "://" in directory else ""
-            try:
-                entries = system.get_file_info(fs.FileSelector(inner))
-            except OSError:
-                continue  # unreadable directories are passed over
-            for entry in entries:
-                is_dir = entry.type == fs.FileType.Directory
-                if is_dir and _is_local_link(prefix, entry.path):
-                    continue
-                found.append((prefix + entry.path, is_dir, entry.size or 0, entry.mtime))
-        yield pd.DataFrame(found, columns=["path", "is_dir", "size_bytes", "last_modified"]).astype(
-            {"path": str, "is_dir": bool, "size_bytes": "int64", "last_modified": "datetime64[ns, UTC]"}
-        )
-
-
-def _is_local_link(prefix: str, path: str) -> bool:
-    import os
-
-    return not prefix and os.path.islink(path)
-
-
 def list_tree(spark: SparkSession, root: str, ignored: tuple[str, ...] = ()) -> DataFrame:
-    """All files below ``root``, one job per directory level; ignored directories are not entered.
+    """All files below ``root`` as the tasks find them; ignored and linked directories are not entered."""
+    return read_tree(spark, root.rstrip("/"), ignored).filter("error IS NULL").drop("error")
 
-    Every level is a table, so the directories are listed in parallel and never held by the driver.
-    """
-    from silverprint.workspace import materialise
-
-    level = spark.createDataFrame([(root.rstrip("/"),)], "path string")
-    files = None
-    while True:
-        seen = materialise(
-            level.repartition(F.xxhash64("path")).mapInPandas(
-                _children, "path string, is_dir boolean, size_bytes long, last_modified timestamp"
-            ),
-            "listing",
-        )
-        here = seen.filter(~F.col("is_dir")).drop("is_dir")
-        files = here if files is None else files.unionByName(here)
-        level = seen.filter(F.col("is_dir") & ~basename(F.col("path")).isin(list(ignored))).select("path")
-        if level.isEmpty():
-            return files
+
+def unreadable(spark: SparkSession, root: str, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """Folders below ``root`` that could not be read, with the reason."""
+    return read_tree(spark, root.rstrip("/"), ignored).filter("error IS NOT NULL").select("path", "error")
 
 
 def scan_files(spark: SparkSession, root: str, app_dirs: tuple[str, ...] = (), spark_listing: bool = False) -> DataFrame:
     """Media files of a library folder by the server's rules.
 
-    ``spark_listing`` lets Spark's file source list the tree: one job less per level, but names
-    that start with ``_`` are missed and linked directories are followed.
+    ``spark_listing`` lets Spark's file source list the tree: names that start with ``_`` are then
+    missed and linked directories are followed.
     """
     root = root.rstrip("/")
     files = list_files(spark, root) if spark_listing else list_tree(spark, root, (*IGNORED_DIRS, *app_dirs))
@@ -140,29 +102,33 @@ def scan_files_unfiltered(spark: SparkSession, root: str, spark_listing: bool =
     return media_listing(files, "browser", False)
 
 
-def _hash_large(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import hashlib
 
-    from pyarrow import fs
-
     for batch in batches:
-        digests = []
+        found = []
         for path in batch["path"]:
-            system, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
             digest = hashlib.sha256()
-            with system.open_input_stream(inner) as stream:
-                while chunk := stream.read(1 << 24):
-                    digest.update(chunk)
-            digests.append(digest.hexdigest())
-        yield pd.DataFrame({"path": batch["path"], "sha256": digests})
-
-
-def content_hash(spark: SparkSession, root: str, glob: str = "*", whole_limit: int = WHOLE_FILE_LIMIT) -> DataFrame:
-    """SHA-256 of every file below ``root``; files too large for one value are read in chunks."""
-    source = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    )
-    whole = source.filter(F.col("length") <= whole_limit).select("path", F.sha2("content", 256).alias("sha256"))
-    large = source.filter(F.col("length") > whole_limit).select("path").repartition(F.xxhash64("path"))
-    both = whole.unionByName(large.mapInPandas(_hash_large, "path string, sha256 string"))
-    return both.withColumn("path", F.regexp_replace("path", "^file:(//)?(?=/)", ""))
+            try:
+                system, inner = file_system(path)
+                with system.open_input_stream(inner) as stream:
+                    while chunk := stream.read(CHUNK_BYTES):
+                        digest.update(chunk)
+                found.append(digest.hexdigest())
+            except OSError:  # gone or not readable
+                found.append(None)
+        yield batch.assign(sha256=found)
+
+
+def with_digests(files: DataFrame) -> DataFrame:
+    """``files`` with the SHA-256 of the content at ``path``, null where it cannot be read. Files of any size are read in chunks."""
+    schema = T.StructType([*files.schema.fields, T.StructField("sha256", T.StringType())])
+    return files.mapInPandas(_digests, schema)
+
+
+def content_hash(spark: SparkSession, root: str, glob: str = "*", ignored: tuple[str, ...] = ()) -> DataFrame:
+    """``path`` and SHA-256 of every file below ``root`` whose name matches ``glob``."""
+    pattern = fnmatch.translate(glob).removesuffix(r"\Z").removesuffix(r"\z")
+    paths = list_tree(spark, root, ignored).select("path").filter(basename(F.col("path")).rlike(f"^{pattern}$"))
+    # files are dealt to all tasks, whatever folders they lie in
+    return with_digests(paths.repartition(F.xxhash64("path")))

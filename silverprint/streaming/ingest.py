@@ -7,20 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from silverprint.operators.classify import with_path_class
-from silverprint.sources.listing import media_listing
-
-
-def file_stream(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
-    """New files below ``root`` as a stream of path, size, time and digest."""
-    source = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    columns = [
-        F.regexp_replace("path", "^file:(//)?(?=/)", "").alias("path"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("last_modified"),
-    ]
-    if with_content:
-        columns.append(F.sha2("content", 256).alias("sha256"))
-    return source.select(*columns)
+from silverprint.sources.listing import IGNORED_DIRS, media_listing, with_digests
+from silverprint.sources.tree import stream_tree
+
+
+def file_stream(spark: SparkSession, root: str, with_content: bool = True, settle_seconds: float = 1) -> DataFrame:
+    """New and changed media files below ``root`` as a stream of path, size, time and digest.
+
+    Only media files are opened, and they are read in chunks, whatever their size.
+    """
+    files = stream_tree(spark, root.rstrip("/"), IGNORED_DIRS, settle_seconds).filter("error IS NULL").drop("error")
+    media = media_listing(files, root=root.rstrip("/")).select("path", "size_bytes", "last_modified")
+    return with_digests(media) if with_content else media
 
 
 def stream_ingest(files: DataFrame, log: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -14,7 +14,9 @@ from silverprint.functions.hashing import hamming, hash_from_hex
 from silverprint.functions.imaging import area_resize, dhash_hex, quality
 from silverprint.operators import merge, todo
 from silverprint.operators.dedup import exact_dup_groups, near_dedup
-from silverprint.sources import exif, images, listing, tables
+from silverprint.sources import exif, images, listing, tables, tree
+from silverprint.sources.versions import Conflict, VersionedTables
+from silverprint.streaming import ingest
 from tests.pictures import library, png, scene
 
 
@@ -32,8 +34,8 @@ def test_scan_finds_the_library_and_its_duplicates(spark, photos):
     assert {os.path.relpath(r["path"], root): r["sha256"] for r in digests} == {
         n: hashlib.sha256(d).hexdigest() for n, d in files.items()
     }
-    chunked = listing.content_hash(spark, str(root), whole_limit=100).collect()
-    assert sorted(map(tuple, chunked)) == sorted(map(tuple, digests))
+    shots = listing.content_hash(spark, str(root), "Screenshot_*.png").collect()
+    assert {os.path.basename(r["path"]) for r in shots} == {os.path.basename(n) for n in files if n.startswith("Screenshots")}
 
     features = images.with_features(images.image_pixels(spark, str(root)))
     catalog = (
@@ -79,6 +81,96 @@ def test_listing_rules(spark, tmp_path):
     assert everything == {n for n in names if n not in ("b.txt", "c.nef")}
 
 
+def test_trees_are_dealt_to_tasks_and_report_what_they_cannot_read(spark, tmp_path, monkeypatch):
+    want = set()
+    for a in range(12):
+        for b in range(a):
+            folder = tmp_path / f"{a:02}" / f"{b} x" / "_deep"
+            folder.mkdir(parents=True)
+            for c in range(3):
+                (folder / f"{c}.jpg").write_bytes(b"abc"[:c])
+                want.add((str(folder / f"{c}.jpg"), c))
+    for tasks in (1, 3, 64):
+        parts = tree._Walk({"path": str(tmp_path), "tasks": str(tasks)}).plan()
+        assert len(parts) <= tasks and (tasks < 64 or len(parts) > 8)
+        walked = [r for part in parts for batch in tree._Walk({"path": str(tmp_path)}).rows(part) for r in batch.to_pylist()]
+        assert len(walked) == len(want) and {(r["path"], r["size_bytes"]) for r in walked} == want
+    found = tree.read_tree(spark, str(tmp_path)).collect()
+    assert {(r.path, r.size_bytes) for r in found} == want and all(r.error is None for r in found)
+    assert tree.read_tree(spark, str(tmp_path), ("_deep",)).isEmpty()
+    gone = tree.read_tree(spark, str(tmp_path / "missing")).collect()
+    assert [(r.path, r.size_bytes) for r in gone] == [(str(tmp_path / "missing"), None)] and gone[0].error
+
+    scan = os.scandir
+
+    def guarded(path):
+        if str(path).endswith("03"):
+            raise PermissionError(13, "Permission denied")
+        return scan(path)
+
+    monkeypatch.setattr(tree.os, "scandir", guarded)
+    walk = tree._Walk({"path": str(tmp_path), "tasks": "4"})
+    rows = [r for part in walk.plan() for batch in walk.rows(part) for r in batch.to_pylist()]
+    assert [r["path"] for r in rows if r["error"]] == [str(tmp_path / "03")]
+    assert {r["path"] for r in rows if not r["error"]} == {p for p, _ in want if "/03/" not in p}
+
+
+def test_new_and_changed_files_arrive_once_with_their_digests(spark, tmp_path):
+    root, log, checkpoint = tmp_path / "lib", str(tmp_path / "log"), str(tmp_path / "ck")
+    root.mkdir()
+
+    def run():
+        files = ingest.file_stream(spark, str(root), settle_seconds=0)
+        ingest.stream_ingest(files, log, checkpoint, availableNow=True).awaitTermination()
+        return {os.path.basename(r["path"]): r["sha256"] for r in ingest.catalog_view(spark.read.parquet(log)).collect()}
+
+    digest = lambda data: hashlib.sha256(data).hexdigest()
+    (root / "_a.jpg").write_bytes(b"one")
+    (root / "notes.txt").write_bytes(b"not media")
+    assert run() == {"_a.jpg": digest(b"one")}
+    (root / "sub").mkdir()
+    (root / "sub" / "b c.mp4").write_bytes(b"two")
+    os.utime(root / "sub" / "b c.mp4", (1, 1))  # copied with its old time
+    assert run() == {"_a.jpg": digest(b"one"), "b c.mp4": digest(b"two")}
+    assert sum(r["n"] for r in spark.read.parquet(log).groupBy("path").agg(F.count(F.lit(1)).alias("n")).collect()) == 2
+    (root / "_a.jpg").write_bytes(b"three")
+    assert run() == {"_a.jpg": digest(b"three"), "b c.mp4": digest(b"two")}
+
+
+def test_merges_write_only_the_parts_they_touch(spark, tmp_path):
+    catalog = VersionedTables(spark, str(tmp_path / "catalog"))
+    rows = spark.range(5_000).select(F.col("id").cast("string").alias("media_id"), F.lit("old").alias("sha256"), F.lit("0").alias("dhash_hex"), F.lit(1).alias("computed_at"))
+    assert catalog.create("hash", rows, "pmod(xxhash64(media_id), 40)") == 1
+    first = catalog.manifest()
+    batch = spark.createDataFrame([("17", "new", "1", 2), ("x", "new", "1", 2)], rows.schema)
+    assert catalog.merge("hash", batch, merge.hash_upsert) == 2
+    before, after = first["tables"]["hash"]["folders"], catalog.manifest()["tables"]["hash"]["folders"]
+    assert 1 <= sum(before.get(p) != f for p, f in after.items()) <= 2
+    assert catalog.read("hash").count() == 5_001 and {r.media_id for r in catalog.read("hash").filter("sha256 = 'new'").collect()} == {"17", "x"}
+    assert catalog.read("hash", first).count() == 5_000  # who began with the first version still sees it whole
+    assert catalog.merge("hash", batch.limit(0), merge.hash_upsert) == 2
+    with pytest.raises(ValueError, match="does not touch"):
+        catalog.merge("hash", batch, lambda old, new: rows)
+    assert catalog.versions() == [1, 2]
+    with pytest.raises(Conflict):
+        catalog._commit(first, {})
+    assert catalog.expire() >= 1 and catalog.read("hash").count() == 5_001
+
+
+def test_groups_and_members_switch_together(spark, tmp_path):
+    catalog = VersionedTables(spark, str(tmp_path / "catalog"))
+    table = lambda names, kind: spark.createDataFrame([(n, kind) for n in names], "group_id string, kind string")
+    catalog.create("dup_group", table(["e1"], "EXACT").unionByName(table(["n1"], "NEAR")), "kind")
+    catalog.create("dup_member", table(["e1", "e1"], "EXACT").unionByName(table(["n1", None], "NEAR")), "kind")
+    held = catalog.manifest()
+    catalog.replace({"dup_group": table(["e2"], "EXACT"), "dup_member": table(["e2", "e2", "e2"], "EXACT")}, ["EXACT"])
+    names = lambda t, m=None: sorted(str(r.group_id) for r in catalog.read(t, m).collect())
+    assert (names("dup_group"), names("dup_member")) == (["e2", "n1"], ["None", "e2", "e2", "e2", "n1"])
+    assert (names("dup_group", held), names("dup_member", held)) == (["e1", "n1"], ["None", "e1", "e1", "n1"])
+    (tmp_path / "catalog" / "manifests" / "v00000004.json").write_text('{"version": 4, "ta')  # a writer that stopped half way
+    assert names("dup_group") == ["e2", "n1"]
+
+
 def test_listing_reads_no_content(spark, photos):
     plan = listing.list_files(spark, str(photos[0]))._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[-1]
