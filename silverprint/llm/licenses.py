@@ -1,11 +1,11 @@
 """License scan as an exact set-similarity join between text blocks and license templates, in column expressions only.
 
-A template of ``k`` words is compared with every block of ``2 k`` words of a text that begins at a multiple of ``k``, so any
-``k + 1`` words in a row lie in one block. A block is found when it contains at least the template's threshold of its
-distinct tokens. Tokens are put in one global order, rarest in the whole corpus first (:func:`token_order` counts them):
+A template of ``k`` words is compared with every block of ``2 k`` words of a text, whatever word it begins with. A block is found
+when it contains at least the template's threshold of its distinct tokens. A block that begins with a word that the template does not
+have holds no more than the one after it, so only those that begin with a template word are listed. Tokens are put in one global order, rarest in the whole corpus first (:func:`token_order` counts them):
 
 * prefix filter: of a template's tokens in that order only the first ``size - needed + 1`` are looked up, since a block
-  that has none of them holds too few. Only blocks around such a token are made at all.
+  that has none of them holds too few. Only blocks that hold such a token are made at all.
 * length filter: a block with fewer tokens than needed is no candidate.
 * positional filter: a block's tokens behind the one that was looked up, in the same order, bound what can still agree.
 
@@ -94,8 +94,7 @@ def find_blocks(docs: DataFrame, templates: tuple[Template, ...], text: str = "t
     """``docs`` with ``words`` and ``blocks``: the blocks that meet a template's threshold.
 
     A block is (template, first, holds, starts): number of the template, first word, share of the template's tokens in the
-    block and, for phrases, where they begin within the words that this block does not share with the one before. Null and
-    empty texts have no words and no blocks; repeated rows each get theirs; old ``words`` and ``blocks`` are replaced.
+    block and, for phrases, its first word again if the phrase stands there. Null and empty texts have no words and no blocks; repeated rows each get theirs; old ``words`` and ``blocks`` are replaced.
     """
     order = order if order is not None else token_order(docs, templates, text)
     rank = {t: i for i, t in enumerate(order)}
@@ -110,6 +109,7 @@ def find_blocks(docs: DataFrame, templates: tuple[Template, ...], text: str = "t
     vocabulary = F.array(*[F.lit(t) for t in order])
     length, size = _ints(len(t.words) for t in templates), _ints(len(t.tokens) for t in templates)
     needed, ranks_of = _ints(t.needed for t in templates), F.array(*[_ints(r) for r in sorted_ranks])
+    tokens_of = F.array(*[F.array(*[F.lit(w) for w in sorted(t.tokens)]) for t in templates])
     phrases = F.array(*[F.array(*[F.lit(w) for w in (t.words if t.phrase else ())]).cast("array<string>") for t in templates])
 
     kept = [c for c in docs.columns if c not in ("words", "blocks")]
@@ -118,26 +118,25 @@ def find_blocks(docs: DataFrame, templates: tuple[Template, ...], text: str = "t
     step = step.select(*kept, "words", hits.alias("_hits"))
 
     def around(at: Column) -> Column:
-        """The blocks that hold word ``at`` of each template that looks the word up."""
+        """The blocks that hold word ``at``, for each template that looks the word up, by their first words."""
         found = F.get(index, F.array_position(key_array, F.get("words", at)).cast("int") - 1)
+
+        def starts(e: Column) -> Column:
+            reach = F.sequence(F.greatest(at - 2 * F.get(length, e["t"]) + 1, F.lit(0)), at)
+            return F.filter(reach, lambda s: F.array_contains(F.get(tokens_of, e["t"]), F.get("words", s)))
+
         return F.flatten(
-            F.transform(
-                found,
-                lambda e: F.transform(
-                    F.array(F.lit(0), F.lit(1)),
-                    lambda back: F.struct(e["t"].alias("t"), e["place"].alias("place"), (F.floor(at / F.get(length, e["t"])).cast("int") - back).alias("block")),
-                ),
-            )
+            F.transform(found, lambda e: F.transform(starts(e), lambda s: F.struct(e["t"].alias("t"), e["place"].alias("place"), s.alias("first"))))
         )
 
-    candidates = F.array_distinct(F.filter(F.flatten(F.transform("_hits", around)), lambda c: c["block"] >= 0))
+    candidates = F.array_distinct(F.flatten(F.transform("_hits", around)))
     step = step.select(*kept, "words", candidates.alias("_candidates"))
 
     def with_tokens(c: Column) -> Column:
         k = F.get(length, c["t"])
-        span = F.slice("words", c["block"] * k + 1, 2 * k)
+        span = F.slice("words", c["first"] + 1, 2 * k)
         ranks = F.array_sort(F.array_distinct(F.filter(F.transform(span, lambda w: F.array_position(vocabulary, w).cast("int") - 1), lambda r: r >= 0)))
-        return F.struct(c["t"].alias("t"), c["place"].alias("place"), c["block"].alias("block"), ranks.alias("ranks"))
+        return F.struct(c["t"].alias("t"), c["place"].alias("place"), c["first"].alias("first"), ranks.alias("ranks"))
 
     step = step.select(*kept, "words", F.transform("_candidates", with_tokens).alias("_blocks"))
 
@@ -150,13 +149,9 @@ def find_blocks(docs: DataFrame, templates: tuple[Template, ...], text: str = "t
     def verified(b: Column) -> Column:
         common = F.size(F.array_intersect(b["ranks"], F.get(ranks_of, b["t"])))
         k = F.get(length, b["t"])
-        begin = b["block"] * k
-        last = F.least(begin + k, F.size("words") - k + 1) - 1
-        starts = F.when(
-            (F.size(F.get(phrases, b["t"])) > 0) & (last >= begin),
-            F.filter(F.sequence(begin, F.greatest(begin, last)), lambda s: F.slice("words", s + 1, k) == F.get(phrases, b["t"])),
-        ).otherwise(F.array().cast("array<int>"))
-        return F.struct(b["t"].alias("template"), begin.alias("first"), common.alias("common"), (common / F.get(size, b["t"])).alias("holds"), starts.alias("starts"))
+        stands = (F.size(F.get(phrases, b["t"])) > 0) & (F.slice("words", b["first"] + 1, k) == F.get(phrases, b["t"]))
+        starts = F.when(stands, F.array(b["first"])).otherwise(F.array().cast("array<int>"))
+        return F.struct(b["t"].alias("template"), b["first"].alias("first"), common.alias("common"), (common / F.get(size, b["t"])).alias("holds"), starts.alias("starts"))
 
     checked = F.array_distinct(F.transform(F.filter("_blocks", possible), verified))
     blocks = F.filter(checked, lambda b: b["common"] >= F.get(needed, b["template"]))

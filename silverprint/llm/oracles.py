@@ -30,8 +30,8 @@ phrases(label, p) AS (VALUES ('gpl', ['gnu', 'general', 'public', 'license']), (
 places AS (SELECT doc_id, label, i - 1 AS place FROM d, phrases, unnest(range(1, len(ws) - len(p) + 2)) AS t(i) WHERE ws[i : i + len(p) - 1] = p),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi FROM places GROUP BY doc_id),
 notices(label, p, needed, size) AS (VALUES {_TEMPLATES}),
-blocks AS (SELECT doc_id, label, needed, size, len(list_intersect(ws[b * len(p) + 1 : (b + 2) * len(p)], p)) AS common
-  FROM d, notices, unnest(range(0, (len(ws) + len(p) - 1) // len(p))) AS t(b)),
+blocks AS (SELECT doc_id, label, needed, size, len(list_intersect(ws[b + 1 : b + 2 * len(p)], p)) AS common
+  FROM d, notices, unnest(range(0, len(ws))) AS t(b)),
 own AS (SELECT doc_id, label, max(common / size) AS holds FROM blocks WHERE common >= needed GROUP BY doc_id, label),
 every AS (SELECT doc_id, label, 1e0 AS holds, true AS is_base FROM places UNION SELECT doc_id, label, holds, false FROM own),
 named AS (SELECT doc_id, max(holds) AS score, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,

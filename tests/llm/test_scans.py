@@ -20,7 +20,7 @@ def brute_license(text):
             starts += at
             base.add(t.label)
             best = 1.0
-        for b in range(0, max(len(words), 1), k):
+        for b in range(len(words)):
             common = len(t.tokens & set(words[b : b + 2 * k]))
             if not t.phrase and common >= t.needed:
                 own.add(t.label)
@@ -39,6 +39,13 @@ def test_license_scan_matches_brute_force(spark):
     assert got == {r[0]: brute_license(r[1]) for r in rows}
 
 
+def test_a_notice_is_found_at_every_place_of_a_text(spark):
+    text = "licensed under the terms of the cc by nc 4 0"
+    rows = rows_of([" ".join(f"w{i}" for i in range(start)) + f" {text} and more of it" for start in range(30)])
+    got = licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id for r in got if "cc-by-nc-4.0" in r.labels and r.score == 1.0} == set(range(30))
+
+
 def test_license_scan_of_an_empty_table_and_repeated_rows(spark):
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).isEmpty()
     assert licenses.scan(spark.createDataFrame(awkward(), SCHEMA)).count() == len(awkward())
