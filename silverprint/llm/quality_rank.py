@@ -12,6 +12,7 @@ scored, from its whole text and from nothing else.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,15 +89,23 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(self.slope * (margins - self.cut) + np.log(CUT_SCORE / (1 - CUT_SCORE)), -60, 60)))
 
 
-def _newton(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 12) -> np.ndarray:
-    """Weights of a logistic loss over rows ``x`` with outcomes ``y``."""
-    w = np.zeros(x.shape[1])
+#: Rows that the fit holds as double at once.
+_BLOCK = 2_000
+
+
+def _newton(rows: Callable[[int, int], np.ndarray], y: np.ndarray, penalty: float, steps: int = 12) -> np.ndarray:
+    """Weights of a logistic loss with outcomes ``y``; ``rows(a, b)`` gives feature rows a to b, so only a block is made at a time."""
+    w = None
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) / len(x) + penalty * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x / len(x) + penalty * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w -= step
+        gradient = hessian = 0.0
+        for at in range(0, len(y), _BLOCK):
+            x = np.asarray(rows(at, at + _BLOCK), np.float64)
+            w = np.zeros(x.shape[1]) if w is None else w
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            gradient = gradient + x.T @ (p - y[at : at + _BLOCK])
+            hessian = hessian + (x * (p * (1 - p))[:, None]).T @ x
+        step = np.linalg.solve(hessian / len(y) + penalty * np.eye(len(w)), gradient / len(y) + penalty * w)
+        w = w - step
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -104,20 +113,20 @@ def _newton(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 12) -> np
 
 def rank(x: np.ndarray, better: np.ndarray, pairs: int = PAIRS, penalty: float = PENALTY) -> Ranking:
     """Fit on feature rows ``x`` and their labels; without both labels every document scores ``CUT_SCORE``."""
-    mean, scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(256 + _SHAPE), np.ones(256 + _SHAPE))
+    mean, scale = (x.mean(0, np.float64), x.std(0, np.float64) + 1e-3) if len(x) else (np.zeros(256 + _SHAPE), np.ones(256 + _SHAPE))
     good, bad = np.flatnonzero(better), np.flatnonzero(~better)
     if not len(good) or not len(bad):
         return Ranking(mean, scale, np.zeros(len(mean)), 0.0, 1.0)
-    z = (x - mean) / scale
     rng = np.random.default_rng(7)
     n = min(pairs, len(good) * len(bad))
     # every document of either label stands in a pair before any stands in a second one more often
     up = np.concatenate([rng.permutation(good) for _ in range(-(-n // len(good)))])[:n]
     down = np.concatenate([rng.permutation(bad) for _ in range(-(-n // len(bad)))])[:n]
-    weights = _newton((z[up] - z[down]).astype(np.float32), np.ones(n, np.float32), penalty)
-    margins = z @ weights
+    weights = _newton(lambda a, b: (x[up[a:b]].astype(np.float64) - x[down[a:b]]) / scale, np.ones(n), penalty)
+    margins = np.concatenate([(x[at : at + _BLOCK] - mean) / scale @ weights for at in range(0, len(x), _BLOCK)])
     cut = float(np.quantile(margins, len(bad) / len(x), method="midpoint"))
-    slope = float(_newton(np.stack([margins - cut, np.ones(len(x))], 1), better.astype(float), 1e-3)[0])
+    lifted = np.stack([margins - cut, np.ones(len(x))], 1)
+    slope = float(_newton(lambda a, b: lifted[a:b], better.astype(float), 1e-3)[0])
     return Ranking(mean, scale, weights, cut, max(slope, 1e-3))
 
 
@@ -135,9 +144,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
         rows = [features(t).tobytes() for t in as_bytes(batch.column("text"))]
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(rows, pa.binary())], ["id", "label", "x"])
 
-    rows = sorted(map_rows(texts, describe, "id long, label int, x binary").dropDuplicates(["id", "label"]).collect())
-    x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(-1, 256 + _SHAPE)
-    return rank(x, np.array([r.label == 1 for r in rows], bool))
+    # at most ``sample`` rows of about a kilobyte
+    rows = map_rows(texts, describe, "id long, label int, x binary").dropDuplicates(["id", "label"]).toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
+    x = np.empty((len(rows), 256 + _SHAPE), np.float32)
+    for i, raw in enumerate(rows.column("x")):
+        x[i] = np.frombuffer(raw.as_buffer(), np.float32)
+    return rank(x, rows.column("label").to_numpy() == 1)
 
 
 def score(docs: DataFrame, ranking: Ranking, text: str = "text", column: str = "score") -> DataFrame:

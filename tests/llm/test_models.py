@@ -255,3 +255,21 @@ def test_surrogates_are_found_where_a_format_is_used_up(spark):
     got = [r.text for r in surrogates.replace_personal_data(docs, KEY).collect()]
     assert len(set(got)) == 101 and not set(got) & set(texts)
     assert sum(t.startswith("see +12") and t.endswith(" there") for t in got) == 100
+
+
+def test_ranking_weights_are_those_of_a_plain_bradley_terry_fit():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 272)).astype(np.float32)
+    better = x[:, :3].sum(1) + rng.normal(size=300) > 0.5
+    got = quality_rank.rank(x, better, pairs=2_500)
+    good, bad = np.flatnonzero(better), np.flatnonzero(~better)
+    draw = np.random.default_rng(7)
+    up = np.concatenate([draw.permutation(good) for _ in range(-(-2_500 // len(good)))])[:2_500]
+    down = np.concatenate([draw.permutation(bad) for _ in range(-(-2_500 // len(bad)))])[:2_500]
+    z = (x - x.mean(0)) / (x.std(0) + 1e-3)
+    d = (z[up] - z[down]).astype(np.float64)
+    w = np.zeros(272)
+    for _ in range(40):  # gradient of the mean loss and its penalty, Newton steps on all pairs at once
+        p = 1 / (1 + np.exp(-d @ w))
+        w -= np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + quality_rank.PENALTY * np.eye(272), d.T @ (p - 1) / len(d) + quality_rank.PENALTY * w)
+    assert np.allclose(got.weights, w, atol=1e-4)
