@@ -12,9 +12,8 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 
-from silverprint.llm.texts import SpanHasher
+from silverprint.llm.texts import distinct_spans
 from silverprint.llm.word_bpe import tokenizer
 
 #: Distinct pieces whose ids a process keeps; beyond them it starts anew.
@@ -79,7 +78,6 @@ class Encoder:
         self.special = {t.content: i for i, t in self.model.get_added_tokens_decoder().items()}
         self.cut = re.compile(f"({'|'.join(map(re.escape, self.special))})")
         self.cache: dict[bytes, bytes] = {}
-        self.hasher = SpanHasher()
         # the library's byte alphabet: printable bytes stand for themselves, the others follow from 256 on
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         rest = (b for b in range(256) if b not in set(plain))
@@ -96,14 +94,13 @@ class Encoder:
         edges = np.cumsum(lengths)
         codes = np.insert(np.frombuffer(joined.encode("utf-32-le"), np.uint32), edges, 0x110000)
         first, end = _piece_spans(codes)
-        widths = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+        widths = (codes < 0x110000).view(np.uint8) + (codes >= 0x80).view(np.uint8) + (codes >= 0x800).view(np.uint8) + (codes >= 0x10000).view(np.uint8)
         widths[codes == 0x110000] = 0
-        at = np.concatenate([[0], np.cumsum(widths)])
+        at = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(widths, out=at[1:])
         buffer = joined.encode()
         starts, ends = at[first], at[end]
-        numbers, distinct = pd.factorize(self.hasher.hashes(buffer, starts, ends))
-        where = np.empty(len(distinct), np.int64)
-        where[numbers[::-1]] = np.arange(len(numbers))[::-1]
+        numbers, where = distinct_spans(buffer, starts, ends)
         if len(self.cache) > CACHE:
             self.cache.clear()
         known, found = self.cache, []

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silverprint.llm.texts import SpanHasher, as_bytes, map_rows, plain_words
+from silverprint.llm.texts import SpanHasher, as_bytes, chained, map_rows, plain_words
 from silverprint.operators.components import connected_components
 from silverprint.operators.keyed import attach_facts
 from silverprint.workspace import materialise, release
@@ -45,7 +45,10 @@ BLOCK = 64
 
 
 def shingle_sets(texts: list[bytes | None], hasher: SpanHasher, size: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; fewer words than ``size`` make one shingle of all of them."""
+    """Sorted distinct shingle hashes of each text; fewer words than ``size`` make one shingle of all of them.
+
+    A hash mixes the hashes of its words, which mix all their bytes: two given shingles agree by chance once in 2^64.
+    """
     rows = [plain_words(t) for t in texts]
     buffer = b" ".join(w for words in rows for w in words)
     lengths = np.fromiter((len(w) for words in rows for w in words), np.int64)
@@ -56,8 +59,8 @@ def shingle_sets(texts: list[bytes | None], hasher: SpanHasher, size: int = SHIN
     offsets = np.concatenate([[0], np.cumsum(made)])
     word_at = np.concatenate([[0], np.cumsum(counts)])
     first = np.repeat(word_at[:-1] - offsets[:-1], made) + np.arange(offsets[-1])
-    last = first + np.repeat(np.minimum(counts, size), made) - 1
-    hashes = hasher.hashes(buffer, starts[first], ends[last]).view(np.int64) if len(first) else np.empty(0, np.int64)
+    words = hasher.hashes(buffer, starts, ends)
+    hashes = chained(words, first, np.repeat(np.minimum(counts, size), made)).view(np.int64)
     return [np.unique(hashes[a:b]) for a, b in zip(offsets, offsets[1:])]
 
 

@@ -7,9 +7,11 @@ bytes, where every byte of a code point from 0x80 on is itself 0x80 or more.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -73,31 +75,64 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _eight_bytes(buffer: bytes) -> np.ndarray:
+    """The eight bytes from every place of a buffer on as one number, zeros behind its end."""
+    padded = buffer + bytes(8)
+    return np.ndarray((len(buffer) + 1,), "<u8", padded, 0, (1,))
+
+
+def _first_bytes(numbers: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Only the first ``count`` bytes of each number, the others zero."""
+    left = np.clip(count, 0, 8).astype(np.uint64)
+    mask = np.where(left < 8, (np.uint64(1) << (left % np.uint64(8) * np.uint64(8))) - np.uint64(1), ~np.uint64(0))
+    return numbers & mask
+
+
 class SpanHasher:
-    """64-bit hashes of many byte spans of one buffer at once, from prefix sums of a polynomial.
-
-    The hash of a span depends only on its bytes: each byte counts as a random 64-bit number, and the power
-    of the span's start is divided out (the base is odd, so it has an inverse).
-    """
-
-    def __init__(self, seed: int = 1):
-        rng = np.random.default_rng(seed)
-        self.of_byte = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(1 << 40, 1 << 62)) * 4 + 3
-        self.back = pow(self.base, -1, 1 << 64)
-        self.powers = self.backs = np.ones(1, np.uint64)
-
-    def _reach(self, n: int) -> None:
-        while len(self.powers) < n:
-            size = np.uint64(len(self.powers))
-            up = np.uint64(pow(self.base, int(size), 1 << 64))
-            down = np.uint64(pow(self.back, int(size), 1 << 64))
-            self.powers = np.concatenate([self.powers, self.powers * up])
-            self.backs = np.concatenate([self.backs, self.backs * down])
+    """64-bit hashes of many byte spans of one buffer at once: eight bytes are mixed in at a step, so that the hash of a span
+    depends on nothing but its bytes and on each of them in its place. Spans of more than ``LONG`` bytes are digested singly."""
+
+    LONG = 64
 
     def hashes(self, buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._reach(len(buffer) + 1)
-        sums = np.zeros(len(buffer) + 1, np.uint64)
-        values = self.of_byte[np.frombuffer(buffer, np.uint8)]
-        np.cumsum(values * self.powers[: len(buffer)], out=sums[1:])
-        return mix64((sums[ends] - sums[starts]) * self.backs[starts])
+        numbers, lengths = _eight_bytes(buffer), ends - starts
+        out = mix64(lengths.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        live, done = np.flatnonzero(lengths <= self.LONG), 0
+        while len(live := live[lengths[live] > done]):
+            part = _first_bytes(numbers[starts[live] + done], lengths[live] - done)
+            out[live] = mix64(out[live] ^ part)
+            done += 8
+        for i in np.flatnonzero(lengths > self.LONG).tolist():
+            digest = hashlib.blake2b(buffer[starts[i] : ends[i]], digest_size=8).digest()
+            out[i] = int.from_bytes(digest, "little")
+        return out
+
+
+def chained(hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """One hash for each run of ``count`` hashes from ``first`` on; order and number of them matter."""
+    out = mix64(count.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    for step in range(int(count.max(initial=0))):
+        live = np.flatnonzero(count > step)
+        out[live] = mix64(out[live] ^ hashes[first[live] + step])
+    return out
+
+
+def distinct_spans(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each span among the distinct ones, and the index of the first span of each number. Exact: up to 16 bytes are
+    compared as two numbers, longer spans by their bytes."""
+    numbers, lengths = _eight_bytes(buffer), ends - starts
+    head = _first_bytes(numbers[starts], lengths)
+    tail = _first_bytes(numbers[np.minimum(starts + 8, len(buffer))], lengths - 8)
+    kind, table = lengths.copy(), {}
+    for i in np.flatnonzero(lengths > 16).tolist():
+        head[i], tail[i], kind[i] = table.setdefault(buffer[starts[i] : ends[i]], len(table)), 0, 17
+    keys = mix64(mix64(head) + tail * np.uint64(0x9E3779B97F4A7C15) + kind.astype(np.uint64))
+    order, found = pd.factorize(keys)
+    where = np.empty(len(found), np.int64)
+    where[order[::-1]] = np.arange(len(order))[::-1]
+    at = where[order]
+    if not ((head == head[at]) & (tail == tail[at]) & (kind == kind[at])).all():  # two keys agree by chance
+        seen: dict = {}
+        order = np.array([seen.setdefault(buffer[s:e], len(seen)) for s, e in zip(starts.tolist(), ends.tolist())], np.int64)
+        where = np.unique(order, return_index=True)[1]
+    return order, where

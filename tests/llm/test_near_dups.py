@@ -67,3 +67,10 @@ def test_awkward_rows_and_clashing_columns(spark):
 @pytest.mark.parametrize("rows", [[], [(1, "alone in the table", "en", "s", 1)]])
 def test_empty_and_single(spark, rows):
     assert result(near_dups.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_long_words_of_two_letters_share_nothing(spark):
+    """Two words on which sums of powers modulo 2^64 agree, whatever the base."""
+    word = lambda flip: "".join("ab"[(i.bit_count() + flip) % 2] for i in range(512))
+    rows = rows_of([word(0), word(1), word(0) + " x", word(0)])
+    assert result(near_dups.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows)

@@ -9,6 +9,7 @@ import pytest
 from pyspark import cloudpickle
 
 from silverprint.llm import simple8b, word_bpe
+from silverprint.llm import texts as texts_module
 from silverprint.llm.byte_bpe import Encoder
 from silverprint.llm.queries import vocabulary
 from silverprint.workspace import new_table_path
@@ -133,3 +134,28 @@ def test_empty_token_file(spark):
     path = new_table_path(spark, "tokens")
     simple8b.write_tokens(spark.createDataFrame([], SCHEMA), vocabulary("byte_bpe_50k.json"), path)
     assert simple8b.read_tokens(spark, path).isEmpty()
+
+
+def thue_morse(n, flip=0):
+    """a and b by the parity of the bits of the place: blocks on which sums of powers modulo 2^64 agree."""
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+def test_runs_that_collide_under_polynomial_hashes_get_their_own_ids(byte_model):
+    texts = [thue_morse(n, flip) for n in (512, 1_024, 2_048) for flip in (0, 1)]
+    ids, counts = Encoder(vocabulary("byte_bpe_50k.json")).encode(texts)
+    for text, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+        assert got.tolist() == byte_model.encode(text, add_special_tokens=False).ids
+
+
+def test_distinct_spans_are_exact(monkeypatch):
+    rng = random.Random(4)
+    spans = [bytes(rng.choice(b"\x00ab") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 40]))) for _ in range(3_000)]
+    buffer = b"".join(spans)
+    ends = np.cumsum([len(s) for s in spans])
+    starts = ends - [len(s) for s in spans]
+    for weak in (False, True):
+        if weak:  # all keys agree
+            monkeypatch.setattr(texts_module, "mix64", lambda x: x.astype(np.uint64) * np.uint64(0))
+        numbers, where = texts_module.distinct_spans(buffer, starts, ends)
+        assert [spans[where[n]] for n in numbers] == spans and len(where) == len(set(spans))
