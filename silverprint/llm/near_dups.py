@@ -219,7 +219,8 @@ def _links(source: DataFrame, nodes: DataFrame, percent: int, k: int, retained_s
     rest = _short_list_pairs(open_lists.filter(F.col("n") <= SHORT), likeness, first, target, slack).unionByName(
         _long_list_pairs(open_lists.filter(F.col("n") > SHORT), sets, percent, stored)
     )
-    second = _confirmed(estimated(rest.distinct()).filter(possible).select("a", "b"), sets, percent)
+    tried = stored(rest.distinct(), "tried")
+    second = _confirmed(estimated(tried).filter(possible).select("a", "b"), sets, percent)
     return first.select("a", "b").unionByName(second.select("a", "b"))
 
 
@@ -278,12 +279,19 @@ def _long_list_pairs(members: DataFrame, sets: DataFrame, percent: int, stored:
         return 100 * shared >= percent * (a + b - shared)
 
     least = described.groupBy("centre").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("size"))
-    alive = attach_facts(described, least, ["centre"], F.col("size"), "node").filter(
-        enough(F.col("inside") + F.col("outside"), F.col("n"), F.least(F.col("least"), F.col("inside") + F.col("outside")))
-        | enough(F.col("inside") + F.col("outside"), F.col("n"), F.col("least"))
+    # tables of their own: what follows reads each several times
+    alive = stored(
+        attach_facts(described, least, ["centre"], F.col("size"), "node").filter(
+            enough(F.col("inside") + F.col("outside"), F.col("n"), F.least(F.col("least"), F.col("inside") + F.col("outside")))
+            | enough(F.col("inside") + F.col("outside"), F.col("n"), F.col("least"))
+        ),
+        "alive",
     )
     loose = alive.filter(~enough(F.col("inside"), F.col("n"), F.col("core")))
-    blocks = loose.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("loose"))
+    blocks = stored(
+        loose.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("loose")),
+        "blocks",
+    )
     spread = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     left = attach_facts(loose, blocks, ["centre"], F.col("loose"), "node").withColumn("block", spread)
     right = attach_facts(alive, blocks, ["centre"], F.col("loose"), "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
