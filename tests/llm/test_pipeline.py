@@ -51,7 +51,7 @@ def test_whole_run_equals_its_stages(spark):
 
 def test_every_operator_is_registered_and_runs(spark):
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
     for name in ("op4_sharding", "op5_domain_scores", "op7_surrogates", "op9_quality_rank"):
         assert QUERIES[name](spark, SF_DIR).count() == rows
