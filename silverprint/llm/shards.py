@@ -3,11 +3,12 @@
 With ``n`` rows and ``s`` shards each shard takes ``n // s`` rows, the first ``n % s`` one more. How many rows of each
 source partition go to each shard is drawn from the distribution that a uniform permutation of all rows would give: row by
 row of the communication matrix, a multivariate hypergeometric draw from the room that the shards have left. Each source
-permutes its rows and cuts them by its counts; the exchange deals rows by (shard, second random number), and their order
-there is the permutation within the shard.
+permutes its rows where they lie, by a sort on a first random number, and cuts them by its counts; one exchange deals rows by
+shard and leading part of a second random number, and its order there is the permutation within the shard.
 
-Random numbers are drawn once and written with the rows, so a lost executor repeats no draw. The matrix has one row a
-source partition and is all that the driver sees.
+Random numbers are drawn once and written with the permuted rows, so a lost executor repeats no draw. Places follow from the
+numbers alone: rows with their texts move once. The driver sees one row of the matrix a source partition, and the number of
+rows in each part of a shard, of which there are about as many as source partitions.
 """
 
 from __future__ import annotations
@@ -18,8 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silverprint.operators.ranking import global_rank
-from silverprint.workspace import materialise, release
+from silverprint.workspace import materialise
+
+ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its lower 33 bits
+
+#: Numbers in a table of cuts or starts up to which it is broadcast (8 MiB); beyond that Spark chooses the join.
+BROADCAST_NUMBERS = 1 << 20
 
 
 def _log_choose(n: int, k: int) -> float:
@@ -66,6 +71,10 @@ def communication_matrix(sources: list[int], shards: list[int], seed: int) -> li
     return matrix
 
 
+def _small(table: DataFrame, numbers: int) -> DataFrame:
+    return F.broadcast(table) if numbers <= BROADCAST_NUMBERS else table
+
+
 def shuffle_into(rows: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """``rows`` with ``shard`` and ``slot``, a uniformly random place; slots of a shard have no gap and begin at 0.
 
@@ -73,15 +82,9 @@ def shuffle_into(rows: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     replaced. An empty table stays empty.
     """
     columns = [c for c in rows.columns if c not in ("shard", "slot")]
+    permuted = rows.select(*columns, F.rand(seed).alias("_before"), F.rand(seed + 1).alias("_after")).sortWithinPartitions("_before")
     drawn = materialise(
-        rows.select(
-            *columns,
-            F.spark_partition_id().alias("_source"),
-            F.monotonically_increasing_id().alias("_row"),
-            F.rand(seed).alias("_before"),
-            F.rand(seed + 1).alias("_after"),
-        ),
-        "drawn",
+        permuted.select(*columns, "_after", F.spark_partition_id().alias("_source"), F.monotonically_increasing_id().alias("_row")), "drawn"
     )
     counts = drawn.groupBy("_source").count().orderBy("_source").collect()  # one row a source partition
     total = sum(r["count"] for r in counts)
@@ -90,19 +93,24 @@ def shuffle_into(rows: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     cuts = rows.sparkSession.createDataFrame(
         [(r["_source"], np.cumsum(row).tolist()) for r, row in zip(counts, matrix)], "_source int, _cuts array<long>"
     )
-    at = F.row_number().over(Window.partitionBy("_source").orderBy("_before", "_row"))
+    at = F.col("_row").bitwiseAND(F.lit((1 << ROW_BITS) - 1))  # place in the source's permutation, from 0
+    parts = -(-len(counts) // shards)
     dealt = (
-        drawn.withColumn("_at", at)
-        .join(cuts, "_source")
-        .withColumn("shard", F.size(F.filter("_cuts", lambda c: c < F.col("_at"))))
-        .select(*columns, "shard", "_after", "_row")
+        drawn.join(_small(cuts, len(counts) * shards), "_source")
+        .withColumn("shard", F.size(F.filter("_cuts", lambda c: c <= at)))
+        .withColumn("_part", F.floor(F.col("_after") * parts).cast("int"))
+        .drop("_cuts")
     )
-    placed = global_rank(dealt, [F.col("shard"), F.col("_after"), F.col("_row")], "_place")
-    release(drawn)  # the ranks are a table of their own
-    before = F.array(*[F.lit(int(x)).cast("long") for x in np.cumsum([0, *sizes[:-1]])])
-    return placed.select(*columns, F.col("shard").cast("int").alias("shard"), (F.col("_place") - 1 - F.get(before, F.col("shard"))).alias("slot"))
+    starts, seen = [], {}
+    for r in dealt.groupBy("shard", "_part").count().orderBy("shard", "_part").collect():  # one row a part of a shard
+        starts.append((r["shard"], r["_part"], seen.get(r["shard"], 0)))
+        seen[r["shard"]] = seen.get(r["shard"], 0) + r["count"]
+    first = rows.sparkSession.createDataFrame(starts, "shard int, _part int, _first long")
+    within = F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_after", "_row"))
+    placed = dealt.withColumn("_at", within).join(_small(first, 3 * len(starts)), ["shard", "_part"])
+    return placed.select(*columns, "shard", (F.col("_first") + F.col("_at") - 1).alias("slot"))
 
 
 def write_shards(rows: DataFrame, path: str, shards: int, seed: int = 0) -> None:
     """Shuffled rows as one folder a shard, in several files where a shard is large, each sorted by slot."""
-    shuffle_into(rows, shards, seed).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    shuffle_into(rows, shards, seed).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
