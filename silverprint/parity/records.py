@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from silverprint.functions import models
 from silverprint.operators import dedup, merge
+from silverprint.parity import headers
 from silverprint.parity.registry import query, with_
 from silverprint.parity.shared import E, L, M, human_bytes_sql
 from silverprint.parity.tables import Tables
 from silverprint.plans import naming, operations
 from silverprint.sources import exif as exif_source
-from silverprint.sources import images, listing, tables
+from silverprint.sources import exif_bytes, images, listing, tables
 from silverprint.sources.tree import file_system
 from silverprint.sources.versions import VersionedTables
 from silverprint.workspace import new_table_path
@@ -208,6 +209,48 @@ def _(t: Tables):
     return exif_source.exif_normalize(records).select("media_id", "make", "iso", "f_number", "width", "taken_at")
 
 
+def _photos(batches):
+    """Image headers for rows of documents: four formats, both byte orders, cut headers, and files that are no images."""
+    for batch in batches:
+        contents = []
+        for d, n, source, lang in zip(batch["doc_id"], batch["n_chars"], batch["source"], batch["lang"]):
+            order = "<>"[d % 2]
+            taken = "0000:00:00 00:00:00" if lang == "en" else f"2024:01:{d % 28 + 1:02d} {d % 24:02d}:{d % 60:02d}:00"
+            main = [(0x010F, 2, f"Maker {source}"), (0x0112, 3, d % 8 + 1)]
+            exif = [(0x829D, 5, [n, 10]), (0x8827, 3, d % 100 * 100), (0x9003, 2, taken)]
+            gps = [(1, 2, "NS"[d % 2]), (2, 5, [d % 90, 1, 30, 1, 0, 1])]
+            width, height = n % 60_000 + 1, d % 60_000 + 1
+            if d % 5 == 3:
+                tags = headers.block(order, [*main, (0x0100, 4, width), (0x0101, 4, height)], exif, gps)
+                contents.append(tags)
+            elif d % 5 == 4:
+                contents.append(b"no image")
+            else:
+                tags = headers.block(order, main, exif, gps)
+                tags = tags[:12] if d % 11 == 0 else tags  # the directory is cut
+                contents.append([headers.jpeg, headers.png, headers.webp][d % 5](width, height, tags))
+        yield batch[["path"]].assign(content=contents)
+
+
+@query(
+    "exif_from_files",
+    """SELECT 'm' || doc_id AS media_id, CASE WHEN whole THEN 'Maker ' || source END AS make, CASE WHEN whole THEN CAST(doc_id % 100 * 100 AS INTEGER) END AS iso,
+    CASE WHEN whole THEN CAST(n_chars AS DOUBLE) / 10 END AS f_number, CASE WHEN whole THEN CAST(doc_id % 8 + 1 AS INTEGER) END AS orientation,
+    CASE WHEN whole THEN (doc_id % 90 + 0.5e0) * CASE WHEN doc_id % 2 = 1 THEN -1 ELSE 1 END END AS gps_lat,
+    CAST(n_chars % 60000 + 1 AS INTEGER) AS width, CAST(doc_id % 60000 + 1 AS INTEGER) AS height,
+    CASE WHEN whole AND lang <> 'en' THEN make_timestamp(2024, 1, doc_id % 28 + 1, doc_id % 24, doc_id % 60, 0) END AS taken_at
+    FROM (SELECT *, doc_id % 5 = 3 OR doc_id % 11 <> 0 AS whole FROM documents) WHERE doc_id % 5 <> 4""",
+)
+def _(t: Tables):
+    root = re.sub("^file:(//)?(?=/)", "", new_table_path(t.spark, "photos"))
+    path = F.concat(F.lit(root + "/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".img"))
+    docs = t.raw("documents").select("doc_id", "n_chars", "source", "lang", path.alias("path"))
+    written = docs.repartition(F.xxhash64("path")).mapInPandas(_photos, "path string, content binary")
+    written.mapInPandas(_write_files, "path string").write.format("noop").mode("overwrite").save()
+    listed = listing.list_tree(t.spark, root).select(F.concat(F.lit("m"), F.regexp_extract("path", r"(\d+)\.img$", 1)).alias("media_id"), "path")
+    return exif_bytes.read_exif(listed).select("media_id", "make", "iso", "f_number", "orientation", "gps_lat", "width", "height", "taken_at")
+
+
 # -- merges -------------------------------------------------------------------------------------
 
 
