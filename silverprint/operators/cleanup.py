@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from silverprint.functions.text import fmt_bytes, plural
 from silverprint.operators.dedup import BEST_COPY, BEST_NEAR
 from silverprint.operators.keyed import single
-from silverprint.operators.ranking import QuantileRule, quantile_items
+from silverprint.operators.ranking import QuantileRule
+from silverprint.operators.selection import quantile_members
 from silverprint.operators.views import is_tiny
 from silverprint.schema import LARGE_VIDEO_BYTES, NO_DHASH, PAPER_CATEGORIES
 
@@ -246,7 +247,7 @@ def suggestion_members(items: DataFrame, exact_members: DataFrame, near_members:
     rules = [
         QuantileRule(name, column, q, side, where="kind = 'IMAGE'") for name, (column, q, side) in QUALITY_RULES.items()
     ]
-    weak = quantile_items(items, rules, carry=("size_bytes",)).select(
+    weak = quantile_members(items, rules, carry=("size_bytes",)).select(
         F.col("rule").alias("suggestion_id"), "media_id", F.col("size_bytes").alias("bytes")
     )
 

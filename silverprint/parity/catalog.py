@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from silverprint.functions import hashing, paths, text, times
-from silverprint.operators import classify, ranking, staging, todo, views
+from silverprint.operators import classify, ranking, selection, staging, todo, views
 from silverprint.parity.registry import query, with_
 from silverprint.parity.shared import L, M, fmt_bytes_sql, hero_bytes_sql, human_bytes_sql
 from silverprint.parity.tables import Tables
@@ -251,6 +251,19 @@ def _(t: Tables):
     return ranking.quantile_items(t.media, [ranking.QuantileRule("sharpness", "quality_score", 0.05)])
 
 
+@query(
+    "quantile_members",
+    with_(M) + """, q(rule, share, high) AS (VALUES ('blurred', 0.05e0, false), ('bright', 0.02e0, true), ('large', 0.3e0, true)),
+    usable AS (SELECT rule, share, high, media_id, CASE rule WHEN 'blurred' THEN quality_score WHEN 'bright' THEN brightness ELSE CAST(width AS DOUBLE) END AS value FROM media, q),
+    v AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY CASE WHEN high THEN -value ELSE value END, media_id) AS position, count(*) OVER (PARTITION BY rule) AS n
+      FROM usable WHERE value IS NOT NULL AND isfinite(value))
+    SELECT rule, media_id, value FROM v WHERE position <= least(n, greatest(3, ceil(n * share)))""",
+)
+def _(t: Tables):
+    rules = [("blurred", "quality_score", 0.05, "low"), ("bright", "brightness", 0.02, "high"), ("large", "width", 0.3, "high")]
+    return selection.quantile_members(t.media, [ranking.QuantileRule(*rule) for rule in rules])
+
+
 @query(
     "diagnostics_bright",
     with_(M) + """, v AS (SELECT media_id, brightness, row_number() OVER (ORDER BY brightness DESC, media_id) AS position, count(*) OVER () AS n
