@@ -61,29 +61,50 @@ def _width(model) -> str:
     return "<u2" if model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
 
-def pack_numbers(values: np.ndarray) -> bytes:
-    """Unsigned numbers below 2^28 as one to four bytes each, seven bits a byte, low ones first."""
+def offsets_of(sizes: np.ndarray) -> np.ndarray:
+    """Where each of the stretches of these sizes begins, and where the last one ends."""
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def pack_stretches(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Stretches of unsigned numbers below 2^28 as one to four bytes each, seven bits a byte, low ones first."""
     values = values.astype(np.uint32)
-    width = 1 + (values >= 1 << 7) + (values >= 1 << 14) + (values >= 1 << 21)
-    ends = np.cumsum(width)
-    out = np.empty(ends[-1] if len(ends) else 0, np.uint8)
-    starts = ends - width
+    places = offsets_of(1 + (values >= 1 << 7) + (values >= 1 << 14) + (values >= 1 << 21))
+    width, starts = np.diff(places), places[:-1]
+    out = np.empty(places[-1], np.uint8)
     for i in range(4):
         has = width > i
         more = (width[has] > i + 1).astype(np.uint8) << 7
         out[starts[has] + i] = (values[has] >> np.uint32(7 * i)).astype(np.uint8) & 127 | more
-    return out.tobytes()
+    packed, cuts = out.tobytes(), places[offsets].tolist()
+    return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def unpack_numbers(packed: bytes) -> np.ndarray:
-    raw = np.frombuffer(packed, np.uint8)
-    ends = np.flatnonzero(raw < 128)
+def unpack_stretches(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of all stretches, and the offsets of the stretches."""
+    raw = np.frombuffer(b"".join(packed), np.uint8)
+    last = raw < 128
+    ends = np.flatnonzero(last)
     starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64) if len(ends) else ends
     out = np.zeros(len(ends), np.int64)
     for i in range(4):
         has = starts + i <= ends
         out[has] |= (raw[starts[has] + i].astype(np.int64) & 127) << (7 * i)
-    return out
+    return out, offsets_of(last)[offsets_of([len(p) for p in packed])]
+
+
+def pack_numbers(values: np.ndarray) -> bytes:
+    return pack_stretches(values, np.array([0, len(values)]))[0]
+
+
+def unpack_numbers(packed: bytes) -> np.ndarray:
+    return unpack_stretches([packed])[0]
+
+
+def gathered(offsets: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Places of everything in the chosen stretches, one stretch after the other."""
+    n = np.diff(offsets)[chosen]
+    return np.repeat(offsets[chosen] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def parts_of(word: bytes) -> list[bytes]:
@@ -92,6 +113,8 @@ def parts_of(word: bytes) -> list[bytes]:
     A word of ASCII is cut wholly and lower-cased, as the tokenizer does. Of other words only ASCII signs around letters are
     taken off. Words that hold an apostrophe (contractions) or may hold a special token stay whole.
     """
+    if word.isalpha():  # ASCII letters only
+        return [word.lower()]
     if b"'" in word or b"<|" in word:
         return [word]
     if word.isascii():
@@ -119,8 +142,8 @@ class _Block:
             self.size += len(text or b"")
         self.rows.append(rows)
 
-    def ranked(self) -> tuple[list[bytes], Callable[[np.ndarray], np.ndarray]]:
-        """The distinct parts of the words by falling frequency, and a function from word numbers to numbers of parts."""
+    def ranked(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct parts of the words by falling frequency; numbers of the parts of all words, with the words' offsets."""
         parts: defaultdict[bytes, int] = defaultdict()
         parts.default_factory = parts.__len__
         flat, lengths = array("i"), array("i")
@@ -133,14 +156,8 @@ class _Block:
         order = np.argsort(-np.bincount(flat, np.repeat(uses, lengths), minlength=len(parts)), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        numbered, offsets = place[flat], np.cumsum(lengths) - lengths
-
-        def of(codes: np.ndarray) -> np.ndarray:
-            n = lengths[codes]
-            return numbered[np.repeat(offsets[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-
         words = list(parts)
-        return [words[i] for i in order.tolist()], of
+        return [words[i] for i in order.tolist()], place[flat], offsets_of(lengths)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str, kept: list[str], split: Callable[[bytes], list[bytes]] = bytes.split) -> Iterator[_Block]:
@@ -171,7 +188,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, kept: list[str], split:
 def _word_rows(docs: DataFrame, text: str) -> DataFrame:
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text, []):
-            words, _ = block.ranked()
+            words, _, _ = block.ranked()
             for at in range(0, len(words), 50_000):
                 part = words[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays(
@@ -209,30 +226,36 @@ def _doc_rows(docs: DataFrame, text: str, kept: list[str]) -> DataFrame:
 
     def docs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text, kept):
-            _, numbers_of = block.ranked()
+            _, numbers, offsets = block.ranked()
             at = 0
             for rows in block.rows:
-                parts = [pack_numbers(numbers_of(codes)) for codes in block.texts[at : at + rows.num_rows]]
+                texts = block.texts[at : at + rows.num_rows]
+                codes = np.concatenate(texts)
+                ends = offsets_of(np.diff(offsets)[codes])[offsets_of([len(t) for t in texts])]
+                parts = pack_stretches(numbers[gathered(offsets, codes)], ends)
                 at += rows.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), block.key)), pa.array(parts, pa.binary()), *rows.columns], schema.names)
 
     return docs.select(*kept, *([] if text in kept else [text])).mapInArrow(docs_of, schema)
 
 
-def _with_ids(docs: DataFrame, path: str, text: str, kept: list[str], fields: list[T.StructField], columns: Callable[[list, list, list], list[pa.Array]], stored: bool) -> DataFrame:
-    """``kept`` columns of ``docs`` and those that ``columns`` makes of each document's word ids and the vocabulary."""
+def _with_ids(docs: DataFrame, path: str, text: str, kept: list[str], fields: list[T.StructField], columns: Callable[..., list[pa.Array]], stored: bool) -> DataFrame:
+    """``kept`` columns of ``docs`` and those that ``columns`` makes of a block: the ids of its words with their offsets, its
+    documents' word numbers with theirs, and the pieces as bytes behind a space."""
     if not stored:
         docs = materialise(docs, "docs")
     model = tokenizer(path)
     vocabulary = {i: piece for piece, i in model.get_vocab(with_added_tokens=True).items()}
-    pieces = docs.sparkSession.sparkContext.broadcast([vocabulary.get(i, "") for i in range(max(vocabulary) + 1)])
+    pieces = docs.sparkSession.sparkContext.broadcast([f" {vocabulary.get(i, '')}".encode() for i in range(max(vocabulary) + 1)])
     width = _width(model)
     schema = T.StructType([*docs.select(kept).schema.fields, *fields])
 
     def join(key: tuple, rows: pa.Table, ids: pa.Table) -> pa.Table:
         order = np.argsort(ids.column("number").to_numpy())
-        of_word = [np.frombuffer(b, width) for b in ids.column("ids").combine_chunks().take(pa.array(order)).to_pylist()]
-        made = columns(of_word, [unpack_numbers(b) for b in rows.column("_numbers").to_pylist()], pieces.value)
+        of_word = ids.column("ids").combine_chunks().take(pa.array(order)).to_pylist()
+        flat = np.frombuffer(b"".join(of_word), width)
+        starts = offsets_of([len(w) // flat.itemsize for w in of_word])
+        made = columns(flat, starts, *unpack_stretches(rows.column("_numbers").to_pylist()), pieces.value)
         return pa.Table.from_arrays([*(rows.column(c) for c in kept), *made], names=schema.names)
 
     ids = _encoded(_word_rows(docs, text), path)
@@ -245,9 +268,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", stored: bool = False)
     ``stored=True`` says that ``docs`` is a plain read of a stored table, which need not be written first.
     """
 
-    def ids_of(words: list, numbers: list, pieces: list) -> list[pa.Array]:
-        none = np.empty(0, np.int32)
-        return [pa.array([np.concatenate([words[i] for i in row.tolist()] or [none]).astype(np.int32) for row in numbers], pa.list_(pa.int32()))]
+    def ids_of(ids: np.ndarray, starts: np.ndarray, numbers: np.ndarray, offsets: np.ndarray, pieces: list) -> list[pa.Array]:
+        ends = offsets_of(np.diff(starts)[numbers])[offsets]
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[gathered(starts, numbers)].astype(np.int32)))]
 
     kept = [c for c in docs.columns if c != "ids"]
     return _with_ids(docs.select(kept), path, text, kept, [T.StructField("ids", T.ArrayType(T.IntegerType()))], ids_of, stored)
@@ -271,18 +294,19 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     Repeated documents and those without id each get their row.
     """
 
-    def digest(words: list, numbers: list, pieces: list) -> list[pa.Array]:
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        # a word without ids (nothing but characters that are dropped) must leave no space behind
-        shown = [b"".join(b" %d" % i for i in w.tolist()) for w in words]
-        read = ["".join(" " + pieces[i] for i in w.tolist()).encode() for w in words]
-        sha = lambda parts, row: hashlib.sha256(b"".join(map(parts.__getitem__, row))[1:]).hexdigest()
-        rows = [row.tolist() for row in numbers]
-        return [
-            pa.array([int(counts[row].sum()) for row in numbers], pa.int64()),
-            pa.array([sha(shown, row) for row in rows], pa.string()),
-            pa.array([sha(read, row) for row in rows], pa.string()),
-        ]
+    def digest(ids: np.ndarray, starts: np.ndarray, numbers: np.ndarray, offsets: np.ndarray, pieces: list[bytes]) -> list[pa.Array]:
+        counts = np.diff(offsets_of(np.diff(starts)[numbers])[offsets])
+        cuts, bounds, tokens = starts.tolist(), offsets.tolist(), ids.tolist()
+
+        def digested(of: list[bytes]) -> list[str]:
+            shown = list(map(of.__getitem__, tokens))
+            # a word without ids (nothing but characters that are dropped) must leave no space behind
+            words = [shown[a] if b == a + 1 else b"".join(shown[a:b]) for a, b in zip(cuts, cuts[1:])]
+            rows = (map(words.__getitem__, numbers[a:b].tolist()) for a, b in zip(bounds, bounds[1:]))
+            return [hashlib.sha256(b"".join(row)[1:]).hexdigest() for row in rows]
+
+        decimal = [b" %d" % i for i in range(len(pieces))]
+        return [pa.array(counts, pa.int64()), pa.array(digested(decimal), pa.string()), pa.array(digested(pieces), pa.string())]
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
