@@ -10,7 +10,7 @@ from silverprint.parity.records import TREE_SQL
 from silverprint.parity.registry import query, with_
 from silverprint.parity.tables import Tables
 from silverprint.sources import listing
-from silverprint.streaming import ingest, sessions
+from silverprint.streaming import ingest, levels, sessions
 from silverprint.workspace import new_table_path
 
 
@@ -67,6 +67,26 @@ def _(t: Tables):
     return ingest.latest_updates(_finish(t, ingest.stream_exact_dups(items), "update"))
 
 
+@query(
+    "stream_exact_dups_levelled",
+    """SELECT sha256(text) AS sha256, count(*) AS copies, CAST(sum(n_chars) AS BIGINT) AS total_bytes, min('m' || lpad(CAST(doc_id AS VARCHAR), 8, '0')) AS first_id
+    FROM documents GROUP BY 1 HAVING count(*) > 1""",
+)
+def _(t: Tables):
+    """Documents arrive as five files, a batch each; the log is folded by twos."""
+    arriving = new_table_path(t.spark, "arriving")
+    items = t.raw("documents").select(
+        F.sha2("text", 256).alias("sha256"),
+        F.concat(F.lit("m"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("media_id"),
+        F.col("n_chars").alias("size_bytes"),
+    )
+    items.repartition(5, F.xxhash64("media_id")).write.parquet(arriving)
+    source = t.spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    log = levels.LevelledLog(t.spark, new_table_path(t.spark, "levels"), levels.fold_digests, fan=2)
+    levels.stream_digests(source, log, new_table_path(t.spark, "checkpoint"), availableNow=True).awaitTermination()
+    return log.view().filter("copies > 1")
+
+
 @query(
     "stream_progress",
     with_(TREE_SQL) + """SELECT count(*) AS scanned, count(*) FILTER (ext <> '.txt') AS matched, CAST(sum(size_bytes) FILTER (ext <> '.txt') AS BIGINT) AS bytes FROM parted""",
