@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -148,11 +146,20 @@ def hybrid_search(lexical: DataFrame, semantic: DataFrame, id_col: str = "media_
 def _counts_before(rows: DataFrame, id_col: str, keys: list[tuple]) -> list[int]:
     """How many rows come before the first key, and between each key and the next."""
 
+    scores = np.array([k[0] for k in keys], np.float64)
+    ids = np.array([k[1] for k in keys], object)
+
     def fall(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = Counter()
         for batch in batches:
-            counts.update(bisect_right(keys, (-s, i)) for s, i in zip(batch["score"], batch[id_col]))
-        yield pd.DataFrame({"place": list(counts), "n": list(counts.values())}, dtype="int64")
+            found, found_ids = -batch["score"].to_numpy(np.float64), batch[id_col].to_numpy(object)
+            first, place = np.searchsorted(scores, found, "left"), np.searchsorted(scores, found, "right")
+            level = np.flatnonzero(first < place)  # rows with the score of some key are placed by id among these keys
+            for start in np.unique(first[level]):
+                rows_here = level[first[level] == start]
+                keys_here = slice(start, place[rows_here[0]])
+                place[rows_here] = start + np.searchsorted(ids[keys_here], found_ids[rows_here], "right")
+            where, n = np.unique(place, return_counts=True)
+            yield pd.DataFrame({"place": where, "n": n}, dtype="int64")
 
     summed = rows.mapInPandas(fall, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
     found = {r.place: r.n for r in summed}

@@ -53,11 +53,11 @@ def plan_trash(
 ) -> Plan:
     """Moves into the trash for the requested ids; unknown ids and vanished files become warnings."""
     _refuse_empty(requests, "TRASH")
-    looked_up = plan_left_join(requests, items, hashes).join(
-        listing.select("path", F.lit(True).alias("_present")).distinct(), "path", "left"
-    )
+    looked_up = plan_left_join(requests, items, hashes)
     known, present = F.col("path").isNotNull(), F.col("_present").isNotNull()
-    ops = looked_up.filter(known & present).select(
+    # unknown ids have no path to look up; in the join they would all meet in one task
+    listed = looked_up.filter(known).join(listing.select("path", F.lit(True).alias("_present")).distinct(), "path", "left")
+    ops = listed.filter(present).select(
         "media_id",
         F.col("path").alias("from"),
         trash_target(trash_root, F.lit(operation_id), F.col("path")).alias("to"),
@@ -69,7 +69,7 @@ def plan_trash(
     warnings = missing.select(
         F.concat(F.col("n").cast("string"), F.lit(MISSING_IDS)).alias("warning")
     ).unionByName(
-        looked_up.filter(known & ~present).select(F.concat(F.lit(VANISHED), "path").alias("warning"))
+        listed.filter(~present).select(F.concat(F.lit(VANISHED), "path").alias("warning"))
     )
     return Plan("TRASH", ops, warnings)
 
