@@ -13,6 +13,10 @@ from silverprint.operators.keyed import attach_facts
 from silverprint.workspace import materialise, release
 
 
+#: Links that one task settles at once (16 bytes each); more take the rounds.
+ONE_TASK = 200_000
+
+
 def star_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fewer edges with the same components: every node but the smallest points at the smallest."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -82,17 +86,33 @@ def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return table, (seen.get["n"], seen.get["x"], seen.get["y"])
 
 
+def _settled(edges: DataFrame) -> DataFrame:
+    """Links to the smallest node of each component, found by one task."""
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.concat(batches)
+        hi, lo = star_links(held["lo"].to_numpy(), held["hi"].to_numpy())
+        yield pd.DataFrame({"hi": hi, "lo": lo})
+
+    return edges.repartition(1).mapInPandas(settle, edges.schema)
+
+
 def connected_components(
-    edges: DataFrame, src: str = "src", dst: str = "dst", hot_rows: int | None = None
+    edges: DataFrame, src: str = "src", dst: str = "dst", hot_rows: int | None = None, one_task: int = ONE_TASK
 ) -> DataFrame:
     """``(node, component)`` of every node with an edge; a component is named by its smallest node.
 
     The number of edges never grows and the number of rounds is logarithmic even for long chains. A round is one
     write; the search ends when a round leaves the set of edges as it was. Hubs are handled by
-    :func:`attach_facts`, each round starts from a written table.
+    :func:`attach_facts`, each round starts from a written table. Up to ``one_task`` links are settled by a single
+    task instead, with the same result.
     """
     canonical = edges.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo")).filter("hi <> lo")
     current, mark = _written(thin_edges(canonical, "lo", "hi").select("hi", "lo").distinct())
+    if 0 < mark[0] <= one_task:
+        settled = materialise(_settled(current), "edges")
+        release(current)
+        current, mark = settled, (0,)
     while mark[0]:
         following, next_mark = _written(_small_star(_large_star(current, hot_rows), hot_rows))
         release(current)

@@ -89,9 +89,9 @@ def test_quantile_prefilter_keeps_the_exact_answer(spark):
         assert {r["media_id"] for r in got if r["rule"] == rule.name} == brute_quantile(values, rule.q, rule.side)
 
 
-@pytest.mark.parametrize("hot_rows", [3, 10**6])
+@pytest.mark.parametrize("hot_rows, one_task", [(3, 0), (10**6, 0), (None, 1000)])
 @pytest.mark.parametrize("shape", ["random", "chain", "hub", "empty"])
-def test_components_match_union_find(spark, shape, hot_rows):
+def test_components_match_union_find(spark, shape, hot_rows, one_task):
     rng = random.Random(7)
     edges = {
         "random": [(rng.randrange(120), rng.randrange(120)) for _ in range(90)],
@@ -99,7 +99,7 @@ def test_components_match_union_find(spark, shape, hot_rows):
         "hub": [(99, i) for i in range(80)] + [(200, 201)],
         "empty": [],
     }[shape]
-    got = connected_components(spark.createDataFrame(edges, "src long, dst long"), hot_rows=hot_rows)
+    got = connected_components(spark.createDataFrame(edges, "src long, dst long"), hot_rows=hot_rows, one_task=one_task)
     want = {k: v for k, v in union_find([e for e in edges if e[0] != e[1]]).items()}
     assert {r["node"]: r["component"] for r in got.collect()} == want
 
