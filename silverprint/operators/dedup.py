@@ -136,6 +136,12 @@ _SIMILAR_COLUMNS = ["media_id", "path", "width", "height", "size_bytes"]
 _NEAR_COLUMNS = ["media_id", "sha256", "dhash", "dhash_hex", "path", "width", "height", "size_bytes"]
 
 
+def near_tagged(items: DataFrame, hashes: DataFrame, library: str | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Candidates whose hash is in ``hashes (dhash, component, copies)``, with its component."""
+    candidates = near_candidates(items, library).select(*_NEAR_COLUMNS)
+    return attach_facts(candidates, hashes, ["dhash"], F.col("copies"), "media_id", hot_rows).drop("copies")
+
+
 def _near_tagged(
     items: DataFrame, library: str | None, limit: int, window: int, mode: str, hot_rows: int | None = None
 ) -> DataFrame:
@@ -156,7 +162,7 @@ def _near_tagged(
             .filter(F.col("component").isNotNull() | (F.col("sha_lo") != F.col("sha_hi")))
             .select("dhash", F.coalesce("component", "dhash").alias("component"), "copies")
         )
-        tagged = attach_facts(candidates, facts, ["dhash"], F.col("copies"), "media_id", hot_rows).drop("copies")
+        tagged = near_tagged(items, facts, library, hot_rows)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return materialise(tagged, "near_tagged")
@@ -175,7 +181,11 @@ def near_dedup(
     ``window`` compares neighbours in hash order only; ``banded`` finds every pair in range.
     A group is numbered by the smallest rank (or hash) in it.
     """
-    tagged = _near_tagged(items, library, limit, window, mode, hot_rows)
+    return near_outputs(_near_tagged(items, library, limit, window, mode, hot_rows), hot_rows)
+
+
+def near_outputs(tagged: DataFrame, hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Groups and members of the components in a stored table of tagged candidates."""
     facts = _group_facts(tagged, "component", [F.col("dhash_hex").alias("t")])
     group_id = F.concat_ws("_", F.lit("ng"), F.col("component").cast("string"), F.right("best_media_id", F.lit(8)))
     facts = facts.withColumn("group_id", group_id)

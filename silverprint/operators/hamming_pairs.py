@@ -79,6 +79,14 @@ def _band(value: Column, start: int, length: int) -> Column:
     return F.shiftrightunsigned(value, start).bitwiseAND(F.lit(_mask(length)))
 
 
+def band_keys(hashes: DataFrame, limit: int = HAMMING_LIMIT) -> DataFrame:
+    """``(dhash, key)``, one row per band of each hash; hashes within the distance share at least one key."""
+    cuts = _cut_points(64, limit + 1)
+    digit = max(length for _, length in cuts)
+    keys = [F.shiftleft(F.lit(i).cast("long"), digit).bitwiseOR(_band(F.col("dhash"), *cut)) for i, cut in enumerate(cuts)]
+    return hashes.select("dhash", F.explode(F.array(*keys)).alias("key"))
+
+
 def _without(value: Column, start: int, length: int) -> Column:
     """``value`` with the run of bits taken out and the upper part moved down."""
     below = value.bitwiseAND(F.lit(_mask(start)))

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from silverprint.operators import cleanup, dedup, hamming_pairs, staging, views
 from silverprint.operators.components import connected_components
+from silverprint.operators.standing_groups import StandingGroups
 from silverprint.parity.registry import query, with_
 from silverprint.parity.shared import A, E, L, M, N, SCORE_SQL, fmt_bytes_sql, group_tables, groups_and_members, hero_bytes_sql
 from silverprint.parity.tables import Tables
+from silverprint.workspace import new_table_path
 
 GROUP_COLUMNS = "group_id, kind, member_count, total_bytes, best_media_id, recoverable_bytes"
 
@@ -82,19 +84,32 @@ bcomp AS (SELECT node, min(lab) AS component FROM breach GROUP BY node
   UNION SELECT dhash, dhash FROM hg WHERE lo <> hi AND dhash NOT IN (SELECT s FROM bedge))"""
 
 
-@query(
-    "near_dup_groups_banded",
-    with_(M, BANDED_SQL, BANDED_TAG_SQL) + f""", r AS (SELECT c.component, media_id, size_bytes,
+NEAR_BANDED = with_(M, BANDED_SQL, BANDED_TAG_SQL) + f""", r AS (SELECT c.component, media_id, size_bytes,
       row_number() OVER (PARTITION BY c.component ORDER BY {SCORE_SQL} DESC, dhash_hex, media_id) AS rn,
       count(*) OVER (PARTITION BY c.component) AS member_count, CAST(sum(size_bytes) OVER (PARTITION BY c.component) AS BIGINT) AS total_bytes
       FROM media m JOIN bcomp c ON c.node = m.dhash WHERE m.kind = 'IMAGE')
     SELECT 'ng_' || component || '_' || right(media_id, 8) AS group_id, 'NEAR' AS kind, member_count, total_bytes, media_id AS best_media_id,
-      total_bytes - size_bytes AS recoverable_bytes FROM r WHERE rn = 1""",
+      total_bytes - size_bytes AS recoverable_bytes FROM r WHERE rn = 1"""
+
+
+@query(
+    "near_dup_groups_banded",
+    NEAR_BANDED,
 )
 def _(t: Tables):
     return dedup.near_dedup(t.media, mode="banded")[0]
 
 
+@query("near_dup_groups_standing", NEAR_BANDED)
+def _(t: Tables):
+    """The whole catalog in three batches by a hash of the id; the groups are those of one full run."""
+    standing = StandingGroups(t.spark, new_table_path(t.spark, "standing"))
+    third = F.pmod(F.xxhash64("media_id"), F.lit(3))
+    for batch in range(3):
+        standing.add(t.media.filter(third == batch))
+    return standing.groups(t.media)[0]
+
+
 @query("near_dup_groups", with_(M, N) + f"SELECT {GROUP_COLUMNS} FROM near_groups")
 def _(t: Tables):
     return dedup.near_dedup(t.media)[0]

@@ -133,14 +133,20 @@ class VersionedTables:
 
     def replace(self, tables: dict[str, DataFrame], parts: list[str]) -> int:
         """Put new rows in the place of ``parts`` of several tables, all in one commit. Parts without rows become empty."""
-        base, changes = self.manifest(), {}
-        for table, rows in tables.items():
+        return self.switch({table: (rows, set(parts)) for table, rows in tables.items()}, self.manifest())
+
+    def switch(self, changes: dict[str, tuple[DataFrame, set[str]]], base: dict) -> int:
+        """Put new rows in the place of each table's own parts, all in one commit on top of the manifest ``base``.
+
+        Rows that belong to other parts are left out; parts without rows become empty.
+        """
+        entries = {}
+        for table, (rows, parts) in changes.items():
             entry = base["tables"][table]
-            wanted = rows.filter(_label(entry["part"]).isin(parts))
-            schema, folders = self._written(wanted, entry["part"])
+            schema, folders = self._written(rows.select(*[f["name"] for f in entry["schema"]["fields"]]).filter(_label(entry["part"]).isin(sorted(parts))), entry["part"])
             kept = {p: f for p, f in entry["folders"].items() if p not in parts}
-            changes[table] = {"part": entry["part"], "schema": schema, "folders": kept | folders}
-        return self._commit(base, changes)
+            entries[table] = {"part": entry["part"], "schema": schema, "folders": kept | folders}
+        return self._commit(base, entries)
 
     def expire(self, keep: int = 1) -> int:
         """Forget all but the last ``keep`` versions and delete the folders only they had. Run while nobody writes."""
