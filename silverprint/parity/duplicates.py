@@ -103,7 +103,7 @@ def _(t: Tables):
 @query("near_dup_groups_standing", NEAR_BANDED)
 def _(t: Tables):
     """The whole catalog in three batches by a hash of the id; the groups are those of one full run."""
-    standing = StandingGroups(t.spark, new_table_path(t.spark, "standing"))
+    standing = StandingGroups(t.spark, new_table_path(t.spark, "standing"), parts=16)
     third = F.pmod(F.xxhash64("media_id"), F.lit(3))
     for batch in range(3):
         standing.add(t.media.filter(third == batch))
