@@ -81,3 +81,11 @@ def test_entry_runs(spark):
         "recoverable_bytes",
     ]
     assert entry.entry(spark).count() == 10
+
+
+@pytest.mark.parametrize("name", ["stream_exact_dups", "stream_ingest", "stream_progress", "stream_sessions"])
+def test_streams_read_tables_that_are_folders(spark, con, tmp_path, name):
+    for table in ("documents", "events"):
+        spark.read.parquet(f"{SF_DIR}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    ok, text = compare(spark, con, name, str(tmp_path))
+    assert ok, text
