@@ -230,3 +230,46 @@ def test_face_clusters_rank_by_faces_and_size_counts_items(spark):
     assert [(c[0], c[2], c[3], c[4], c[5]) for c in clusters] == [("person-1", "b", 0, 3, 2), ("person-2", "a", 0, 2, 1)]
     assert [r["media_id"] for r in people.solo_faces(items, tagged).collect()] == ["d"]
     assert people.faces_total(items).head()[0] == 6
+
+
+@pytest.mark.parametrize("links_only", [False, True])
+def test_vector_tasks_hand_on_bounded_pieces(links_only):
+    import numpy as np
+    import pandas as pd
+
+    from silverprint.operators import vector_pairs as v
+
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(1_500, 24)) * 0.02
+    rows = pd.DataFrame({"rep": [f"v{i:05d}" for i in range(len(vectors))], "vec": list(vectors)})
+    # all rows lie so near to each other that each visits every lower cell
+    placed = list(v._place(vectors[:40].copy(), 0.5)(iter([rows])))
+    assert max(map(len, placed)) <= v._ROWS_OUT
+    both = pd.concat(placed)
+    assert len(both) > 10 * len(rows) and (~both["visitor"].astype(bool)).sum() == len(rows)
+    assert not both.duplicated(["cell", "rep"]).any()
+
+    block = rows.assign(side=0, same=True)
+    eps = 0.135
+    out = list(v._compare(eps, links_only)(iter([block.iloc[:700], block.iloc[700:]])))
+    assert max(map(len, out)) <= max(len(rows), v._VALUES_AT_ONCE // 24)
+    want = {(i, j) for i, x in enumerate(vectors) for j in np.flatnonzero(np.sqrt(((vectors - x) ** 2).sum(1)) < eps) if i < j}
+    got = [(int(a[1:]), int(b[1:])) for a, b in pd.concat(out)[["a", "b"]].itertuples(index=False)]
+    assert all(a < b for a, b in got)
+    if not links_only:
+        assert len(out) > 1 and len(got) == len(set(got)) and set(got) == want
+        return
+    assert len(got) < len(rows) < len(want)
+
+    def roots(links):
+        root = list(range(len(rows)))
+        def top(n):
+            while root[n] != n:
+                n = root[n]
+            return n
+        for a, b in links:
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+        return [top(n) for n in range(len(rows))]
+
+    assert roots(got) == roots(want)
