@@ -96,3 +96,24 @@ def test_files_of_a_table(spark, tmp_path):
     assert (got["a"].make, got["a"].orientation, got["a"].f_number, got["a"].width, got["a"].height) == ("Ab", 6, 2.8, 40, 30)
     assert (got["c"].make, got["c"].width, got["c"].height, got["c"].taken_at) == (None, 5, 6, None)
     assert exif_bytes.read_exif(files.limit(0)).count() == 0
+
+
+def test_files_of_a_batch_are_not_held_at_once(tmp_path):
+    import tracemalloc
+
+    import pandas as pd
+    import pyarrow as pa
+
+    from silverprint.parity import records
+
+    ids = list(range(2_000))
+    docs = pd.DataFrame({"path": [f"{tmp_path}/photos/{i}.img" for i in ids], "doc_id": ids, "n_chars": ids, "source": "web", "lang": "de"})
+    texts = pa.record_batch({"path": [f"{tmp_path}/texts/{i}" for i in range(64)], "content": [b"%d" % (i % 10) * 1_000_000 for i in range(64)]})
+    for write, batch, number, least in ((records._write_photos, docs, 2_000, 8_000_000), (records._write_files, texts, 64, 64_000_000)):
+        tracemalloc.start()
+        assert [len(p) for p in write(iter([batch]))] == [number]
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        written = [f.stat().st_size for f in (tmp_path / ("photos" if batch is docs else "texts")).iterdir()]
+        assert len(written) == number and sum(written) >= least
+        assert held < sum(written) / 8
