@@ -44,22 +44,28 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 def add_batch(docs: DataFrame, path: str, batch: int, id_col: str, columns: Sequence[str], buckets: int = BUCKETS, region: int = REGION) -> None:
     """Index ``docs`` as batch number ``batch``. Ids are unique over all batches; ``buckets`` is the same for all of them."""
-    tokens = docs.select(F.col(id_col).alias("id"), field_tokens(docs, columns).alias("_t"))
     # neighbours in the input are neighbours in the index: row ids count up within a partition
-    placed = tokens.withColumn("region", F.floor(F.monotonically_increasing_id() / region)).withColumn("dl", F.size("_t"))
+    fields = [f"_c{i}" for i in range(len(columns))]
+    numbered = docs.select(
+        F.col(id_col).alias("id"), F.floor(F.monotonically_increasing_id() / region).alias("region"), *[F.col(c).alias(f) for c, f in zip(columns, fields)]
+    )
+    # whole texts move once, by region, which serves both groupings: they are far smaller than one row a term and document
+    tokens = numbered.repartition("region").select("id", "region", field_tokens(numbered, fields).alias("_t"))
     counted = (
-        placed.select("id", "region", "dl", F.explode("_t").alias("term")).groupBy("term", "region", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
+        tokens.select("id", "region", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+        .groupBy("region", "id", "term")
+        .agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
     )
     rows = F.array_sort(F.collect_list(F.struct("id", "tf", "dl")))  # at most one region's documents
     blocks = (
-        counted.groupBy("term", "region")
+        counted.groupBy("region", "term")
         .agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min(F.col("dl") / F.col("tf")).alias("least_share"), rows.alias("rows"))
         .withColumn("bucket", _bucket(F.col("term"), buckets))
     )
-    # cut by ranges, so that a bucket with frequent terms is written by several tasks and others share one
-    ordered = blocks.repartitionByRange("bucket", "term", "region").sortWithinPartitions("bucket", "term", "region")
+    # a large bucket is written by several tasks and small ones share one; unlike ranges this needs no pass to find the cuts
+    ordered = blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "region")
     ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
-    sizes = tokens.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size("_t")), F.lit(0)).alias("tokens"))
+    sizes = docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size(field_tokens(docs, columns))), F.lit(0)).alias("tokens"))
     sizes.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/batches/batch={batch}")
 
 

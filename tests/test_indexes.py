@@ -130,3 +130,19 @@ def test_vector_index_reads_few_files_of_clustered_vectors(spark, tmp_path):
     kept = index.cells_for(rows[0][1], 60, 0.15)
     files, every = index.rows(kept).inputFiles(), spark.read.parquet(f"{tmp_path}/vectors/rows").inputFiles()
     assert len(files) <= len(every) / 5
+
+
+def _shuffled_rows(spark):
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList()
+    stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_indexing_moves_texts_and_blocks_but_no_row_per_term_and_document(spark, tmp_path):
+    words = [f"word{i}" for i in range(50)]
+    docs = spark.createDataFrame([(f"d{i:05}", " ".join(words)) for i in range(2_000)], "id string, region string")
+    before = _shuffled_rows(spark)
+    text_index.add_batch(docs, str(tmp_path), 0, "id", ["id", "region"], buckets=4, region=64)
+    moved = sum(n for stage, n in _shuffled_rows(spark).items() if stage not in before)
+    assert 0 < moved < 2_000 * 50 / 5
+    assert text_index.Search(spark, str(tmp_path), "word7").scores().count() == 2_000
