@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from silverprint.functions.hashing import hamming
 from silverprint.operators.components import thin_edges
+from silverprint.operators.keyed import attach_facts
 from silverprint.operators.ranking import global_rank
 from silverprint.schema import NO_DHASH
-from silverprint.workspace import materialise
+from silverprint.workspace import materialise, release
 
 # Largest distance of a near duplicate, and rows compared after each row.
 HAMMING_LIMIT = 6
@@ -95,8 +96,25 @@ def _without(value: Column, start: int, length: int) -> Column:
     return F.shiftleft(F.shiftrightunsigned(value, start + length), start).bitwiseOR(below)
 
 
-def _expand(level: DataFrame, bits: int, limit: int, digit: int) -> DataFrame:
-    """One row per band of the remaining bits: the band is appended to the key and cut out."""
+def _slim(groups: DataFrame) -> DataFrame:
+    """``(dhash, content, mixed)``: two hashes of one content each hold the same one if their ``content`` is equal.
+
+    Band rows are many times the hashes, so they carry the smallest hash of a content in place of its digest.
+    """
+    held = materialise(groups.select("dhash", "sha_lo", "sha_hi", (F.col("sha_lo") != F.col("sha_hi")).alias("mixed")), "hash_contents")
+    contents = held.filter("NOT mixed").groupBy("sha_lo").agg(F.min("dhash").alias("content"))
+    sizes = held.filter("sha_lo IS NOT NULL").groupBy("sha_lo").agg(F.count(F.lit(1)).alias("n"))
+    named = attach_facts(held, contents.join(sizes, "sha_lo"), ["sha_lo"], F.col("n"), "dhash", keep_unmatched=True)
+    slim = materialise(named.select("dhash", "content", "mixed"), "slim_hashes")
+    release(held)
+    return slim
+
+
+def _expand(level: DataFrame, depth: int, bits: int, limit: int, digit: int) -> DataFrame:
+    """One row per band of the remaining bits: the band is appended to the key and cut out.
+
+    What remained at level 1 and deeper is kept as ``rest_1`` and so on; at level 0 it is the hash.
+    """
     rest = F.col("rest")
     bands = [
         F.struct(
@@ -109,10 +127,11 @@ def _expand(level: DataFrame, bits: int, limit: int, digit: int) -> DataFrame:
     step = F.shiftleft(F.col("_b.no"), digit - 4).bitwiseOR(F.col("_b.value"))
     return level.withColumn("_b", F.explode(F.array(*bands))).select(
         "dhash",
-        "sha_lo",
-        "sha_hi",
+        "content",
+        "mixed",
         F.shiftleft(F.col("key"), digit).bitwiseOR(step).alias("key"),
-        F.concat(F.col("trail"), F.array(rest)).alias("trail"),
+        *[f"rest_{d}" for d in range(1, depth)],
+        *([rest.alias(f"rest_{depth}")] if depth else []),
         F.col("_b.rest").alias("rest"),
     )
 
@@ -133,18 +152,11 @@ def near_banded_pairs(
     bits = 64
     digit = 4 + max(length for _, length in _cut_points(bits, limit + 1))
     levels = min(levels, 63 // digit)
-    level = groups.select(
-        "dhash",
-        "sha_lo",
-        "sha_hi",
-        F.lit(0).cast("long").alias("key"),
-        F.array().cast("array<bigint>").alias("trail"),
-        F.col("dhash").alias("rest"),
-    )
+    level = _slim(groups).select("dhash", "content", "mixed", F.lit(0).cast("long").alias("key"), F.col("dhash").alias("rest"))
     found, widths = None, []
     for depth in range(levels):
         widths.append(bits)
-        keyed = _expand(level, bits, limit, digit)
+        keyed = _expand(level, depth, bits, limit, digit)
         shortest = min(length for _, length in _cut_points(bits, limit + 1))
         bits -= shortest
         last = depth == levels - 1 or bits < 2 * (limit + 1)
@@ -171,24 +183,21 @@ def near_banded_pairs(
 
 def _join_bands(keyed: DataFrame, limit: int, widths: list[int], digit: int) -> DataFrame:
     """Join on the key; a pair counts only in the first band in which it agrees, at every level."""
-    shared = ("dhash", "sha_lo", "sha_hi", "trail")
+    rests = ["dhash", *[f"rest_{depth}" for depth in range(1, len(widths))]]
+    shared = (*rests, "content", "mixed")
     left = keyed.select("key", *[F.col(c).alias(f"{c}_a") for c in shared])
     right = keyed.select("key", *[F.col(c).alias(f"{c}_b") for c in shared])
     distance = hamming(F.col("dhash_a"), F.col("dhash_b"))
-    one_content = (
-        (F.col("sha_lo_a") == F.col("sha_hi_a"))
-        & (F.col("sha_lo_b") == F.col("sha_hi_b"))
-        & (F.col("sha_lo_a") == F.col("sha_lo_b"))
-    )
+    differ = F.col("mixed_a") | F.col("mixed_b") | (F.col("content_a") != F.col("content_b"))
     first = F.lit(True)
     for depth, bits in enumerate(widths):
         above = digit * (len(widths) - 1 - depth)
         no = F.shiftrightunsigned(F.col("key"), above + digit - 4).bitwiseAND(F.lit(15).cast("long"))
-        difference = F.col("trail_a")[depth].bitwiseXOR(F.col("trail_b")[depth])
+        difference = F.col(f"{rests[depth]}_a").bitwiseXOR(F.col(f"{rests[depth]}_b"))
         for i, (start, length) in enumerate(_cut_points(bits, limit + 1)):
             first = first & ((no <= i) | (_band(difference, start, length) != 0))
     return (
         left.join(right, "key")
-        .filter((F.col("dhash_a") < F.col("dhash_b")) & (distance <= limit) & ~one_content & first)
+        .filter((F.col("dhash_a") < F.col("dhash_b")) & (distance <= limit) & differ & first)
         .select("key", "dhash_a", "dhash_b", distance.alias("distance"))
     )

@@ -273,3 +273,24 @@ def test_vector_tasks_hand_on_bounded_pieces(links_only):
         return [top(n) for n in range(len(rows))]
 
     assert roots(got) == roots(want)
+
+
+def test_band_rows_carry_numbers_only_and_keep_the_rule_of_contents(spark):
+    from silverprint.operators import hamming_pairs as h
+
+    rows = [(1, "a", "a"), (3, "a", "a"), (7, "a", "b"), (15, None, None), (31, "b", "b"), (63, "b", "c"), (127, "b", "b")]
+    groups = spark.createDataFrame(rows, "dhash long, sha_lo string, sha_hi string")
+    slim = h._slim(groups).select("dhash", "content", "mixed", F.lit(0).cast("long").alias("key"), F.col("dhash").alias("rest"))
+    keyed = h._expand(h._expand(slim, 0, 64, 6, 14), 1, 55, 6, 14)
+    assert {f.dataType.simpleString() for f in keyed.schema} == {"bigint", "boolean"}
+
+    def pair(a, b):
+        (_, alo, ahi), (_, blo, bhi) = a, b
+        if (alo and alo != ahi) or (blo and blo != bhi):
+            return True
+        return alo is not None and blo is not None and alo != blo  # an unknown content is like no other, and not unlike
+
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and bin(a[0] ^ b[0]).count("1") <= 6 and pair(a, b)}
+    for crowded in (1, 2, 1024):
+        got = [(r.dhash_a, r.dhash_b) for r in near_banded_pairs(groups, 6, crowded).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
