@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,7 +112,7 @@ def _slim(groups: DataFrame) -> DataFrame:
     return slim
 
 
-def _expand(level: DataFrame, depth: int, bits: int, limit: int, digit: int) -> DataFrame:
+def _expand(level: DataFrame, depth: int, bits: int, limit: int, digit: int, carried: tuple[str, ...] = ("content", "mixed")) -> DataFrame:
     """One row per band of the remaining bits: the band is appended to the key and cut out.
 
     What remained at level 1 and deeper is kept as ``rest_1`` and so on; at level 0 it is the hash.
@@ -127,8 +129,7 @@ def _expand(level: DataFrame, depth: int, bits: int, limit: int, digit: int) ->
     step = F.shiftleft(F.col("_b.no"), digit - 4).bitwiseOR(F.col("_b.value"))
     return level.withColumn("_b", F.explode(F.array(*bands))).select(
         "dhash",
-        "content",
-        "mixed",
+        *carried,
         F.shiftleft(F.col("key"), digit).bitwiseOR(step).alias("key"),
         *[f"rest_{d}" for d in range(1, depth)],
         *([rest.alias(f"rest_{depth}")] if depth else []),
@@ -136,6 +137,14 @@ def _expand(level: DataFrame, depth: int, bits: int, limit: int, digit: int) ->
     )
 
 
+def _layout(limit: int, levels: int) -> tuple[int, int, int]:
+    """Bits of a hash, bits that a level adds to the key, and how many levels a key has room for."""
+    if not 1 <= limit <= 15:
+        raise ValueError("limit must be between 1 and 15")
+    digit = 4 + max(length for _, length in _cut_points(64, limit + 1))
+    return 64, digit, min(levels, 63 // digit)
+
+
 def near_banded_pairs(
     groups: DataFrame, limit: int = HAMMING_LIMIT, crowded: int = 1024, levels: int = 4, links_only: bool = False
 ) -> DataFrame:
@@ -147,11 +156,7 @@ def near_banded_pairs(
     longer exactly where the data is dense. Copies of one hash are one row here (``hash_groups``).
     With ``links_only`` the pairs of a value are thinned to links with the same components.
     """
-    if not 1 <= limit <= 15:
-        raise ValueError("limit must be between 1 and 15")
-    bits = 64
-    digit = 4 + max(length for _, length in _cut_points(bits, limit + 1))
-    levels = min(levels, 63 // digit)
+    bits, digit, levels = _layout(limit, levels)
     level = _slim(groups).select("dhash", "content", "mixed", F.lit(0).cast("long").alias("key"), F.col("dhash").alias("rest"))
     found, widths = None, []
     for depth in range(levels):
@@ -181,14 +186,9 @@ def near_banded_pairs(
     return found
 
 
-def _join_bands(keyed: DataFrame, limit: int, widths: list[int], digit: int) -> DataFrame:
-    """Join on the key; a pair counts only in the first band in which it agrees, at every level."""
+def _first_band(widths: list[int], limit: int, digit: int) -> Column:
+    """Whether the key of a pair is the first band in which it agrees, at every level."""
     rests = ["dhash", *[f"rest_{depth}" for depth in range(1, len(widths))]]
-    shared = (*rests, "content", "mixed")
-    left = keyed.select("key", *[F.col(c).alias(f"{c}_a") for c in shared])
-    right = keyed.select("key", *[F.col(c).alias(f"{c}_b") for c in shared])
-    distance = hamming(F.col("dhash_a"), F.col("dhash_b"))
-    differ = F.col("mixed_a") | F.col("mixed_b") | (F.col("content_a") != F.col("content_b"))
     first = F.lit(True)
     for depth, bits in enumerate(widths):
         above = digit * (len(widths) - 1 - depth)
@@ -196,8 +196,59 @@ def _join_bands(keyed: DataFrame, limit: int, widths: list[int], digit: int) ->
         difference = F.col(f"{rests[depth]}_a").bitwiseXOR(F.col(f"{rests[depth]}_b"))
         for i, (start, length) in enumerate(_cut_points(bits, limit + 1)):
             first = first & ((no <= i) | (_band(difference, start, length) != 0))
+    return first
+
+
+def _join_bands(keyed: DataFrame, limit: int, widths: list[int], digit: int) -> DataFrame:
+    """Join on the key; a pair counts only in the first band in which it agrees, at every level."""
+    shared = ("dhash", *[f"rest_{depth}" for depth in range(1, len(widths))], "content", "mixed")
+    left = keyed.select("key", *[F.col(c).alias(f"{c}_a") for c in shared])
+    right = keyed.select("key", *[F.col(c).alias(f"{c}_b") for c in shared])
+    distance = hamming(F.col("dhash_a"), F.col("dhash_b"))
+    differ = F.col("mixed_a") | F.col("mixed_b") | (F.col("content_a") != F.col("content_b"))
     return (
         left.join(right, "key")
-        .filter((F.col("dhash_a") < F.col("dhash_b")) & (distance <= limit) & differ & first)
+        .filter((F.col("dhash_a") < F.col("dhash_b")) & (distance <= limit) & differ & _first_band(widths, limit, digit))
         .select("key", "dhash_a", "dhash_b", distance.alias("distance"))
     )
+
+
+def near_asked_pairs(
+    keyed: DataFrame, limit: int = HAMMING_LIMIT, crowded: int = 1024, levels: int = 4, stored: Callable[[DataFrame, str], DataFrame] = materialise
+) -> DataFrame:
+    """``(dhash_a, dhash_b)`` at distance 1 to ``limit`` of hashes that ask with hashes that are told, with full recall.
+
+    ``keyed`` holds ``(dhash, key, asks, told)``: rows of ``band_keys`` of either kind or of both at once. A value that more than
+    ``crowded`` hashes ask for is cut again as in :func:`near_banded_pairs`, so a row that is told meets at most ``crowded`` in a
+    band, however many hashes there are. Two hashes that are of both kinds are one pair. ``stored`` writes a scratch table.
+    """
+    bits, digit, levels = _layout(limit, levels)
+    no = F.shiftrightunsigned("key", digit - 4)
+    without = [F.when(no == i, _without(F.col("dhash"), *cut)) for i, cut in enumerate(_cut_points(bits, limit + 1))]
+    keyed = stored(keyed, "asked_bands").withColumn("rest", F.coalesce(*without))
+    found, widths = None, []
+    for depth in range(levels):
+        widths.append(bits)
+        bits -= min(length for _, length in _cut_points(bits, limit + 1))
+        last = depth == levels - 1 or bits < 2 * (limit + 1)
+        if not last:
+            asked = keyed.filter("asks").groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+            crowds = stored(asked.filter(F.col("size") > crowded).select("key"), "crowds")
+            last = crowds.isEmpty()
+        pairs = _join_asked(keyed if last else keyed.join(crowds, "key", "left_anti"), limit, widths, digit)
+        found = pairs if found is None else found.unionByName(pairs)
+        if last:
+            return found
+        level = keyed.join(crowds, "key", "left_semi")
+        keyed = stored(_expand(level, depth + 1, bits, limit, digit, ("asks", "told")), "asked_bands")
+    return found
+
+
+def _join_asked(keyed: DataFrame, limit: int, widths: list[int], digit: int) -> DataFrame:
+    """Rows that ask with rows that are told of the same key, counted in the first band in which they agree."""
+    shared = ("dhash", *[f"rest_{depth}" for depth in range(1, len(widths))])
+    left = keyed.filter("asks").select("key", F.col("told").alias("both_a"), *[F.col(c).alias(f"{c}_a") for c in shared])
+    right = keyed.filter("told").select("key", F.col("asks").alias("both_b"), *[F.col(c).alias(f"{c}_b") for c in shared])
+    a, b = F.col("dhash_a"), F.col("dhash_b")
+    once = (a < b) | ((a != b) & ~(F.col("both_a") & F.col("both_b")))
+    return left.join(right, "key").filter(once & (hamming(a, b) <= limit) & _first_band(widths, limit, digit)).select("dhash_a", "dhash_b")

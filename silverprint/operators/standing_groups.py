@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from silverprint.functions.hashing import hamming
 from silverprint.operators.components import connected_components
 from silverprint.operators.dedup import near_outputs, near_tagged
-from silverprint.operators.hamming_pairs import HAMMING_LIMIT, band_keys, hash_groups, near_candidates
+from silverprint.operators.hamming_pairs import HAMMING_LIMIT, band_keys, hash_groups, near_asked_pairs, near_candidates
 from silverprint.operators.keyed import attach_facts
 from silverprint.sources.versions import VersionedTables
 from silverprint.workspace import materialise, release
@@ -35,9 +35,12 @@ _SCHEMAS = {
 class StandingGroups:
     """Near groups of one catalog, or of one of its libraries, under ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str, library: str | None = None, limit: int = HAMMING_LIMIT, parts: int = 64):
-        """``parts`` is fixed when the tables are first made: many parts make small batches cheap."""
-        self.spark, self.library, self.limit = spark, library, limit
+    def __init__(self, spark: SparkSession, path: str, library: str | None = None, limit: int = HAMMING_LIMIT, parts: int = 64, crowded: int = 1024):
+        """``parts`` is fixed when the tables are first made: many parts make small batches cheap.
+
+        Band values that more than ``crowded`` hashes of a batch have are cut again; the groups are the same for any bound.
+        """
+        self.spark, self.library, self.limit, self.crowded = spark, library, limit, crowded
         self.tables = VersionedTables(spark, path)
         made = self.tables.manifest()["tables"]
         for name, (schema, key) in _SCHEMAS.items():
@@ -118,17 +121,11 @@ class StandingGroups:
 
     def _links(self, merged: DataFrame, new_keys: DataFrame, parts, held, stored) -> DataFrame:
         """Links of changed hashes with all hashes, with the component of either end and whether it had links before."""
-        probe = band_keys(merged.filter("changed").select("dhash"), self.limit)
-        known = held("bands", parts(probe, "bands", "key")).unionByName(new_keys)
-        a, b = F.col("dhash_a"), F.col("dhash_b")
-        near = stored(
-            probe.withColumnRenamed("dhash", "dhash_a")
-            .join(known.withColumnRenamed("dhash", "dhash_b"), "key")
-            .filter((a != b) & (hamming(a, b) <= self.limit))
-            .select("dhash_a", "dhash_b")
-            .distinct(),
-            "near",
-        )
+        again = band_keys(merged.filter("changed AND NOT new").select("dhash"), self.limit)
+        asked = parts(again, "bands", "key") | parts(new_keys, "bands", "key")
+        kinds = ((held("bands", asked), False, True), (new_keys, True, True), (again, True, False))
+        old, new, changed = (df.select("dhash", "key", F.lit(asks).alias("asks"), F.lit(told).alias("told")) for df, asks, told in kinds)
+        near = stored(near_asked_pairs(old.unionByName(new).unionByName(changed), self.limit, self.crowded, stored=stored), "near")
         columns = ("dhash", "sha_lo", "sha_hi", "component", "linked")
         others = held("hashes", parts(near, "hashes", "dhash_b")).join(merged.select("dhash"), "dhash", "left_anti")
         facts = merged.select(*columns).unionByName(others.select(*columns))
