@@ -9,6 +9,10 @@ the background model less the loss under the target model: the higher, the more
 Counts cover all bigrams of all documents. They are Spark tables, which grow with the corpus: blocks of documents count their
 distinct bigrams before these are shuffled, and facts of single words are joined to bigrams with hot words set apart. For
 scores each block asks once for each of its distinct bigrams, as in ``word_bpe``; no text is shuffled for that.
+
+``score_own`` scores the documents that the models are made of, in one go. Words are numbered once, over the whole corpus; a
+block sends its distinct bigrams as packed numbers to the groups that total them, and gets the totals back in the same order.
+So each bigram of a block crosses the shuffle once each way, in a few bytes, and each text is split once.
 """
 
 from __future__ import annotations
@@ -19,12 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from silverprint.llm.texts import as_bytes, content_words
-from silverprint.llm.word_bpe import blocks, pack_numbers, unpack_numbers
+from silverprint.llm.texts import as_bytes, content_words, mix64
+from silverprint.llm.word_bpe import blocks, offsets_of, pack_numbers, pack_stretches, unpack_numbers, unpack_stretches
 from silverprint.operators.keyed import attach_facts
 from silverprint.workspace import materialise
 
@@ -32,6 +37,10 @@ from silverprint.workspace import materialise
 HELD = 400_000
 #: No words: the beginning of a text, and any word outside a vocabulary that was limited.
 START, OTHER = b"", b" "
+#: Bigrams that a group totals, on average; a word with more than a quarter of them behind it is spread over several groups.
+GROUP = 1 << 20
+#: Numbers before and behind those of all words: the beginning of a text, and any word (what follows it are single words).
+FIRST, ANY = 0, (1 << 31) - 1
 
 
 @dataclass
@@ -194,3 +203,201 @@ def score(docs: DataFrame, model: Losses, text: str = "text", stored: bool = Fal
     # a merge join at every size: the bigrams grow with the documents
     prices = asked.join(_priced(pairs, model).hint("merge"), ["h", "w"]).select("block", "number", "target_loss", "background_loss")
     return source.mapInArrow(hold, held).groupBy("_block").cogroup(prices.groupBy("block")).applyInArrow(judge, schema)
+
+
+def _packed(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Stretches of numbers below 2^63, seven bits a byte, low ones first."""
+    values = values.astype(np.uint64)
+    width = np.ones(len(values), np.int64)
+    for i in range(1, 9):
+        width += values >= np.uint64(1 << 7 * i)
+    places = offsets_of(width)
+    out = np.empty(places[-1], np.uint8)
+    for i in range(int(width.max(initial=0))):
+        has = width > i
+        more = (width[has] > i + 1).astype(np.uint8) << 7
+        out[places[:-1][has] + i] = (values[has] >> np.uint64(7 * i)).astype(np.uint8) & 127 | more
+    packed, cuts = out.tobytes(), places[offsets].tolist()
+    return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _unpacked(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of all stretches, and the offsets of the stretches."""
+    raw = np.frombuffer(b"".join(packed), np.uint8)
+    last = raw < 128
+    ends = np.flatnonzero(last)
+    starts = np.concatenate([[-1], ends])[:-1] + 1
+    out = np.zeros(len(ends), np.int64)
+    for i in range(int((ends - starts).max(initial=-1)) + 1):
+        has = starts + i <= ends
+        out[has] |= (raw[starts[has] + i].astype(np.int64) & 127) << (7 * i)
+    return out, offsets_of(last)[offsets_of([len(p) for p in packed])]
+
+
+def _sums_within(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Running sums that start anew wherever ``begins`` is true, as it is at the first value."""
+    sums = np.cumsum(values)
+    at = np.flatnonzero(begins)
+    return sums - np.repeat(sums[at] - values[at], np.diff(np.append(at, len(values))))
+
+
+class _Asked:
+    """What a block asks for: its distinct bigrams and, as bigrams behind ``ANY``, its words, in the order of the groups that
+    total them. ``first`` and ``second`` are places in ``ids``, the sorted numbers of the block's words between the two others."""
+
+    def __init__(self, packed: pa.ChunkedArray, ids: np.ndarray, uses: np.ndarray, groups: int, hot: int):
+        order = np.argsort(ids)
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(1, len(ids) + 1)
+        self.ids = np.concatenate([[FIRST], ids[order], [ANY]])
+        n = len(self.ids)
+        numbers, offsets = unpack_stretches(packed.to_pylist())
+        self.lengths = np.diff(offsets)
+        self.codes = place[numbers]
+        before = np.roll(self.codes, 1)
+        before[offsets[:-1][self.lengths > 0]] = 0
+        bigrams, self.numbers = np.unique(before * n + self.codes, return_inverse=True)
+        self.n_bigrams = len(bigrams)
+        self.first, self.second = np.divmod(np.concatenate([bigrams, (n - 1) * n + np.arange(1, n - 1)]), n)
+        # a word's bigrams are totalled in one group; those of a frequent one, and of the two that are no words, in several
+        spread = np.concatenate([[groups], -(-uses[order] // hot), [groups]]).astype(np.uint64)[self.first]
+        h, w = self.ids[self.first].astype(np.uint64), self.ids[self.second].astype(np.uint64)
+        group = mix64(h << np.uint64(32) | mix64(w) % spread) % np.uint64(groups)
+        self.order = np.argsort(group, kind="stable")
+        self.groups, counts = np.unique(group.astype(np.int64), return_counts=True)
+        self.offsets = offsets_of(counts)
+
+    def per_bigram(self, weight: np.ndarray | None = None) -> np.ndarray:
+        """How often each bigram and word stands in the texts, or in those whose ``weight`` is 1; in the order of the groups."""
+        of_word = None if weight is None else np.repeat(weight, self.lengths)
+        counts = np.bincount(self.numbers, of_word, self.n_bigrams), np.bincount(self.codes, of_word, len(self.ids))[1:-1]
+        return np.concatenate(counts).astype(np.int64)[self.order]
+
+
+def score_own(docs: DataFrame, chosen: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
+    """``score(docs, fit(docs, ...))`` where the target documents are those whose ``key`` is in the table ``chosen``: the columns of
+    ``docs`` but the text, and those that ``score`` adds.
+
+    Each text is read and split once. What is stored and moved are packed word numbers of the documents, the distinct words of
+    blocks, and distinct bigrams of blocks as packed differences. ``group`` bounds how many bigrams one task totals at a time;
+    the scores are the same for any.
+    """
+    added = ["n_tokens", "target_loss", "background_loss", "score"]
+    docs = docs.drop(*added)
+    kept = [c for c in docs.columns if c != text]
+    fields = [T.StructField(f.name, f.dataType) for f in docs.select(kept).schema.fields]
+    words_of = ["_block", "_at", "_word", "_uses"]
+    kinds = zip([*words_of, "_numbers"], (T.LongType(), T.IntegerType(), T.BinaryType(), T.LongType(), T.BinaryType()))
+    stored = T.StructType([*[T.StructField(c, t) for c, t in kinds], *fields])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "_text", kept, content_words):
+            known = pa.array(list(block.numbers), pa.binary())
+            uses = np.bincount(np.concatenate([np.empty(0, np.int32), *block.texts]), minlength=len(known))
+            for at in range(0, len(known), 50_000):
+                part = known.slice(at, 50_000)
+                numbers = pa.array(np.arange(at, at + len(part), dtype=np.int32))
+                nothing = [pa.nulls(len(part), pa.binary()), *(pa.nulls(len(part), block.rows[0].column(c).type) for c in kept)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block.key)), numbers, part, pa.array(uses[at : at + len(part)]), *nothing], stored.names)
+            at = 0
+            for rows in block.rows:
+                n, texts = rows.num_rows, block.texts[at : at + rows.num_rows]
+                packed = pack_stretches(np.concatenate(texts), offsets_of([len(t) for t in texts]))
+                places = pa.array(np.arange(at, at + n, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block.key)), places, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(packed, pa.binary()), *rows.columns], stored.names)
+                at += n
+
+    made = materialise(docs.select(*kept, F.col(text).cast("string").alias("_text")).mapInArrow(cut, stored), "blocks")
+    held = made.filter(F.col("_numbers").isNotNull()).select("_block", "_at", "_numbers", *kept)
+
+    # a word's number is its rank by use among the words of its partition, so that frequent words have small numbers
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = made.filter(F.col("_word").isNotNull()).select(*words_of).repartition(parts, "_word").groupBy("_word")
+    known = known.agg(F.sum("_uses").alias("uses"), F.collect_list(F.struct("_block", "_at")).alias("asked")).sortWithinPartitions(F.desc("uses"))
+    ranked = known.select(F.monotonically_increasing_id().alias("row"), "uses", "asked")
+    number = F.col("row").bitwiseAND((1 << 33) - 1) * parts + F.shiftrightunsigned("row", 33) + 1
+    words = materialise(ranked.select(number.alias("id"), "uses", "asked"), "words")
+    found = words.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("uses"), F.lit(0)).alias("uses"), F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()
+    if found.last >= ANY:
+        raise ValueError("more words than numbers")
+    size, groups, hot = found.n + 1, -(-found.uses // group) or 1, max(group // 4, 1)
+    asked = lambda table, *more: table.select(F.explode("asked").alias("a"), "id", "uses", *more).select("a._block", "a._at", "id", "uses", *more)
+    wanted = held.select(key, "_block", "_at").join(chosen.select(key).distinct().hint("merge"), key).select("_block", "_at")
+
+    def by_number(facts: pa.Table) -> tuple[np.ndarray, pa.Table]:
+        facts = facts.sort_by("_at")
+        return facts.column("id").to_numpy(), facts
+
+    def ask(key: tuple, rows: pa.Table, facts: pa.Table) -> pa.Table:
+        is_word = facts.column("id").is_valid()
+        ids, known = by_number(facts.filter(is_word))
+        target = np.isin(rows.column("_at").to_numpy(), facts.filter(pc.invert(is_word)).column("_at").to_numpy())
+        block = _Asked(rows.column("_numbers"), ids, known.column("uses").to_numpy(), groups, hot)
+        h, w = block.ids[block.first[block.order]], block.ids[block.second[block.order]]
+        new = np.zeros(len(h) + 1, bool)
+        new[block.offsets] = True
+        h_before, w_before = (np.where(new[:-1], 0, np.roll(x, 1)) for x in (h, w))
+        steps = h - h_before, np.where(new[:-1] | (h != h_before), w, w - w_before)
+        counts = block.per_bigram(target.astype(float)), block.per_bigram()
+        packed = [pa.array(_packed(x, block.offsets), pa.binary()) for x in (*steps, *counts)]
+        return pa.Table.from_arrays([pa.array(np.full(len(block.groups), rows.column("_block")[0].as_py())), pa.array(block.groups), *packed], names=["_block", "group", "h", "w", "target", "background"])
+
+    context = ["target_after", "background_after", "target_kinds", "background_kinds"]
+    totalled = T.StructType([
+        T.StructField("_block", T.LongType()), T.StructField("group", T.LongType()), T.StructField("target", T.BinaryType()), T.StructField("background", T.BinaryType()),
+        *[T.StructField(c, T.LongType()) for c in ("id", *context)],
+    ])
+
+    def total(key: tuple, rows: pa.Table) -> pa.Table:
+        h, offsets = _unpacked(rows.column("h").to_pylist())
+        new = np.zeros(len(h) + 1, bool)
+        new[offsets] = True
+        new_h = new[:-1] | (h != 0)
+        h = _sums_within(h, new[:-1])
+        w = _sums_within(_unpacked(rows.column("w").to_pylist())[0], new_h)
+        bigrams, numbers = np.unique(h << 32 | w, return_inverse=True)
+        # sums of whole numbers below 2^53 are exact
+        sums = [np.bincount(numbers, _unpacked(rows.column(c).to_pylist())[0]).astype(np.int64) for c in ("target", "background")]
+        packed = [pa.array(_packed(x[numbers], offsets), pa.binary()) for x in sums]
+        back = [rows.column("_block"), rows.column("group"), *packed, *[pa.nulls(rows.num_rows, pa.int64())] * 5]
+        firsts, at = np.unique(bigrams >> 32, return_index=True)
+        facts = [np.add.reduceat(x, at) for x in (*sums, sums[0] > 0, np.ones(len(bigrams), np.int64))]
+        real = firsts != ANY
+        n = int(real.sum())
+        after = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *(pa.array(x[real].astype(np.int64)) for x in (firsts, *facts))]
+        return pa.concat_tables([pa.Table.from_arrays(x, names=totalled.names) for x in (back, after)])
+
+    first_facts = asked(words).unionByName(wanted, allowMissingColumns=True)
+    messages = held.select("_block", "_at", "_numbers").groupBy("_block").cogroup(first_facts.groupBy("_block"))
+    messages = messages.applyInArrow(ask, "_block long, group long, h binary, w binary, target binary, background binary")
+    totals = materialise(messages.groupBy("group").applyInArrow(total, totalled), "totals")
+    contexts = totals.filter(F.col("id").isNotNull()).groupBy("id").agg(*[F.sum(c).alias(c) for c in context])
+    at_first = [F.coalesce(F.sum(F.when(F.col("id") == FIRST, F.col(c))), F.lit(0)) for c in context]
+    whole = totals.agg(F.coalesce(F.sum("target_after"), F.lit(0)).alias("target"), F.array(*at_first).alias("first")).first()
+    of_all, of_first = (whole.target, found.uses), np.array(whole.first, np.int64).reshape(4, 1)
+
+    schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in added[1:]]])
+
+    def judge(key: tuple, rows: pa.Table, facts: pa.Table) -> pa.Table:
+        is_word = facts.column("id").is_valid()
+        ids, known = by_number(facts.filter(is_word))
+        block = _Asked(rows.column("_numbers"), ids, known.column("uses").to_numpy(), groups, hot)
+        after = np.array([pc.fill_null(known.column(c), 0).to_numpy() for c in context]).reshape(4, -1)
+        after = np.concatenate([of_first, after[:, np.argsort(ids)]], 1)
+        answers = facts.filter(pc.invert(is_word)).sort_by("group")
+        made = []
+        for i, of in enumerate(("target", "background")):
+            n = np.empty(len(block.order))
+            n[block.order] = _unpacked(answers.column(of).to_pylist())[0]
+            n, own = n[: block.n_bigrams], n[block.n_bigrams :]
+            h, w = block.first[: block.n_bigrams], block.second[: block.n_bigrams]
+            several = np.maximum(after[2 + i, h], 1.0)
+            loss = -np.log((n + several * (own[w - 1] + 1) / float(of_all[i] + size)) / (after[i, h] + several))
+            doc = np.repeat(np.arange(rows.num_rows), block.lengths)
+            made.append(np.bincount(doc, loss[block.numbers], rows.num_rows) / np.maximum(block.lengths, 1))
+        columns = [pa.array(x) for x in (block.lengths, *made, made[1] - made[0])]
+        return pa.Table.from_arrays([*(rows.column(c) for c in kept), *columns], names=schema.names)
+
+    last_facts = asked(words.join(contexts.hint("merge"), "id", "left"), *context)
+    last_facts = last_facts.unionByName(totals.filter(F.col("group").isNotNull()).select("_block", "group", "target", "background"), allowMissingColumns=True)
+    return held.groupBy("_block").cogroup(last_facts.groupBy("_block")).applyInArrow(judge, schema)

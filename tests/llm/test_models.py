@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from silverprint.llm import domain_scores, quality_rank, shards, surrogates
 from tests.llm.data import CONTENT, SCHEMA, awkward, lowered, prose, rows_of
@@ -124,6 +125,60 @@ def test_rare_words_have_losses_of_their_own(spark):
     assert domain_scores.score(new, model).first().background_loss > 0
 
 
+@pytest.mark.parametrize("group, partitions", [(domain_scores.GROUP, 1), (domain_scores.GROUP, 5), (40, 5), (3, 4)])
+def test_own_scores_are_those_of_fit_and_score(spark, group, partitions):
+    common = [f"the of {t} the the {t[:9]} of" for t in prose(80, 3, vocabulary=90)]
+    rows = [*awkward(), *rows_of([*prose(150, 4, vocabulary=300), *common, None, "", "the the", "only here"], 100)]
+    # made-up frequent words, so that some are spread over groups; a chosen id without a document and one with two
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(partitions)
+    chosen = spark.createDataFrame([(i,) for i in [None, 4, 4, 9999, 333, *range(100, 320, 3)]], "doc_id long")
+    marked = docs.join(chosen.distinct().withColumn("good", F.lit(True)), "doc_id", "left")
+    plain = domain_scores.score(marked, domain_scores.fit(marked, "good")).collect()
+    got = domain_scores.score_own(docs.withColumn("score", F.lit("x")), chosen, group=group)
+    assert got.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "target_loss", "background_loss", "score"]
+
+    def ordered(found):
+        return sorted(found, key=lambda r: (-1 if r.doc_id is None else r.doc_id, r.n_tokens))
+
+    got, plain = ordered(got.collect()), ordered(plain)
+    assert len(got) == len(rows) and sum(r.n_tokens == 0 for r in got) >= 5
+    assert [r[:5] for r in got] == [(r.doc_id, r.lang, r.source, r.n_chars, r.n_tokens) for r in plain]
+    for c in ("target_loss", "background_loss", "score"):
+        assert [r[c] for r in got] == pytest.approx([r[c] for r in plain], rel=1e-5, abs=1e-6)
+
+
+def test_own_scores_of_nothing_and_of_no_words(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert domain_scores.score_own(empty, empty).isEmpty()
+    blank = spark.createDataFrame(rows_of([None, "", "--"]), SCHEMA)
+    assert [tuple(r)[4:] for r in domain_scores.score_own(blank, blank).collect()] == [(0, 0.0, 0.0, 0.0)] * 3
+    texts = spark.createDataFrame(rows_of(["a b", "b a"]), SCHEMA)
+    assert all(r.target_loss > 0 for r in domain_scores.score_own(texts, empty).collect())
+
+
+def test_packed_numbers_of_any_size_come_back():
+    values = np.array([0, 127, 128, 1 << 28, 5, (1 << 62) + 3, 1], np.int64)
+    packed = domain_scores._packed(values, np.array([0, 2, 2, 6, 7]))
+    assert [len(p) for p in packed] == [2, 0, 2 + 5 + 1 + 9, 1]
+    numbers, offsets = domain_scores._unpacked(packed)
+    assert numbers.tolist() == values.tolist() and offsets.tolist() == [0, 2, 2, 6, 7]
+
+
+def test_query_moves_no_row_a_bigram_and_no_text(spark, monkeypatch):
+    from silverprint.llm import queries
+
+    tables = []
+    store = domain_scores.materialise
+    monkeypatch.setattr(domain_scores, "materialise", lambda rows, label: tables.append(store(rows, label)) or tables[-1])
+    found = queries.op5(spark, "/root/testdata/sf0.001")
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    words = [CONTENT.findall(lowered(t)) for t in texts]
+    bigrams = {p for of in words for p in zip(["", *of], of)}
+    assert found.count() == len(texts)
+    assert max(t.count() for t in tables) < len(bigrams)
+    assert all("text" not in t.columns for t in tables)
+
+
 # quality ranking
 
 
