@@ -243,29 +243,47 @@ def _sums_within(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 class _Asked:
     """What a block asks for: its distinct bigrams and, as bigrams behind ``ANY``, its words, in the order of the groups that
-    total them. ``first`` and ``second`` are places in ``ids``, the sorted numbers of the block's words between the two others."""
+    total them. ``first`` and ``second`` are places in ``ids``, the sorted numbers of the block's words between the two others.
+
+    One of these is in memory for each core, so arrays as long as the block are narrow and go as soon as they can."""
 
     def __init__(self, packed: pa.ChunkedArray, ids: np.ndarray, uses: np.ndarray, groups: int, hot: int):
         order = np.argsort(ids)
-        place = np.empty(len(ids), np.int64)
+        place = np.empty(len(ids), np.int32)
         place[order] = np.arange(1, len(ids) + 1)
         self.ids = np.concatenate([[FIRST], ids[order], [ANY]])
         n = len(self.ids)
         numbers, offsets = unpack_stretches(packed.to_pylist())
         self.lengths = np.diff(offsets)
         self.codes = place[numbers]
-        before = np.roll(self.codes, 1)
-        before[offsets[:-1][self.lengths > 0]] = 0
-        bigrams, self.numbers = np.unique(before * n + self.codes, return_inverse=True)
+        del numbers
+        keys = np.roll(self.codes, 1).astype(np.int64)
+        keys[offsets[:-1][self.lengths > 0]] = 0
+        keys *= n
+        keys += self.codes
+        by_key = np.argsort(keys)
+        keys = keys[by_key]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+        self.numbers = np.empty(len(keys), np.int32)
+        self.numbers[by_key] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        del by_key
+        bigrams = keys[new]
+        del keys, new
         self.n_bigrams = len(bigrams)
-        self.first, self.second = np.divmod(np.concatenate([bigrams, (n - 1) * n + np.arange(1, n - 1)]), n)
+        bigrams = np.concatenate([bigrams, (n - 1) * n + np.arange(1, n - 1)])
+        self.first = (bigrams // n).astype(np.int32)
+        self.second = (bigrams % n).astype(np.int32)
+        del bigrams
         # a word's bigrams are totalled in one group; those of a frequent one, and of the two that are no words, in several
-        spread = np.concatenate([[groups], -(-uses[order] // hot), [groups]]).astype(np.uint64)[self.first]
-        h, w = self.ids[self.first].astype(np.uint64), self.ids[self.second].astype(np.uint64)
-        group = mix64(h << np.uint64(32) | mix64(w) % spread) % np.uint64(groups)
-        self.order = np.argsort(group, kind="stable")
-        self.groups, counts = np.unique(group.astype(np.int64), return_counts=True)
-        self.offsets = offsets_of(counts)
+        spread = np.concatenate([[groups], -(-uses[order] // hot), [groups]]).astype(np.uint64)
+        group = mix64(self.ids.astype(np.uint64))[self.second]
+        group %= spread[self.first]
+        group |= (self.ids.astype(np.uint64) << np.uint64(32))[self.first]
+        group = (mix64(group) % np.uint64(groups)).astype(np.int32)
+        self.order = np.argsort(group, kind="stable").astype(np.int32)
+        counts = np.bincount(group)
+        self.groups = np.flatnonzero(counts)
+        self.offsets = offsets_of(counts[self.groups])
 
     def per_bigram(self, weight: np.ndarray | None = None) -> np.ndarray:
         """How often each bigram and word stands in the texts, or in those whose ``weight`` is 1; in the order of the groups."""
@@ -333,13 +351,19 @@ def score_own(docs: DataFrame, chosen: DataFrame, key: str = "doc_id", text: str
         ids, known = by_number(facts.filter(is_word))
         target = np.isin(rows.column("_at").to_numpy(), facts.filter(pc.invert(is_word)).column("_at").to_numpy())
         block = _Asked(rows.column("_numbers"), ids, known.column("uses").to_numpy(), groups, hot)
-        h, w = block.ids[block.first[block.order]], block.ids[block.second[block.order]]
-        new = np.zeros(len(h) + 1, bool)
-        new[block.offsets] = True
-        h_before, w_before = (np.where(new[:-1], 0, np.roll(x, 1)) for x in (h, w))
-        steps = h - h_before, np.where(new[:-1] | (h != h_before), w, w - w_before)
-        counts = block.per_bigram(target.astype(float)), block.per_bigram()
-        packed = [pa.array(_packed(x, block.offsets), pa.binary()) for x in (*steps, *counts)]
+        # of each bigram the step from the one before in its group, in the first word and, where that is the same, in the second
+        step = np.diff(block.ids[block.first[block.order]], prepend=0)
+        step[block.offsets[:-1]] = block.ids[block.first[block.order[block.offsets[:-1]]]]
+        new = step != 0
+        new[block.offsets[:-1]] = True
+        packed = [pa.array(_packed(step, block.offsets), pa.binary())]
+        second = block.ids[block.second[block.order]]
+        step = np.diff(second, prepend=0)
+        step[new] = second[new]
+        del second, new
+        packed.append(pa.array(_packed(step, block.offsets), pa.binary()))
+        del step
+        packed.extend(pa.array(_packed(block.per_bigram(x), block.offsets), pa.binary()) for x in (target.astype(float), None))
         return pa.Table.from_arrays([pa.array(np.full(len(block.groups), rows.column("_block")[0].as_py())), pa.array(block.groups), *packed], names=["_block", "group", "h", "w", "target", "background"])
 
     context = ["target_after", "background_after", "target_kinds", "background_kinds"]
@@ -391,10 +415,11 @@ def score_own(docs: DataFrame, chosen: DataFrame, key: str = "doc_id", text: str
             n[block.order] = _unpacked(answers.column(of).to_pylist())[0]
             n, own = n[: block.n_bigrams], n[block.n_bigrams :]
             h, w = block.first[: block.n_bigrams], block.second[: block.n_bigrams]
-            several = np.maximum(after[2 + i, h], 1.0)
-            loss = -np.log((n + several * (own[w - 1] + 1) / float(of_all[i] + size)) / (after[i, h] + several))
-            doc = np.repeat(np.arange(rows.num_rows), block.lengths)
-            made.append(np.bincount(doc, loss[block.numbers], rows.num_rows) / np.maximum(block.lengths, 1))
+            several = np.maximum(after[2 + i], 1.0)
+            loss = -np.log((n + several[h] * (own[w - 1] + 1) / float(of_all[i] + size)) / (after[i] + several)[h])
+            del n
+            texts = np.split(block.numbers, np.cumsum(block.lengths)[:-1]) if rows.num_rows else []
+            made.append(np.array([loss[t].sum() for t in texts]) / np.maximum(block.lengths, 1))
         columns = [pa.array(x) for x in (block.lengths, *made, made[1] - made[0])]
         return pa.Table.from_arrays([*(rows.column(c) for c in kept), *columns], names=schema.names)
 
