@@ -31,7 +31,8 @@ def l2_normalize(v: Column) -> Column:
     """Scale to unit length; a zero vector is returned as it is."""
     length = norm(v)
     divisor = F.when(length == 0, F.lit(1.0)).otherwise(length)
-    return F.transform(v, lambda x: x.cast("double") / divisor)
+    # the divisor is an element of an array: written into the inner lambda it would be computed for every element
+    return F.transform(F.array(divisor), lambda d: F.transform(v, lambda x: x.cast("double") / d))[0]
 
 
 def dot(a: Column, b: Column) -> Column:

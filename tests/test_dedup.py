@@ -203,6 +203,74 @@ def test_l2_pairs_match_all_pairs(spark, tuning, spread):
     assert labels == union_find(brute_l2(vectors, 0.55))
 
 
+@pytest.mark.parametrize("far", [0.0, 1e4])
+def test_blocks_meet_in_a_nested_loop_without_copies_of_rows(spark, far):
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(700, 16))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[350:] += far  # single precision does not do where both kinds meet
+    vectors[3], vectors[4, 2], vectors[5, 0] = np.nan, np.inf, 1e200
+    with np.errstate(all="ignore"):
+        want = brute_l2(vectors, 0.9)
+    assert len(want) > 500
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "id long, v array<double>")
+    tuning = {"cell_rows": 60, "block_rows": 10}
+    pairs = l2_pairs(distinct_vectors(df, "id", "v"), 0.9, **tuning)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "FlatMapGroups" not in plan
+    got = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    copied = l2_pairs(distinct_vectors(df, "id", "v"), 0.9, most_copies=1e9, **tuning)
+    assert "Cartesian" not in copied._jdf.queryExecution().executedPlan().toString()
+    assert {(r["a"], r["b"]) for r in copied.collect()} == want
+    links = l2_pairs(distinct_vectors(df, "id", "v"), 0.9, links_only=True, **tuning).collect()
+    assert {(r["a"], r["b"]) for r in links} <= {(a, b) for a in range(700) for b in range(a, 700)}
+    labels = {r["id"]: r["component"] for r in vector_components(df, "id", "v", 0.9, **tuning).collect()}
+    assert labels == union_find(want)
+
+
+def test_links_of_a_task_are_handed_on_before_too_many_rows_are_held(monkeypatch):
+    import pyarrow as pa
+
+    from silverprint.operators import vector_pairs as v
+
+    monkeypatch.setattr(v, "_LABELS_AT_ONCE", 20)
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(90, 3)) * 0.3
+    want = brute_l2(vectors, 0.3)
+    blocks = [np.arange(k, k + 10) for k in range(0, 90, 10)]
+
+    def column(k, rows, end):
+        middle = vectors[rows].mean(0)
+        radius = np.sqrt(((vectors[rows] - middle) ** 2).sum(1).max())
+        values = {"block": k, "middle": middle, "radius": radius, "ids": rows, "vectors": vectors[rows].tobytes()}
+        return {f"{name}_{end}": pa.array([value]) for name, value in values.items()}
+
+    rows = [column(k, a, "a") | column(n, b, "b") for k, a in enumerate(blocks) for n, b in enumerate(blocks) if k <= n]
+    batches = [pa.RecordBatch.from_pydict(row) for row in rows]
+    for links_only in (False, True):
+        out = pa.Table.from_batches(list(v._meet(0.3, links_only)(iter(batches)))).to_pydict()
+        got = {tuple(sorted(p)) for p in zip(out["a"], out["b"])}
+        if links_only:
+            assert union_find(got) == union_find(want)
+        else:
+            assert len(out["a"]) == len(got) and got == want
+
+
+def test_a_vector_is_scaled_by_a_length_taken_once(spark):
+    import time
+
+    from silverprint.functions.vectors import l2_normalize
+
+    size = 20_000
+    began = time.time()
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda x: x.cast("float")).alias("v"))
+    got = df.select(l2_normalize(F.col("v")).alias("v"), l2_normalize(F.lit(None).cast("array<float>")).alias("none")).head()
+    assert time.time() - began < 30  # a length for each element would be 800 million steps
+    want = np.arange(1.0, size + 1)
+    assert got["none"] is None and np.allclose(got["v"], want / np.sqrt((want**2).sum()), rtol=1e-12, atol=0)
+
+
 def test_copies_of_a_vector_cost_one_node(spark):
     rows = [(i, [1.0, 0.0]) for i in range(50)] + [(100, [0.0, 1.0]), (101, [0.0, 0.99]), (200, [5.0, 5.0]), (300, None), (301, [])]
     df = spark.createDataFrame(rows, "id long, v array<double>")
