@@ -251,4 +251,6 @@ def _join_asked(keyed: DataFrame, limit: int, widths: list[int], digit: int) ->
     right = keyed.filter("told").select("key", F.col("asks").alias("both_b"), *[F.col(c).alias(f"{c}_b") for c in shared])
     a, b = F.col("dhash_a"), F.col("dhash_b")
     once = (a < b) | ((a != b) & ~(F.col("both_a") & F.col("both_b")))
-    return left.join(right, "key").filter(once & (hamming(a, b) <= limit) & _first_band(widths, limit, digit)).select("dhash_a", "dhash_b")
+    # few rows make very many products: they lie side by side in a merge join, a broadcast table is searched for each of them
+    met = left.join(right.hint("merge"), "key")
+    return met.filter(once & (hamming(a, b) <= limit) & _first_band(widths, limit, digit)).select("dhash_a", "dhash_b")

@@ -86,3 +86,15 @@ def test_a_crowded_value_is_not_compared_whole(spark):
     levels = [t for label, t in written if label == "asked_bands"]
     assert levels[0].count() == 7 * 1500 and levels[1].count() == 7 * 1500
     assert levels[1].groupBy("key").count().agg(F.max("count")).first()[0] <= 100
+
+
+def test_rows_that_ask_and_rows_that_are_told_meet_in_a_merge_join(spark):
+    hashes = spark.range(40).select((F.col("id") * 37).alias("dhash"))
+    asked = band_keys(hashes, 6).withColumns({"asks": F.col("dhash") % 2 == 0, "told": F.lit(True)})
+    pairs = near_asked_pairs(asked)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    got = [tuple(sorted(r)) for r in pairs.collect()]
+    values = [37 * i for i in range(40)]
+    want = {(a, b) for a in values for b in values if a < b and bin(a ^ b).count("1") <= 6 and (a % 2 == 0 or b % 2 == 0)}
+    assert len(got) == len(set(got)) and set(got) == want
